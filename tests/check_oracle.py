@@ -1,0 +1,70 @@
+"""Compare registered queries with their SQL: names, types, row counts and values."""
+
+from __future__ import annotations
+
+import os
+import sys
+from collections import Counter
+
+import duckdb
+
+TABLES = ("region nation customer supplier part orders lineitem events documents embeddings pages "
+          "benchmark labels conversations").split()
+
+_KINDS = {"tinyint": "int", "smallint": "int", "integer": "int", "bigint": "int", "hugeint": "int", "int": "int",
+          "varchar": "string", "double": "float", "float": "float"}
+
+
+def kind(t: str) -> str:
+    t = t.lower()
+    return "decimal" if t.startswith("decimal") else _KINDS.get(t, t)
+
+
+def connect(folder: str) -> duckdb.DuckDBPyConnection:
+    con = duckdb.connect()
+    for t in TABLES:
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{os.path.join(folder, t)}.parquet'")
+    return con
+
+
+def compare(spark_df, con, sql: str) -> str | None:
+    """None when equal, else what differs."""
+    rel = con.sql(sql)
+    spark_cols = {n: t for n, t in spark_df.dtypes}
+    duck_cols = dict(zip(rel.columns, [str(t) for t in rel.types]))
+    if set(spark_cols) != set(duck_cols):
+        return f"columns {sorted(set(spark_cols) ^ set(duck_cols))}"
+    wrong = [(n, spark_cols[n], duck_cols[n]) for n in spark_cols if kind(spark_cols[n]) != kind(duck_cols[n])]
+    if wrong:
+        return f"types {wrong}"
+    order = sorted(spark_cols)
+    mine = Counter(tuple(r) for r in spark_df.select(*order).collect())
+    theirs = Counter(rel.select(*[f'"{c}"' for c in order]).fetchall())
+    if mine == theirs:
+        return None
+    only_mine, only_theirs = list((mine - theirs).items())[:2], list((theirs - mine).items())[:2]
+    return (f"rows {sum(mine.values())} vs {sum(theirs.values())}; {order}\n  spark {only_mine}\n  duck  {only_theirs}")
+
+
+if __name__ == "__main__":
+    sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+    from pyspark.sql import SparkSession
+
+    import __spark_entry__ as entry
+    from surety.session import configure
+
+    folder, only = sys.argv[1], sys.argv[2:]
+    spark = configure(SparkSession.builder, 8).config("spark.driver.memory", "8g").getOrCreate()
+    spark.sparkContext.setLogLevel("ERROR")
+    con = connect(folder)
+    sqls, bad = entry.oracle_sql(), 0
+    for name, make in entry.queries().items():
+        if only and name not in only:
+            continue
+        try:
+            problem = compare(make(spark, folder), con, sqls[name]) if name in sqls else "no oracle"
+        except Exception as e:  # noqa: BLE001 - report and go on
+            problem = f"{type(e).__name__}: {str(e)[:500]}"
+        bad += problem is not None
+        print("ok  " if problem is None else "BAD ", name, problem or "", flush=True)
+    print(f"{bad} differ")
