@@ -8,4 +8,4 @@ from pyspark.sql import functions as F
 
 def stable_id(prefix: str, *parts: Column) -> Column:
     text = F.concat_ws("|", *[F.coalesce(p.cast("string"), F.lit("")) for p in parts])
-    return F.concat(F.lit(prefix), F.sha2(text, 256))
+    return F.concat(F.lit(prefix), F.md5(text))

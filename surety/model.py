@@ -98,6 +98,12 @@ THRESHOLDS = _schema(
     ("is_blocking", T.BooleanType(), False), ("owner_team", _S, True), ("rationale", _S, True),
 )
 
+TAGS = _schema(
+    ("object_name", _S, False), ("data_domain", _S, True), ("trust_tier", _S, True),
+    ("decision_critical", _S, True),
+)
+EDGES = _schema(("object_name", _S, False), ("input_object", _S, False))
+
 # --- Fixed values -----------------------------------------------------------
 # Scope names, governed limits, signal names, tag domains and tiers. They must
 # read as given for results to match; the rationale column is free text.
@@ -168,38 +174,38 @@ class Sources:
         return Sources(**keep)
 
 
-def _literal_rows(spark: SparkSession, rows: list[tuple], schema: T.StructType) -> DataFrame:
-    """A relation built from literals, which Spark knows to be tiny."""
+def literal_rows(spark: SparkSession, rows: list[tuple], schema: T.StructType) -> DataFrame:
+    """A local relation: its size is known to the planner and no job runs to produce it."""
     from decimal import Decimal
 
-    typed = [
-        tuple(
-            Decimal(v) if isinstance(f.dataType, T.DecimalType) and v is not None else v
-            for v, f in zip(row, schema)
-        )
-        for row in rows
+    import pyarrow as pa
+    from pyspark.sql.pandas.types import to_arrow_schema
+
+    def typed(value, field: T.StructField):
+        if value is None or not isinstance(field.dataType, T.DecimalType):
+            return value
+        return Decimal(str(value)).quantize(Decimal(1).scaleb(-field.dataType.scale))
+
+    arrow = to_arrow_schema(schema)
+    columns = [
+        pa.array([typed(row[i], f) for row in rows], arrow.field(i).type) for i, f in enumerate(schema)
     ]
-    return spark.createDataFrame(typed, schema)
+    return spark.createDataFrame(pa.Table.from_arrays(columns, schema=arrow), schema)
 
 
 def seed_thresholds(spark: SparkSession, rows: list[tuple] | None = None) -> DataFrame:
     """The governed limits as a table, so that governance can swap in its own."""
-    return _literal_rows(spark, THRESHOLD_ROWS if rows is None else rows, THRESHOLDS)
+    return literal_rows(spark, THRESHOLD_ROWS if rows is None else rows, THRESHOLDS)
 
 
 def seed_tags(spark: SparkSession, rows: list[tuple] | None = None) -> DataFrame:
-    return spark.createDataFrame(
-        TAG_ROWS if rows is None else rows,
-        "object_name string, data_domain string, trust_tier string, decision_critical string",
-    )
+    return literal_rows(spark, TAG_ROWS if rows is None else rows, TAGS)
 
 
 def input_edges(spark: SparkSession, edges: list[tuple] | None = None) -> DataFrame:
-    return spark.createDataFrame(
-        INPUT_EDGES if edges is None else edges, "object_name string, input_object string"
-    )
+    return literal_rows(spark, INPUT_EDGES if edges is None else edges, EDGES)
 
 
 def no_partner_signals(spark: SparkSession) -> DataFrame:
     """The partner hand-off table before the partner has delivered anything."""
-    return spark.createDataFrame([], PARTNER_SIGNALS)
+    return literal_rows(spark, [], PARTNER_SIGNALS)

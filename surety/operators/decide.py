@@ -55,7 +55,7 @@ def decisions(
     two-place figure stays in ``trust_detail``.
     """
     state = entity_state(sources, as_of, thresholds)
-    judged = with_verdict(state, as_of, thresholds, partner, strict)
+    judged = with_verdict(state, sources, as_of, thresholds, partner, strict)
     gated = F.col("verdict") == "NOT_TRUSTED"
     dti, missed = F.col("dti_pct"), F.col("missed_payments_12m")
     late = F.coalesce(missed, F.lit(0))

@@ -1,9 +1,10 @@
 """Per-entity rollup of the liability facts: totals, provenance, content duplicates.
 
-One pass, two aggregations. The first groups by (entity, content), the second
-by entity. Both combine on the map side, so an entity, a feed or a group of
+Two narrow passes instead of one wide one: totals are grouped by (entity,
+feed) and then by entity, duplicates by (entity, content) and then by entity.
+Every grouping combines on the map side, so an entity, a feed or a group of
 copies that owns a third of the table arrives at its reducer as a handful of
-partial rows. Only the first exchange carries the facts.
+partial rows, and only fixed-width values are kept per group.
 """
 
 from __future__ import annotations
@@ -25,53 +26,40 @@ def fail_limit(thresholds: DataFrame, signal_name: str) -> Column:
     return thresholds.filter(F.col("signal_name") == signal_name).select("fail_at").scalar()
 
 
-def _union_of_sets(name: str) -> Column:
-    # collect_set keeps distinct feed lists only, a number bounded by the feeds
-    return F.sort_array(F.array_distinct(F.flatten(F.collect_set(name)))).alias(name)
-
-
 def exposure(
     liabilities: DataFrame,
     as_of: AsOf,
     thresholds: DataFrame,
-    content_keys: Sequence[str] = CONTENT_KEYS,
     stale_after_days: int = STALE_AFTER_DAYS,
 ) -> DataFrame:
-    """One row per entity that has at least one liability."""
+    """Totals and provenance: one row per entity that has at least one liability."""
     age = day_age(F.col("loaded_at"), as_of)
     failed = age >= fail_limit(thresholds, LIABILITY_STALENESS)
     balance = F.col("outstanding_balance")
     zero = F.lit(0).cast("decimal(12,2)")
-    # carried into the second grouping even where a caller drops balance from the content key
-    keys = ["applicant_id", *content_keys]
-    by_content = liabilities.groupBy(*keys).agg(
+    by_feed = liabilities.groupBy("applicant_id", "source_system").agg(
         F.count(F.lit(1)).alias("n"),
         F.sum(balance).alias("exposure"),
         F.sum("monthly_payment").alias("obligations"),
         F.sum(F.when(age > stale_after_days, balance).otherwise(zero)).alias("stale"),
         F.sum(F.when(failed, balance).otherwise(zero)).alias("failed"),
+        F.count_if(failed).alias("n_failed"),
         F.min("loaded_at").alias("oldest"),
         F.max("loaded_at").alias("newest"),
-        F.collect_set("source_system").alias("feeds"),
-        F.collect_set(F.when(failed, F.col("source_system"))).alias("failed_feeds"),
-    )
-    return (
-        by_content.groupBy("applicant_id")
-        .agg(
-            F.sum("exposure").cast(TOTAL).alias("outstanding_exposure"),
-            F.sum("obligations").cast(TOTAL).alias("monthly_obligations"),
-            F.sum("n").alias("liability_count"),
-            F.sum("stale").cast(TOTAL).alias("exposure_from_stale_feeds"),
-            F.sum("failed").cast(TOTAL).alias("exposure_from_failed_records"),
-            F.min("oldest").alias("oldest_liability_loaded_at"),
-            F.max("newest").alias("newest_liability_loaded_at"),
-            F.count_if(F.col("n") > 1).alias("duplicate_liabilities"),
-            _union_of_sets("feeds"),
-            _union_of_sets("failed_feeds"),
-        )
-        .withColumnsRenamed({"feeds": "liability_feeds_used", "failed_feeds": "stale_feeds"})
-        .withColumn("max_liability_staleness_days", day_age(F.col("oldest_liability_loaded_at"), as_of))
     )
+    # from here on an entity has one row per feed, so the lists are as short as that
+    feed = F.col("source_system")
+    return by_feed.groupBy("applicant_id").agg(
+        F.sum("exposure").cast(TOTAL).alias("outstanding_exposure"),
+        F.sum("obligations").cast(TOTAL).alias("monthly_obligations"),
+        F.sum("n").alias("liability_count"),
+        F.sum("stale").cast(TOTAL).alias("exposure_from_stale_feeds"),
+        F.sum("failed").cast(TOTAL).alias("exposure_from_failed_records"),
+        F.min("oldest").alias("oldest_liability_loaded_at"),
+        F.max("newest").alias("newest_liability_loaded_at"),
+        F.sort_array(F.collect_list(feed)).alias("liability_feeds_used"),
+        F.sort_array(F.collect_list(F.when(F.col("n_failed") > 0, feed))).alias("stale_feeds"),
+    ).withColumn("max_liability_staleness_days", day_age(F.col("oldest_liability_loaded_at"), as_of))
 
 
 def content_duplicates(liabilities: DataFrame, content_keys: Sequence[str] = CONTENT_KEYS) -> DataFrame:

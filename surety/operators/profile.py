@@ -42,9 +42,9 @@ def current_repayment(repayment: DataFrame) -> DataFrame:
 def entity_state(sources: Sources, as_of: AsOf, thresholds: DataFrame) -> DataFrame:
     """Applicants with everything that profile, verdict and decision draw on.
 
-    All three sides are reduced to one row per entity before they are joined,
-    on the key they were reduced by: the joins add no exchange of their own
-    beyond that of the applicants, and cannot multiply rows.
+    All sides are reduced to one row per entity before they are joined, on the
+    key they were reduced by: the joins add no exchange of their own beyond
+    that of the applicants, and cannot multiply rows.
     """
     return (
         sources.applicants

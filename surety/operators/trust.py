@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -10,7 +12,7 @@ from surety.functions.money import share
 from surety.model import (
     INCOME_COMPLETENESS, INDEX, LIABILITY_STALENESS, LIABILITY_UNIQUENESS, PERCENT, SCOPES, Sources,
 )
-from surety.operators.exposure import fail_limit
+from surety.operators.exposure import CONTENT_KEYS, content_duplicates, fail_limit
 from surety.operators.profile import entity_state
 
 _NO_FAILURES = "array<struct<signal_name:string,occurrences:bigint>>"
@@ -116,10 +118,12 @@ def _strict_checks(as_of: AsOf, thresholds: DataFrame) -> list[Column]:
 
 def with_verdict(
     state: DataFrame,
+    sources: Sources,
     as_of: AsOf,
     thresholds: DataFrame,
     partner: DataFrame | None = None,
     strict: bool = False,
+    content_keys: Sequence[str] = CONTENT_KEYS,
 ) -> DataFrame:
     """Add the verdict columns and the retained ``trust_detail`` struct to an entity state.
 
@@ -127,6 +131,9 @@ def with_verdict(
     partner's blocking failures.
     """
     s = with_partner(state, partner)
+    copies = content_duplicates(sources.liabilities, content_keys).select(
+        "applicant_id", F.col("duplicate_groups").alias("duplicate_liabilities"))
+    s = s.join(copies, "applicant_id", "left")
     limit = fail_limit(thresholds, LIABILITY_STALENESS)
     s = s.withColumns({
         "worst_staleness_days": F.coalesce(F.col("max_liability_staleness_days"), F.lit(0)),
@@ -168,4 +175,4 @@ def entity_trust(
 ) -> DataFrame:
     """One verdict per applicant, as top-level columns."""
     state = entity_state(sources, as_of, thresholds)
-    return with_verdict(state, as_of, thresholds, partner, strict).select("trust_detail.*")
+    return with_verdict(state, sources, as_of, thresholds, partner, strict).select("trust_detail.*")

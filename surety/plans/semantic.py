@@ -135,51 +135,69 @@ class SemanticModel:
         if child_dims and {m.table for m in wanted} & parents:
             raise ValueError("a dimension of a child table cannot group a metric of its parent")
 
-        parts = [
-            self._by_table(data, table, dims, [m for m in wanted if m.table == table], as_of)
-            for table in sorted({m.table for m in wanted})
-        ]
-        if not child_dims:
-            # entities without any child row still appear
-            spine = {d.table for d in dims}.pop()
-            parts.append(data[spine].select(*[F.col(d.column).alias(d.name) for d in dims]).distinct())
-        stacked = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
         names = [d.name for d in dims]
-        # each metric comes from one part, so any aggregate that skips NULL aligns them;
-        # grouping treats NULL dimensions as equal
-        out = stacked.groupBy(*names).agg(
-            *[_COMBINE[m.how](m.name).alias(m.name) for m in wanted]
-        ) if wanted else stacked.distinct()
-        out = out.select(*names, *[m.name for m in wanted])
+        combine = [_COMBINE[m.how](m.name).alias(m.name) for m in wanted]
+        if child_dims:
+            rows = self._one_table(data, child_dims.pop(), dims, wanted, as_of)
+        else:
+            rows = self._around_parent(data, dims, wanted, as_of)
+        out = rows.groupBy(*names).agg(*combine) if wanted else rows.select(*names).distinct()
         return out.filter(where) if where is not None else out
 
-    def _by_table(
+    def _around_parent(
+        self, data: dict[str, DataFrame], dims: list[Dimension], metrics: list[Metric], as_of: AsOf
+    ) -> DataFrame:
+        """Dimensions of one parent with metrics of any of its children.
+
+        The children are stacked, not joined: a row carries its own table's
+        values and NULL for the rest, and one grouping by the foreign key
+        aligns them. The parent is then joined once; its unmatched rows stay
+        (entities without children), and so do keys without a parent (their
+        dimensions are NULL).
+        """
+        parent = dims[0].table
+        if any(d.table != parent for d in dims):
+            raise ValueError("dimensions of two parent tables cannot be combined")
+        parent_key = next(t.primary_key for t in self.tables if t.name == parent)
+        own = [m.value(as_of).alias(m.name) for m in metrics if m.table == parent]
+        spine = data[parent].select(
+            F.col(parent_key).alias("_pk"), *[F.col(d.column).alias(d.name) for d in dims], *own)
+        parts = []
+        for table in sorted({m.table for m in metrics} - {parent}):
+            values = [m.value(as_of).alias(m.name) for m in metrics if m.table == table]
+            parts.append(data[table].select(F.col(self._key_to(table, parent)).alias("_fk"), *values))
+        if not parts:
+            return spine
+        stacked = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
+        by_key = stacked.groupBy("_fk").agg(
+            *[_COMBINE[m.how](m.name).alias(m.name) for m in metrics if m.table != parent])
+        return spine.join(by_key, F.col("_pk") == F.col("_fk"), "full")
+
+    def _one_table(
         self, data: dict[str, DataFrame], table: str, dims: list[Dimension],
         metrics: list[Metric], as_of: AsOf,
     ) -> DataFrame:
-        """One table's metrics grouped by the dimensions.
+        """Dimensions of a child (and perhaps its parent) with metrics of that child.
 
-        Rows are first combined per foreign key (and own dimensions), which
-        shrinks a hot key to one row before it meets the parent.
+        Rows are combined per foreign key and own dimensions first, which
+        shrinks a hot key to a few rows before it meets the parent.
         """
-        own = [d for d in dims if d.table == table]
+        own = [F.col(d.column).alias(d.name) for d in dims if d.table == table]
         foreign = [d for d in dims if d.table != table]
         values = [m.value(as_of).alias(m.name) for m in metrics]
-        combine = [_COMBINE[m.how](m.name).alias(m.name) for m in metrics]
-        own_cols = [F.col(d.column).alias(d.name) for d in own]
         if not foreign:
-            return data[table].select(*own_cols, *values).groupBy(*[d.name for d in own]).agg(*combine)
+            return data[table].select(*own, *values)
         parent = foreign[0].table
-        key = self._key_to(table, parent)
         parent_key = next(t.primary_key for t in self.tables if t.name == parent)
+        rows = data[table].select(F.col(self._key_to(table, parent)).alias("_fk"), *own, *values)
+        keys = ["_fk", *[d.name for d in dims if d.table == table]]
         partial = (
-            data[table].select(F.col(key).alias("_fk"), *own_cols, *values)
-            .groupBy("_fk", *[d.name for d in own]).agg(*combine)
+            rows.groupBy(*keys).agg(*[_COMBINE[m.how](m.name).alias(m.name) for m in metrics])
+            if metrics else rows.distinct()
         )
         side = data[parent].select(
             F.col(parent_key).alias("_fk"), *[F.col(d.column).alias(d.name) for d in foreign])
-        joined = partial.join(side, "_fk", "left")
-        return joined.groupBy(*[d.name for d in dims]).agg(*combine)
+        return partial.join(side, "_fk", "left")
 
 
 def _lending_model() -> SemanticModel:

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from surety.model import (
     MONEY, SEED_APPLICANTS, SEED_INCOME, SEED_LIABILITIES, SEED_REPAYMENT, Sources,
+    literal_rows,
 )
 
 # --- Fixed values: word lists, domains, rates and planted rows --------------
@@ -65,13 +66,6 @@ def _numbered(prefix: str, base: int, index: Column) -> Column:
     return F.concat(F.lit(prefix), (index + base).cast("string"))
 
 
-def _planted(spark: SparkSession, rows: list[tuple], schema) -> DataFrame:
-    names = [f.name for f in schema]
-    money = [f.name for f in schema if f.dataType == MONEY]
-    fixed = [tuple(Decimal(v) if n in money else v for n, v in zip(names, row)) for row in rows]
-    return spark.createDataFrame(fixed, schema)
-
-
 def applicants(index: DataFrame) -> DataFrame:
     """``index(i)`` with i from 1; the worked example is left out."""
     i = F.col("i")
@@ -159,14 +153,14 @@ def seed_sources(spark: SparkSession, entities: int = 60) -> Sources:
     debts = liabilities(grid)
     copy = debts.filter(F.col("liability_id") == DUPLICATE_OF).withColumn("liability_id", F.lit(DUPLICATE_ID))
     return Sources(
-        applicants=applicants(index).unionByName(_planted(spark, [EXAMPLE_APPLICANT], SEED_APPLICANTS)),
-        income=income(index).unionByName(_planted(spark, [EXAMPLE_INCOME], SEED_INCOME)),
+        applicants=applicants(index).unionByName(literal_rows(spark, [EXAMPLE_APPLICANT], SEED_APPLICANTS)),
+        income=income(index).unionByName(literal_rows(spark, [EXAMPLE_INCOME], SEED_INCOME)),
         liabilities=debts.unionByName(copy).unionByName(
-            _planted(spark, [*EXAMPLE_DEBTS, ORPHAN_DEBT], SEED_LIABILITIES)),
-        repayment=repayment(index).unionByName(_planted(spark, [EXAMPLE_REPAYMENT], SEED_REPAYMENT)),
+            literal_rows(spark, [*EXAMPLE_DEBTS, ORPHAN_DEBT], SEED_LIABILITIES)),
+        repayment=repayment(index).unionByName(literal_rows(spark, [EXAMPLE_REPAYMENT], SEED_REPAYMENT)),
     )
 
 
 def late_batch(spark: SparkSession) -> DataFrame:
     """What the stalled feed had failed to send, as a holding table."""
-    return _planted(spark, LATE_BATCH, SEED_LIABILITIES)
+    return literal_rows(spark, LATE_BATCH, SEED_LIABILITIES)

@@ -22,62 +22,70 @@ SEGMENT_DOMAIN = ("AUTOMOBILE", "BUILDING", "HOUSEHOLD", "MACHINERY")
 NEW_LOAN_OFFSET = 10**12
 
 
-def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{folder}/{name}.parquet")
+# Columns used of each table, declared so that opening a table needs no look at its files.
+_TABLES = {
+    "customer": "c_custkey bigint, c_name string, c_nationkey int, c_acctbal double, c_mktsegment string",
+    "orders": "o_orderkey bigint, o_custkey bigint, o_orderstatus string, o_totalprice double, "
+              "o_orderdate timestamp_ntz, o_orderpriority string",
+    "lineitem": "l_orderkey bigint, l_linenumber int",
+    "events": "event_id bigint, ts timestamp_ntz, user_id bigint, event_type string, value double",
+    "documents": "doc_id bigint",
+    "labels": "doc_id bigint",
+}
 
 
-def _choose(index, *words: str):
-    return F.element_at(F.array(*[F.lit(w) for w in words]), (index % len(words) + 1).cast("int"))
+def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
+    return spark.read.schema(_TABLES[name]).parquet(f"{folder}/{name}.parquet")
 
 
 def seeds(spark: SparkSession, folder: str) -> Sources:
     """Holding tables (offset columns) derived from customer and orders."""
     customer = table(spark, folder, "customer")
     orders = table(spark, folder, "orders")
-    c, o = F.col("c_custkey"), F.col("o_orderkey")
-    acct = F.col("c_acctbal").cast(MONEY)
-    applicants = customer.select(
-        c.alias("applicant_id"),
-        F.concat(F.lit("LN-"), c.cast("string")).alias("application_id"),
-        F.col("c_name").alias("full_name"),
-        F.col("c_mktsegment").alias("employment_status"),
-        (c % 14).cast("int").alias("application_days_ago"),
-        F.abs(acct).cast(MONEY).alias("requested_amount"),
-        _choose(F.col("c_nationkey"), "MORTGAGE", "REFINANCE", "PERSONAL", "AUTO").alias("loan_purpose"),
-        F.lit("CORE_BANKING").alias("source_system"),
-        (c % 6).cast("int").alias("loaded_hours_ago"),
+    applicants = customer.selectExpr(
+        "c_custkey AS applicant_id",
+        "concat('LN-', c_custkey) AS application_id",
+        "c_name AS full_name",
+        "c_mktsegment AS employment_status",
+        "cast(c_custkey % 14 AS int) AS application_days_ago",
+        "cast(abs(cast(c_acctbal AS decimal(12,2))) AS decimal(12,2)) AS requested_amount",
+        "element_at(array('MORTGAGE', 'REFINANCE', 'PERSONAL', 'AUTO'), c_nationkey % 4 + 1) AS loan_purpose",
+        "'CORE_BANKING' AS source_system",
+        "cast(c_custkey % 6 AS int) AS loaded_hours_ago",
     )
-    income = customer.select(
-        F.concat(F.lit("INC-"), c.cast("string")).alias("income_record_id"),
-        c.alias("applicant_id"),
-        F.when(acct >= 0, acct * 50).cast(MONEY).alias("gross_annual_income"),
-        _choose(c, "PAYROLL_FEED", "TAX_RETURN", "BANK_STATEMENT").alias("verification_method"),
-        (c % 21).cast("int").alias("effective_days_ago"),
-        F.lit("PAYROLL_VERIFY").alias("source_system"),
-        (c % 9).cast("int").alias("loaded_hours_ago"),
+    income = customer.selectExpr(
+        "concat('INC-', c_custkey) AS income_record_id",
+        "c_custkey AS applicant_id",
+        "CASE WHEN c_acctbal >= 0 THEN cast(cast(c_acctbal AS decimal(12,2)) * 50 AS decimal(12,2)) END"
+        " AS gross_annual_income",
+        "element_at(array('PAYROLL_FEED', 'TAX_RETURN', 'BANK_STATEMENT'), cast(c_custkey % 3 + 1 AS int))"
+        " AS verification_method",
+        "cast(c_custkey % 21 AS int) AS effective_days_ago",
+        "'PAYROLL_VERIFY' AS source_system",
+        "cast(c_custkey % 9 AS int) AS loaded_hours_ago",
     )
-    balance = (F.floor(F.col("o_totalprice") / 1000) * 1000).cast(MONEY)
-    stalled = F.col("o_orderdate") < F.lit(STALLED_BEFORE).cast("timestamp_ntz")
-    liabilities = orders.select(
-        o.alias("liability_id"),
-        F.col("o_custkey").alias("applicant_id"),
-        F.col("o_orderpriority").alias("liability_type"),
-        F.concat(F.lit("Lender "), F.col("o_orderstatus")).alias("creditor_name"),
-        balance.alias("outstanding_balance"),
-        (balance * F.lit(Decimal("0.0004"))).cast(MONEY).alias("monthly_payment"),
-        F.when(stalled, 42 + o % 5).otherwise(o % 7).cast("int").alias("effective_days_ago"),
-        F.when(stalled, "BUREAU_TU").otherwise("BUREAU_EQ").alias("source_system"),
-        F.when(stalled, 1008).otherwise(o % 20).cast("int").alias("loaded_hours_ago"),
+    stalled = f"o_orderdate < timestamp_ntz'{STALLED_BEFORE}'"
+    balance = "cast(floor(o_totalprice / 1000) * 1000 AS decimal(12,2))"
+    liabilities = orders.selectExpr(
+        "o_orderkey AS liability_id",
+        "o_custkey AS applicant_id",
+        "o_orderpriority AS liability_type",
+        "concat('Lender ', o_orderstatus) AS creditor_name",
+        f"{balance} AS outstanding_balance",
+        f"cast({balance} * 0.0004BD AS decimal(12,2)) AS monthly_payment",
+        f"cast(if({stalled}, 42 + o_orderkey % 5, o_orderkey % 7) AS int) AS effective_days_ago",
+        f"if({stalled}, 'BUREAU_TU', 'BUREAU_EQ') AS source_system",
+        f"cast(if({stalled}, 1008, o_orderkey % 20) AS int) AS loaded_hours_ago",
     )
-    repayment = customer.select(
-        F.concat(F.lit("PAY-"), c.cast("string")).alias("payment_record_id"),
-        c.alias("applicant_id"),
-        F.lit(24).alias("months_reviewed"),
-        (c % 4).cast("int").alias("missed_payments_12m"),
-        (c % 5 * 15).cast("int").alias("max_days_past_due"),
-        (c % 10).cast("int").alias("effective_days_ago"),
-        F.lit("LOAN_SERVICING").alias("source_system"),
-        (216 + c % 12).cast("int").alias("loaded_hours_ago"),
+    repayment = customer.selectExpr(
+        "concat('PAY-', c_custkey) AS payment_record_id",
+        "c_custkey AS applicant_id",
+        "24 AS months_reviewed",
+        "cast(c_custkey % 4 AS int) AS missed_payments_12m",
+        "cast(c_custkey % 5 * 15 AS int) AS max_days_past_due",
+        "cast(c_custkey % 10 AS int) AS effective_days_ago",
+        "'LOAN_SERVICING' AS source_system",
+        "cast(216 + c_custkey % 12 AS int) AS loaded_hours_ago",
     )
     return Sources(applicants, income, liabilities, repayment)
 
