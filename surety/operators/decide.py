@@ -92,6 +92,7 @@ def decision_keys(applicants: DataFrame, as_of: AsOf, decided_by: str) -> DataFr
         "applicant_id",
         decision_id(as_of, decided_by).alias("decision_id"),
         instant(as_of).alias("decided_at"),
+        trust_batch_id(as_of, decided_by).alias("trust_batch_id"),
         F.to_date(instant(as_of)).alias("decision_date"),
     )
 
@@ -150,7 +151,7 @@ def decision_sources(decided: DataFrame, liabilities: DataFrame) -> DataFrame:
     The facts are the large, possibly skewed side and are not regrouped after
     the join, so adaptive execution may split a hot entity freely.
     """
-    keys = decided.select("applicant_id", "decision_id", "decided_at", "decision_date")
+    keys = decided.select("applicant_id", "decision_id", "decided_at", "trust_batch_id", "decision_date")
     return liabilities.select("applicant_id", *RECORDED_COLUMNS).join(keys, "applicant_id")
 
 

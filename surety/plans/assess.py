@@ -2,17 +2,17 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from surety.functions.clock import AsOf
+from surety.functions.clock import AsOf, instant
 from surety.model import Sources
 from surety.operators import decide, late
 from surety.operators.signals import feed_trust, scoped, unified_signals
-from surety.sources.sinks import append_dated
+from surety.sources.sinks import BATCH_KEYS, append_batch
 
 
 @dataclass(frozen=True)
@@ -23,6 +23,7 @@ class Decisions:
     sources: DataFrame
     batch: DataFrame
     rejects: DataFrame | None = None
+    keys: dict[str, Column] = field(default_factory=dict)  # date and id of the batch, as constants
 
     def snapshot(self) -> DataFrame:
         return decide.trust_snapshot(self.audit, self.batch)
@@ -57,20 +58,28 @@ def assess(
             decide.decision_keys(scope.applicants, as_of, decided_by), scope.liabilities),
         batch=decide.trust_batch(signals, as_of, decided_by),
         rejects=rejects,
+        keys={"decision_date": F.to_date(instant(as_of)),
+              "trust_batch_id": decide.trust_batch_id(as_of, decided_by)},
     )
 
 
-def _not_yet_stored(spark: SparkSession, df: DataFrame, path: str, *key: str) -> DataFrame:
-    """Rows whose key is not in the table yet, so that a repeated run adds nothing."""
+def _not_yet_stored(
+    spark: SparkSession, df: DataFrame, path: str, batch: dict[str, Column], *key: str
+) -> DataFrame:
+    """Rows whose key is not in the table yet, so that a repeated run adds nothing.
+
+    Date and batch are constants and the table is laid out by them: the first
+    run of a batch looks at no stored file, a repeated one only at its own.
+    """
     try:
         stored = spark.read.parquet(path)
     except AnalysisException as e:
         if e.getCondition() != "PATH_NOT_FOUND":
             raise
         return df
-    # the date is part of the join, so only the dates being written are read
-    on = ["decision_date", *key]
-    return df.join(stored.select(*on).distinct(), on, "left_anti")
+    for name, value in batch.items():
+        stored = stored.filter(F.col(name) == value)
+    return df.join(stored.select(*key), list(key), "left_anti")
 
 
 def record(spark: SparkSession, decisions: Decisions, folder: str) -> None:
@@ -86,18 +95,19 @@ def record(spark: SparkSession, decisions: Decisions, folder: str) -> None:
     ]
     for name, df, key in steps:
         path = f"{folder}/{name}"
-        append_dated(_not_yet_stored(spark, df, path, *key), path)
+        append_batch(_not_yet_stored(spark, df, path, decisions.keys, *key), path)
 
 
 def recorded(spark: SparkSession, folder: str) -> Decisions:
     read = spark.read.parquet
     audit = read(f"{folder}/decision_audit")
-    # rows of a batch that never reached its commit mark are not shown
-    done = audit.select("trust_batch_id").distinct()
+    # rows of a batch that never reached its commit mark are not shown; there is
+    # one row per batch on the right, and the left is laid out by the same key
+    done = audit.select(*BATCH_KEYS).distinct()
     return Decisions(
         audit=audit,
-        sources=read(f"{folder}/decision_sources").join(audit.select("decision_id"), "decision_id", "left_semi"),
-        batch=read(f"{folder}/trust_batch").join(done, "trust_batch_id", "left_semi"),
+        sources=read(f"{folder}/decision_sources").join(done, list(BATCH_KEYS), "left_semi"),
+        batch=read(f"{folder}/trust_batch").join(done, list(BATCH_KEYS), "left_semi"),
     )
 
 

@@ -9,8 +9,13 @@ _DEFAULTS = {
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
+    # split a hot key's side of a join also where a grouping on that key follows;
+    # without it one task would stream all records of the hottest decision
+    "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.parquet.filterPushdown": "true",
+    # plans here are built from many small expressions; do not record a call site for each
+    "spark.python.sql.dataFrameDebugging.enabled": "false",
 }
 
 

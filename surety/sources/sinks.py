@@ -17,9 +17,12 @@ def stored_sources(spark: SparkSession, folder: str) -> Sources:
     return Sources(**{name: spark.read.parquet(f"{folder}/{name}") for name in SCOPES})
 
 
-def append_dated(df: DataFrame, path: str) -> None:
-    """Append, one directory per decision date so that later reads can prune."""
-    df.write.mode("append").partitionBy("decision_date").parquet(path)
+BATCH_KEYS = ("decision_date", "trust_batch_id")
+
+
+def append_batch(df: DataFrame, path: str) -> None:
+    """Append, one directory per date and batch, so that reading either prunes to it."""
+    df.write.mode("append").partitionBy(*BATCH_KEYS).parquet(path)
 
 
 def new_version(df: DataFrame, folder: str, version: str) -> str:

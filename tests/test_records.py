@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+import re
+
 import pytest
 from pyspark.sql import functions as F
 
 from conftest import AS_OF
 from surety.operators import audit as au
 from surety.operators import decide
-from surety.plans.assess import assess, record, recorded
+from surety.plans.assess import _not_yet_stored, assess, record, recorded
 from surety.plans.views import register_views
 from surety.session import shared_folder
 from surety.sources import csv_feed, generator, sinks
@@ -29,14 +31,28 @@ def test_recording_twice_adds_nothing(spark, lending, thresholds, tmp_path):
     # one date is read when one date is asked for
     plan = kept.audit.filter("decision_date = '2024-03-01'")._jdf.queryExecution().executedPlan().toString()
     assert "PartitionFilters: [isnotnull(decision_date" in plan
+    # looking for rows stored before opens the directory of the batch, not the table
+    again = _not_yet_stored(spark, made.audit, f"{folder}/decision_audit", made.keys, "decision_id")
+    explained = spark._jvm.PythonSQLUtils.explainString(again._jdf.queryExecution(), "formatted")
+    mine = [f for f in re.findall(r"PartitionFilters: \[(.*)\]", explained) if "decision_date" in f]
+    assert len(mine) == 1 and "trust_batch_id" in mine[0] and "= BATCH-" in mine[0]
+
+
+def test_second_population_of_a_batch_is_added(spark, lending, thresholds, tmp_path):
+    for who in (("APP-10001", "APP-10002"), ("APP-10002", "APP-10003")):
+        asked = spark.createDataFrame([(w,) for w in who], "applicant_id string")
+        record(spark, assess(lending, "AGENT", AS_OF, thresholds, population=asked), str(tmp_path))
+    kept = recorded(spark, str(tmp_path))
+    assert sorted(r.applicant_id for r in kept.audit.collect()) == ["APP-10001", "APP-10002", "APP-10003"]
+    assert kept.batch.count() == 5
 
 
 def test_interrupted_recording_is_completed(spark, lending, thresholds, tmp_path):
     folder = str(tmp_path)
     made = assess(lending, "AGENT", AS_OF, thresholds)
     half = made.sources.filter("liability_id < 'LIA-70100'")
-    sinks.append_dated(made.batch, f"{folder}/trust_batch")
-    sinks.append_dated(half, f"{folder}/decision_sources")
+    sinks.append_batch(made.batch, f"{folder}/trust_batch")
+    sinks.append_batch(half, f"{folder}/decision_sources")
     record(spark, made, folder)
     assert recorded(spark, folder).sources.count() == 165
 
