@@ -12,7 +12,7 @@ from surety.functions.clock import AsOf, instant
 from surety.model import Sources
 from surety.operators import decide, late
 from surety.operators.signals import feed_trust, scoped, unified_signals
-from surety.sources.sinks import BATCH_KEYS, append_batch
+from surety.sources.sinks import BATCH_KEYS, append_batch, replace_feeds
 
 
 @dataclass(frozen=True)
@@ -131,3 +131,25 @@ def redecide(
     before = assess(sources, decided_by, first_as_of, thresholds)
     now = sources.with_liabilities(late.apply_late(sources.liabilities, batch, feed, second_as_of))
     return Redecision(before, assess(now, decided_by, second_as_of, thresholds), now)
+
+
+def recover_feed(
+    spark: SparkSession, path: str, batch: DataFrame, feed: str | None = None, as_of: AsOf | None = None
+) -> list[str]:
+    """Apply a late batch to a stored liabilities table, rewriting only the feeds it touches.
+
+    Touched are the feeds named in the batch, the feeds of rows it refreshes,
+    and ``feed`` if that one catches up as a whole. Their names are the only
+    thing brought to the driver. A repeated run changes nothing.
+    """
+    stored = spark.read.parquet(path)
+    incoming = batch.select(late.KEY, "source_system")
+    refreshed = stored.select(late.KEY, "source_system").join(incoming.select(late.KEY), late.KEY, "left_semi")
+    names = incoming.select("source_system").union(refreshed.select("source_system")).distinct()
+    touched = {r.source_system for r in names.collect()} | ({feed} if feed else set())
+    facts = stored.filter(F.col("source_system").isin(*touched)).select(*batch.columns)
+    merged = late.merge_late(facts, batch)
+    if feed:
+        merged = late.feed_catch_up(merged, feed, as_of)
+    replace_feeds(merged, path)
+    return sorted(touched)

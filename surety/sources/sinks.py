@@ -8,9 +8,13 @@ from surety.model import SCOPES, Sources
 
 
 def replace_sources(sources: Sources, folder: str) -> None:
-    """Full, idempotent reload of the four tables (decision records are kept elsewhere)."""
+    """Full, idempotent reload of the four tables (decision records are kept elsewhere).
+
+    Tables are laid out by feed, so that reading or repairing one feed leaves
+    the files of the others alone.
+    """
     for name, df in sources.items():
-        df.write.mode("overwrite").parquet(f"{folder}/{name}")
+        df.write.mode("overwrite").partitionBy("source_system").parquet(f"{folder}/{name}")
 
 
 def stored_sources(spark: SparkSession, folder: str) -> Sources:
@@ -25,8 +29,13 @@ def append_batch(df: DataFrame, path: str) -> None:
     df.write.mode("append").partitionBy(*BATCH_KEYS).parquet(path)
 
 
-def new_version(df: DataFrame, folder: str, version: str) -> str:
-    """Write a changed table beside the old one; readers of the old version are not disturbed."""
-    path = f"{folder}/version={version}"
-    df.write.mode("errorifexists").parquet(path)
-    return path
+def replace_feeds(df: DataFrame, path: str) -> None:
+    """Overwrite the feeds present in ``df`` and no others.
+
+    Rows are staged first and swapped in when the job commits, so a job that
+    loses executors or fails half-way leaves the table as it was.
+    """
+    (
+        df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+        .partitionBy("source_system").parquet(path)
+    )

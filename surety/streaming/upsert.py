@@ -1,47 +1,24 @@
-"""Extension: late batches merged as they arrive, one new table version each."""
+"""Extension: late batches merged into the stored table as they arrive."""
 
 from __future__ import annotations
 
-from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql.streaming import StreamingQuery
 
-from surety.operators.late import merge_late
+from surety.plans.assess import recover_feed
 
 
-def version_path(folder: str, version: int) -> str:
-    return f"{folder}/version={version:012d}"
+def start_late_upserts(stream: DataFrame, path: str, checkpoint: str, **trigger) -> StreamingQuery:
+    """Merge every micro-batch into the liabilities table at ``path``.
 
-
-def start_late_upserts(
-    stream: DataFrame, folder: str, checkpoint: str, **trigger
-) -> StreamingQuery:
-    """Merge every micro-batch into the newest version under ``folder``.
-
-    Version 0 is the table before the first batch. Epoch ``n`` reads version
-    ``n`` and writes ``n + 1``, so a replayed epoch rewrites its own version
-    from the same input and never reads what it wrote.
+    A merge repeated is a merge done once, so an epoch replayed after a
+    failure is harmless. Each epoch rewrites only the feeds it touches.
     """
 
     def merge_batch(batch: DataFrame, epoch: int) -> None:
-        spark: SparkSession = batch.sparkSession
-        facts = spark.read.parquet(version_path(folder, epoch))
-        merge_late(facts, batch).write.mode("overwrite").parquet(version_path(folder, epoch + 1))
+        recover_feed(batch.sparkSession, path, batch)
 
     return (
         stream.writeStream.option("checkpointLocation", checkpoint).foreachBatch(merge_batch)
         .trigger(**(trigger or {"availableNow": True})).start()
     )
-
-
-def newest(spark: SparkSession, folder: str) -> DataFrame:
-    """The newest finished version, found by its success marker."""
-    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
-    fs = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    done = [
-        str(s.getPath()) for s in fs.listStatus(path)
-        if fs.exists(spark.sparkContext._jvm.org.apache.hadoop.fs.Path(s.getPath(), "_SUCCESS"))
-    ]
-    if not done:
-        raise AnalysisException(f"no finished version under {folder}")
-    return spark.read.parquet(max(done))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 import re
 
 import pytest
@@ -10,12 +11,14 @@ from pyspark.sql import functions as F
 from conftest import AS_OF
 from surety.operators import audit as au
 from surety.operators import decide
-from surety.plans.assess import _not_yet_stored, assess, record, recorded
+from surety.operators.late import apply_late
+from surety.plans.assess import _not_yet_stored, assess, record, recorded, recover_feed
 from surety.plans.views import register_views
 from surety.session import shared_folder
 from surety.sources import csv_feed, generator, sinks
 from surety.sources.offsets import apply_offsets
 from surety.model import SEED_LIABILITIES
+from test_boundaries import debt
 
 
 def test_recording_twice_adds_nothing(spark, lending, thresholds, tmp_path):
@@ -123,9 +126,30 @@ def test_reload_is_idempotent(spark, lending, tmp_path):
     sinks.replace_sources(lending, str(tmp_path))
     back = sinks.stored_sources(spark, str(tmp_path))
     assert back.liabilities.count() == 166
-    sinks.new_version(back.liabilities, f"{tmp_path}/v", "1")
-    with pytest.raises(Exception):
-        sinks.new_version(back.liabilities, f"{tmp_path}/v", "1")
+
+
+def test_recovery_rewrites_only_the_feeds_it_touches(spark, lending, rounds, tmp_path):
+    sinks.replace_sources(lending, str(tmp_path))
+    path = f"{tmp_path}/liabilities"
+    eq_files = lambda: sorted(os.listdir(f"{path}/source_system=BUREAU_EQ"))
+    before = eq_files()
+    batch = apply_offsets(generator.late_batch(spark), "2024-03-01 23:45:00")
+    for _ in range(2):
+        assert recover_feed(spark, path, batch, "BUREAU_TU", "2024-03-01 23:45:00") == ["BUREAU_TU"]
+        spark.catalog.refreshByPath(path)
+    assert eq_files() == before
+    now = spark.read.parquet(path).select(*lending.liabilities.columns)
+    in_flight = apply_late(lending.liabilities, batch, "BUREAU_TU", "2024-03-01 23:45:00")
+    assert now.count() == 168 and now.exceptAll(in_flight).count() == 0
+
+
+def test_recovery_follows_a_row_into_another_feed(spark, make, tmp_path):
+    path = f"{tmp_path}/liabilities"
+    sinks.replace_feeds(make([debt("1", 500), debt("2", 500, feed="EQ"), debt("3", 500, feed="ZZ")]).liabilities, path)
+    batch = make([debt("2", 1, "5.00", feed="TU")]).liabilities
+    assert recover_feed(spark, path, batch) == ["EQ", "TU"]
+    got = {r.liability_id: (str(r.outstanding_balance), r.source_system) for r in spark.read.parquet(path).collect()}
+    assert got == {"1": ("1000.00", "TU"), "2": ("5.00", "EQ"), "3": ("1000.00", "ZZ")}
 
 
 def test_shared_folder(spark, tmp_path):

@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from conftest import AS_OF
 from surety.streaming.liveness import start_liveness
-from surety.streaming.upsert import newest, start_late_upserts, version_path
+from surety.sources.sinks import replace_feeds
+from surety.streaming.upsert import start_late_upserts
 from test_boundaries import debt
 
 
@@ -22,11 +23,12 @@ def test_liveness(spark, lending, thresholds, tmp_path):
 
 
 def test_late_upserts(spark, make, tmp_path):
-    folder = f"{tmp_path}/facts"
+    path = f"{tmp_path}/facts"
     facts = make([debt("1", 500), debt("2", 500)]).liabilities
-    facts.write.parquet(version_path(folder, 0))
-    make([debt("1", 2, "5.00"), debt("3", 2)]).liabilities.coalesce(1).write.parquet(f"{tmp_path}/in")
-    stream = spark.readStream.schema(facts.schema).parquet(f"{tmp_path}/in")
-    start_late_upserts(stream, folder, f"{tmp_path}/cp").awaitTermination(120)
-    got = {r.liability_id: str(r.outstanding_balance) for r in newest(spark, folder).collect()}
-    assert got == {"1": "5.00", "2": "1000.00", "3": "1000.00"}
+    replace_feeds(facts, path)
+    for n, rows in enumerate(([debt("1", 2, "5.00")], [debt("3", 2), debt("1", 1, "6.00")])):
+        make(rows).liabilities.coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+        stream = spark.readStream.schema(facts.schema).parquet(f"{tmp_path}/in")
+        start_late_upserts(stream, path, f"{tmp_path}/cp").awaitTermination(120)
+    got = {r.liability_id: str(r.outstanding_balance) for r in spark.read.parquet(path).collect()}
+    assert got == {"1": "6.00", "2": "1000.00", "3": "1000.00"}
