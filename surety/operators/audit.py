@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Sequence
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from surety.functions.clock import day_age
 from surety.functions.money import share
+from surety.operators.decide import trust_snapshot
 
 BREACH_DAYS = 7  # at or above
 
@@ -89,12 +92,25 @@ def source_lineage(
 
 
 def trust_at_decision(snapshot: DataFrame, audit: DataFrame) -> DataFrame:
+    """Frozen signals with the outcome beside them, from a snapshot kept as a table.
+
+    Where the snapshot is only a view over audit and batch, ``frozen_trust``
+    gives the same rows without joining the audit twice.
+    """
     outcome = audit.select("decision_id", "decision", "trust_verdict")
     return snapshot.drop("snapshot_id").join(outcome, "decision_id", "left")
 
 
-def drift(audit: DataFrame, profile: DataFrame) -> DataFrame:
-    """Figures each decision was made on against what the same applicant shows now."""
+def frozen_trust(audit: DataFrame, batch: DataFrame) -> DataFrame:
+    return trust_snapshot(audit, batch, carry=("decision", "trust_verdict")).drop("snapshot_id")
+
+
+def drift(audit: DataFrame, profile: DataFrame, carry: Sequence[str | Column] = ()) -> DataFrame:
+    """Figures each decision was made on against what the same applicant shows now.
+
+    ``carry``: further audit columns to keep, for steps that would otherwise
+    have to join the audit a second time.
+    """
     now = profile.select(
         "applicant_id",
         F.col("outstanding_exposure").alias("exposure_now"),
@@ -112,6 +128,7 @@ def drift(audit: DataFrame, profile: DataFrame) -> DataFrame:
             F.col("monthly_obligations").alias("obligations_at_decision"),
             F.col("dti_pct").alias("dti_at_decision"),
             F.col("risk_tier").alias("tier_at_decision"),
+            *carry,
         )
         .join(now, "applicant_id", "left")
         .withColumns({

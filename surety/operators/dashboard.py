@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from surety.functions.rules import counterfactual
 from surety.model import TOTAL
+from surety.operators.audit import drift
 
 
 def kpis(feeds: DataFrame, audit: DataFrame) -> DataFrame:
@@ -29,17 +30,15 @@ def kpis(feeds: DataFrame, audit: DataFrame) -> DataFrame:
     )
 
 
-def three_outcomes(audit: DataFrame, drifted: DataFrame) -> DataFrame:
+def three_outcomes(audit: DataFrame, profile: DataFrame) -> DataFrame:
     """Per entity: what policy alone would have said, what the gate said, what was said last.
 
     First and latest are picked by aggregates that combine on the map side, so
     an entity with very many decisions needs no sort of its own.
     """
-    rows = drifted.join(
-        audit.select("decision_id", "missed_payments_12m", "worst_staleness_days",
-                     F.to_json("trust_detail.blocking_failures").alias("blocking_failures")),
-        "decision_id",
-    )
+    rows = drift(audit, profile, carry=(
+        "missed_payments_12m", "worst_staleness_days",
+        F.to_json("trust_detail.blocking_failures").alias("blocking_failures")))
     order = F.struct("decided_at", "decision_id")
     picked = rows.groupBy("applicant_id").agg(
         F.min_by(F.struct(

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -189,7 +191,9 @@ def trust_batch(signals: DataFrame, as_of: AsOf, decided_by: str) -> DataFrame:
     )
 
 
-def trust_snapshot(audit: DataFrame, batch: DataFrame, salts: int = 16) -> DataFrame:
+def trust_snapshot(
+    audit: DataFrame, batch: DataFrame, salts: int = 16, carry: Sequence[str] = ()
+) -> DataFrame:
     """Every decision beside every signal frozen for its batch.
 
     All decisions of a batch share one key. The signals are repeated under
@@ -201,11 +205,12 @@ def trust_snapshot(audit: DataFrame, batch: DataFrame, salts: int = 16) -> DataF
     keyed = audit.select(
         "decision_id", "applicant_id", "trust_batch_id",
         F.pmod(F.xxhash64("decision_id"), F.lit(salts)).cast("int").alias("salt"),
+        *carry,
     )
     return keyed.join(spread, ["trust_batch_id", "salt"]).select(
         stable_id("SNAP-", F.col("decision_id"), F.col("signal_source"), F.col("scope_object"),
                   F.col("feed_name"), F.col("signal_name"), F.col("record_identifier"))
         .alias("snapshot_id"),
         "decision_id", "applicant_id", "captured_at", "signal_source", "scope_object", "feed_name",
-        "signal_name", "measured_value", "trust_status", "is_blocking", "detail",
+        "signal_name", "measured_value", "trust_status", "is_blocking", "detail", *carry,
     )

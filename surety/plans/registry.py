@@ -82,7 +82,11 @@ def _two_rounds(spark, d) -> Redecision:
 
 
 def _drift(rounds: Redecision, spark) -> DataFrame:
-    return au.drift(rounds.audit(), profile.credit_profile(rounds.sources_now, AS_OF, _thr(spark)))
+    return au.drift(rounds.audit(), _profile_now(rounds, spark))
+
+
+def _profile_now(rounds: Redecision, spark) -> DataFrame:
+    return profile.credit_profile(rounds.sources_now, AS_OF, _thr(spark))
 
 
 def _first_lineage(spark, d, as_recorded=False) -> DataFrame:
@@ -433,7 +437,7 @@ def lineage_as_recorded(spark, d):
 @query
 def trust_at_decision(spark, d):
     made = _decided(spark, d)
-    return show(au.trust_at_decision(made.snapshot(), made.audit), captured_at=ts("captured_at"))
+    return show(au.frozen_trust(made.audit, made.batch), captured_at=ts("captured_at"))
 
 
 @query
@@ -491,7 +495,7 @@ def kpis(spark, d):
 @query
 def three_outcomes(spark, d):
     rounds = _two_rounds(spark, d)
-    return big(dashboard.three_outcomes(rounds.audit(), _drift(rounds, spark)),
+    return big(dashboard.three_outcomes(rounds.audit(), _profile_now(rounds, spark)),
                "first_worst_staleness_days")
 
 

@@ -25,7 +25,7 @@ def views(
         "v_decision_audit_trail": audit_ops.audit_trail(decisions.audit, sources.applicants),
         "v_decision_source_lineage": audit_ops.source_lineage(
             decisions.audit, decisions.sources, sources.liabilities),
-        "v_trust_at_decision": audit_ops.trust_at_decision(decisions.snapshot(), decisions.audit),
+        "v_trust_at_decision": audit_ops.frozen_trust(decisions.audit, decisions.batch),
         "v_decision_drift": audit_ops.drift(decisions.audit, profile),
     }
 

@@ -128,7 +128,7 @@ def test_after_the_late_batch(rounds, thresholds):
     assert drifted[0].exposure_change == D("72300.00") and drifted[0].dti_change == D("18.19")
     assert drifted[0].drift_finding.startswith("UNDERSTATED AT DECISION") and drifted[0].tier_changed
     assert drifted[1].drift_finding.startswith("STABLE")
-    outcomes = dashboard.three_outcomes(rounds.audit(), au.drift(rounds.audit(), now))
+    outcomes = dashboard.three_outcomes(rounds.audit(), now)
     o = outcomes.filter("applicant_id = 'APP-10042'").first()
     assert (o.without_trust_signal, o.with_trust_gate, o.once_recovered, o.gate_changed_outcome) == (
         "APPROVE", "REFER_TO_HUMAN", "DECLINE", True)

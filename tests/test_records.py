@@ -85,6 +85,8 @@ def test_snapshot_pairs_every_decision_with_every_signal(rounds):
     seen = au.trust_at_decision(snap, rounds.first.audit).filter("applicant_id = 'APP-10042'")
     assert seen.filter("trust_status = 'FAIL'").first().feed_name == "BUREAU_TU"
     assert seen.filter("trust_verdict <> 'NOT_TRUSTED'").count() == 0
+    view = au.frozen_trust(rounds.first.audit, rounds.first.batch).select(*au.trust_at_decision(snap, rounds.first.audit).columns)
+    assert view.exceptAll(au.trust_at_decision(snap, rounds.first.audit)).count() == 0 and view.count() == 300
 
 
 def test_ids_do_not_change_between_runs(rounds):
