@@ -154,6 +154,24 @@ def test_recovery_follows_a_row_into_another_feed(spark, make, tmp_path):
     assert got == {"1": ("1000.00", "TU"), "2": ("5.00", "EQ"), "3": ("1000.00", "ZZ")}
 
 
+def test_bucketed_tables_are_decided_without_an_exchange(spark, lending, thresholds, tmp_path):
+    sinks.bucket_sources(lending, str(tmp_path), "bucketed_test", 4)
+    limits = {k: spark.conf.get(k) for k in ("spark.sql.autoBroadcastJoinThreshold",)}
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        df = decide.decisions(sinks.bucketed_sources(spark, "bucketed_test"), AS_OF, thresholds).select(
+            "applicant_id", "outstanding_exposure", "dti_pct", "verdict", "decision")
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("Exchange hashpartitioning") == 0, plan
+        flat = decide.decisions(lending, AS_OF, thresholds).select(*df.columns)
+        assert df.exceptAll(flat).count() == 0 and df.count() == 60
+    finally:
+        for k, v in limits.items():
+            spark.conf.set(k, v)
+        for name, _ in lending.items():
+            spark.sql(f"DROP TABLE bucketed_test_{name}")
+
+
 def test_shared_folder(spark, tmp_path):
     was = spark.conf.get("spark.checkpoint.dir", None)
     if was is None:
