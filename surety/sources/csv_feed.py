@@ -42,16 +42,13 @@ def read_late_batch(spark: SparkSession, path: str, as_of: AsOf) -> DataFrame:
     return apply_offsets(read_feed(spark, path, SEED_LIABILITIES), as_of)
 
 
-def write_feed(df: DataFrame, path: str, order_by: str, single_file: bool = False) -> None:
-    """Ordered, quoted, overwriting export.
+def write_feed(df: DataFrame, path: str, order_by: str) -> None:
+    """Ordered, quoted, overwriting export to a folder of part files.
 
-    Sorting range-partitions the rows, so the part files are in order one after
-    another. ``single_file`` is for small hand-offs only: it writes in one task.
+    Sorting range-partitions the rows, so the parts follow one another in
+    order and each is written by its own task.
     """
-    out = df.orderBy(order_by)
-    if single_file:
-        out = out.coalesce(1)
-    out.write.mode("overwrite").options(
+    df.orderBy(order_by).write.mode("overwrite").options(
         header="true", quote='"', escape='"', nullValue="", emptyValue="", quoteAll="true"
     ).csv(path)
 

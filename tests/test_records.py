@@ -106,7 +106,7 @@ def test_views(spark, lending, rounds, thresholds):
 def test_feeds_through_csv(spark, lending, tmp_path):
     seeds = generator.seed_sources(spark)
     for (name, df), key in zip(seeds.items(), ("liability_id", "income_record_id", "applicant_id", "payment_record_id")):
-        csv_feed.write_feed(df, f"{tmp_path}/{csv_feed.FEED_FILES[name][0]}", key, single_file=True)
+        csv_feed.write_feed(df, f"{tmp_path}/{csv_feed.FEED_FILES[name][0]}", key)
     back = csv_feed.read_sources(spark, str(tmp_path), AS_OF)
     for (name, a), (_, b) in zip(lending.items(), back.items()):
         assert a.schema == b.schema or [f.dataType for f in a.schema] == [f.dataType for f in b.schema], name
