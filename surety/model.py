@@ -169,7 +169,7 @@ class Sources:
 
     def restrict(self, population: DataFrame) -> "Sources":
         """Keep only rows of the applicants listed in ``population(applicant_id)``."""
-        ids = population.select("applicant_id").distinct()
+        ids = population.select("applicant_id")
         keep = {n: df.join(ids, "applicant_id", "left_semi") for n, df in self.items()}
         return Sources(**keep)
 

@@ -37,7 +37,7 @@ def merge_late(facts: DataFrame, batch: DataFrame, key: str = KEY, refreshed: tu
         F.when(F.col("_hit"), F.col(f"_new_{c}")).otherwise(F.col(c)).alias(c) if c in refreshed else F.col(c)
         for c in facts.columns
     ])
-    known = facts.select(key).join(incoming.select(key), key, "left_semi").distinct()
+    known = facts.select(key).join(incoming.select(key), key, "left_semi")
     unseen = incoming.join(known, key, "left_anti")
     return updated.unionByName(unseen)
 
