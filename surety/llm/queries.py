@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from surety.llm import decontaminate, language_id, line_dedup, near_dedup, packing
+from surety.llm import decontaminate, language_id, licenses, line_dedup, near_dedup, packing, passages, vp_search
 from surety.llm.common import fold
 
 
@@ -34,6 +34,10 @@ def op3_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_duplicates(table(spark, sf_dir, "documents"), shingle_words=2, percent=80)
 
 
+def op4_vp_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vp_search.neighbours(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0, k=10)
+
+
 def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
     held_out = fold("doc_id", 5) == 0
@@ -42,11 +46,20 @@ def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.predict(texts, model).select("doc_id", "held_out", "lang_pred", "score", "rejected")
 
 
+def op8_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(table(spark, sf_dir, "documents"))
+
+
 def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return line_dedup.digests(docs, line_dedup.keep_bitmaps(docs, min_docs=10, min_chars=1))
 
 
+def op10_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return passages.repeated_passages(table(spark, sf_dir, "documents"), min_words=50, percent=80)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_packing, op2_decontamination, op3_near_dedup, op6_language_id, op9_line_dedup)
+    f.__name__: f for f in (op1_packing, op2_decontamination, op3_near_dedup, op4_vp_search, op6_language_id, op8_licenses,
+                             op9_line_dedup, op10_passages)
 }
