@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from surety.llm import decontaminate, language_id, licenses, line_dedup, near_dedup, packing, passages, vp_search
+from surety.llm import decontaminate, html_text, language_id, licenses, line_dedup, near_dedup, packing, passages, vp_search
 from surety.llm.common import fold
 
 
@@ -38,6 +38,12 @@ def op4_vp_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vp_search.neighbours(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0, k=10)
 
 
+def op5_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages")
+    texts = html_text.extract(pages, html_text.fit(pages))
+    return texts.withColumn("n_chars", F.length("text").cast("long"))
+
+
 def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
     held_out = fold("doc_id", 5) == 0
@@ -60,6 +66,6 @@ def op10_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_packing, op2_decontamination, op3_near_dedup, op4_vp_search, op6_language_id, op8_licenses,
-                             op9_line_dedup, op10_passages)
+    f.__name__: f for f in (op1_packing, op2_decontamination, op3_near_dedup, op4_vp_search, op5_html_text, op6_language_id,
+                             op8_licenses, op9_line_dedup, op10_passages)
 }
