@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from surety.llm import decontaminate, html_text, language_id, licenses, line_dedup, near_dedup, packing, passages, vp_search
+from surety.llm import (decontaminate, gru_score, html_text, language_id, licenses, line_dedup, near_dedup, packing, passages,
+                        vp_search)
 from surety.llm.common import fold
 
 
@@ -52,6 +53,11 @@ def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.predict(texts, model).select("doc_id", "held_out", "lang_pred", "score", "rejected")
 
 
+def op7_gru_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scores = gru_score.score(table(spark, sf_dir, "documents"), fold("doc_id", 10) != 0)
+    return scores.select("doc_id", (fold("doc_id", 10) == 0).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 def op8_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan(table(spark, sf_dir, "documents"))
 
@@ -67,5 +73,5 @@ def op10_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (op1_packing, op2_decontamination, op3_near_dedup, op4_vp_search, op5_html_text, op6_language_id,
-                             op8_licenses, op9_line_dedup, op10_passages)
+                             op7_gru_score, op8_licenses, op9_line_dedup, op10_passages)
 }
