@@ -7,5 +7,18 @@ from pyspark.sql import functions as F
 
 
 def stable_id(prefix: str, *parts: Column) -> Column:
-    text = F.concat_ws("|", *[F.coalesce(p.cast("string"), F.lit("")) for p in parts])
-    return F.concat(F.lit(prefix), F.md5(text))
+    """Prefix and SHA-256 of the parts.
+
+    Each part is written with its length in front and NULL as ``-``, so parts
+    that hold a separator, are empty or are missing never read alike.
+    """
+    written = []
+    for p in parts:
+        text = p.cast("string")
+        written.append(F.coalesce(F.concat(F.length(text).cast("string"), F.lit(":"), text), F.lit("-")))
+    return F.concat(F.lit(prefix), F.sha2(F.concat_ws("|", *written), 256))
+
+
+def digest_part(record_id: Column) -> Column:
+    """One record's share of an order-free digest: the first eight hex digits of its MD5 as a number."""
+    return F.conv(F.substring(F.md5(record_id.cast("string")), 1, 8), 16, 10).cast("decimal(20,0)")

@@ -48,15 +48,24 @@ def audit_trail(audit: DataFrame, applicants: DataFrame) -> DataFrame:
     )
 
 
+def newest_decisions(audit: DataFrame, n: int) -> DataFrame:
+    """The ``n`` latest decisions, newest first; ties by decision id. A top-k, so no total sort."""
+    return audit.orderBy(F.desc("decided_at"), "decision_id").limit(n)
+
+
+def largest_records(lineage: DataFrame, n: int) -> DataFrame:
+    """The ``n`` lineage rows of the largest balance; ties by decision and record id."""
+    return lineage.orderBy(F.desc_nulls_last("outstanding_balance"), "decision_id", "liability_record_id").limit(n)
+
+
 def blocked_only(trail: DataFrame) -> DataFrame:
     return trail.filter(F.col("trust_verdict") == "NOT_TRUSTED")
 
 
-def flatten_record_ids(audit_with_lists: DataFrame) -> DataFrame:
-    """Inline record lists as rows; decisions with an empty or external list yield none."""
-    return audit_with_lists.select(
-        "decision_id", "decided_at", "applicant_id",
-        F.explode("liability_records").alias("liability_record_id"))
+def recorded_ids(sources: DataFrame) -> DataFrame:
+    """The ids of the liability records behind each decision, one a row and all of them."""
+    return sources.select(
+        "decision_id", "decided_at", "applicant_id", F.col("liability_id").alias("liability_record_id"))
 
 
 def source_lineage(
@@ -105,39 +114,55 @@ def frozen_trust(audit: DataFrame, batch: DataFrame) -> DataFrame:
     return trust_snapshot(audit, batch, carry=("decision", "trust_verdict")).drop("snapshot_id")
 
 
+_THEN = {
+    "decision_id": "decision_id", "decided_at": "decided_at", "decision_taken": "decision",
+    "trust_at_decision": "trust_verdict", "exposure_at_decision": "outstanding_exposure",
+    "obligations_at_decision": "monthly_obligations", "dti_at_decision": "dti_pct", "tier_at_decision": "risk_tier",
+}
+_NOW = {
+    "exposure_now": "outstanding_exposure", "obligations_now": "monthly_obligations",
+    "dti_now": "dti_pct", "tier_now": "risk_tier",
+}
+
+
+def _named(names: dict[str, str]) -> list[Column]:
+    return [F.col(c).alias(n) for n, c in names.items()]
+
+
+def _changes(rows: DataFrame) -> DataFrame:
+    then_dti, now_dti = F.col("dti_at_decision"), F.col("dti_now")
+    return rows.withColumns({
+        "exposure_change": F.round(F.col("exposure_now") - F.col("exposure_at_decision"), 2),
+        "dti_change": F.round(now_dti - then_dti, 2),
+        "tier_changed": F.coalesce(F.col("tier_now") != F.col("tier_at_decision"), F.lit(False)),
+        "drift_finding": F.when(now_dti.isNull() | then_dti.isNull(), DRIFT_NONE)
+        .when(F.abs(now_dti - then_dti) < 0.01, DRIFT_STABLE)
+        .when(now_dti > then_dti, DRIFT_UNDER)
+        .otherwise(DRIFT_OVER),
+    })
+
+
 def drift(audit: DataFrame, profile: DataFrame, carry: Sequence[str | Column] = ()) -> DataFrame:
     """Figures each decision was made on against what the same applicant shows now.
 
     ``carry``: further audit columns to keep, for steps that would otherwise
     have to join the audit a second time.
     """
-    now = profile.select(
-        "applicant_id",
-        F.col("outstanding_exposure").alias("exposure_now"),
-        F.col("monthly_obligations").alias("obligations_now"),
-        F.col("dti_pct").alias("dti_now"),
-        F.col("risk_tier").alias("tier_now"),
-    )
-    then_dti, now_dti = F.col("dti_at_decision"), F.col("dti_now")
-    return (
-        audit.select(
-            "decision_id", "decided_at", "applicant_id",
-            F.col("decision").alias("decision_taken"),
-            F.col("trust_verdict").alias("trust_at_decision"),
-            F.col("outstanding_exposure").alias("exposure_at_decision"),
-            F.col("monthly_obligations").alias("obligations_at_decision"),
-            F.col("dti_pct").alias("dti_at_decision"),
-            F.col("risk_tier").alias("tier_at_decision"),
-            *carry,
-        )
-        .join(now, "applicant_id", "left")
-        .withColumns({
-            "exposure_change": F.round(F.col("exposure_now") - F.col("exposure_at_decision"), 2),
-            "dti_change": F.round(now_dti - then_dti, 2),
-            "tier_changed": F.coalesce(F.col("tier_now") != F.col("tier_at_decision"), F.lit(False)),
-            "drift_finding": F.when(now_dti.isNull() | then_dti.isNull(), DRIFT_NONE)
-            .when(F.abs(now_dti - then_dti) < 0.01, DRIFT_STABLE)
-            .when(now_dti > then_dti, DRIFT_UNDER)
-            .otherwise(DRIFT_OVER),
-        })
-    )
+    now = profile.select("applicant_id", *_named(_NOW))
+    return _changes(audit.select("applicant_id", *_named(_THEN), *carry).join(now, "applicant_id", "left"))
+
+
+def drift_of_rounds(first: DataFrame, last: DataFrame, carry: Sequence[str | Column] = ()) -> DataFrame:
+    """As :func:`drift`, for two rounds over one population of which the last shows the present.
+
+    The last round's records hold the figures of now, so neither facts nor
+    profile are read for them again: one join by applicant, then one row for
+    each of the two decisions. Every applicant has one decision a round.
+    """
+    def packed(audit: DataFrame, name: str) -> DataFrame:
+        rows = audit.select("applicant_id", F.struct(*_named(_THEN), *carry).alias(name), F.struct(*_named(_NOW)).alias(f"{name}_now"))
+        return rows
+
+    both = packed(first, "first").drop("first_now").join(packed(last, "last"), "applicant_id", "full_outer")
+    rows = both.select("applicant_id", F.explode(F.array("first", "last")).alias("r"), F.col("last_now").alias("n")).filter("r is not null")
+    return _changes(rows.select("applicant_id", "r.*", "n.*"))

@@ -30,15 +30,22 @@ def kpis(feeds: DataFrame, audit: DataFrame) -> DataFrame:
     )
 
 
+def outcome_columns() -> tuple:
+    """Audit columns that :func:`three_outcomes_of` needs beside the drift."""
+    return ("missed_payments_12m", "worst_staleness_days",
+            F.to_json("trust_detail.blocking_failures").alias("blocking_failures"))
+
+
 def three_outcomes(audit: DataFrame, profile: DataFrame) -> DataFrame:
+    return three_outcomes_of(drift(audit, profile, carry=outcome_columns()))
+
+
+def three_outcomes_of(rows: DataFrame) -> DataFrame:
     """Per entity: what policy alone would have said, what the gate said, what was said last.
 
     First and latest are picked by aggregates that combine on the map side, so
     an entity with very many decisions needs no sort of its own.
     """
-    rows = drift(audit, profile, carry=(
-        "missed_payments_12m", "worst_staleness_days",
-        F.to_json("trust_detail.blocking_failures").alias("blocking_failures")))
     order = F.struct("decided_at", "decision_id")
     picked = rows.groupBy("applicant_id").agg(
         F.min_by(F.struct(

@@ -6,7 +6,6 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from surety.functions.clock import AsOf, instant
 from surety.functions.ids import stable_id
@@ -16,7 +15,6 @@ from surety.operators.profile import entity_state
 from surety.operators.trust import with_verdict
 
 POLICY_VERSION = "v1.0"
-INLINE_RECORDS = 1000  # longest record list kept inside an audit row; see decision_sources
 
 # --- Fixed values: wording of the recorded reasons --------------------------
 REASON_GATED = (
@@ -102,9 +100,10 @@ def decision_keys(applicants: DataFrame, as_of: AsOf, decided_by: str) -> DataFr
 def audit_records(decided: DataFrame, as_of: AsOf, decided_by: str) -> DataFrame:
     """The decision record: figures used, verdict, outcome and provenance.
 
-    ``source_record_ids`` names the side records and counts the liability
-    records; the ids themselves are rows of :func:`decision_sources`, so that
-    an entity with a billion records still has a small audit row.
+    ``source_record_ids`` names the side records and holds count and digest
+    (order-free) of the liability records; the ids themselves are rows of
+    :func:`decision_sources`, complete for every decision, so that an entity
+    with a billion records still has a small audit row.
     """
     return decided.select(
         decision_id(as_of, decided_by).alias("decision_id"),
@@ -122,8 +121,9 @@ def audit_records(decided: DataFrame, as_of: AsOf, decided_by: str) -> DataFrame
             F.col("income_record_id").alias("income_record"),
             F.col("payment_record_id").alias("repayment_record"),
             F.coalesce(F.col("liability_count"), F.lit(0)).alias("liability_record_count"),
+            F.coalesce(F.col("liability_digest"), F.lit(0).cast("decimal(38,0)")).alias("liability_record_digest"),
         ).alias("source_record_ids"),
-        F.col("liability_feeds_used").alias("source_feeds_used"),
+        F.coalesce("liability_feeds_used", F.array().cast("array<string>")).alias("source_feeds_used"),
         "policy_note",
         trust_batch_id(as_of, decided_by).alias("trust_batch_id"),
         F.to_date(instant(as_of)).alias("decision_date"),
@@ -157,32 +157,18 @@ def decision_sources(decided: DataFrame, liabilities: DataFrame) -> DataFrame:
     return liabilities.select("applicant_id", *RECORDED_COLUMNS).join(keys, "applicant_id")
 
 
-def inline_record_ids(audit: DataFrame, sources: DataFrame, longest: int = INLINE_RECORDS) -> DataFrame:
-    """Add the sorted id list to audit rows that have no more than ``longest`` records.
+def trust_batch(signals: DataFrame, as_of: AsOf, decided_by: str) -> DataFrame:
+    """The signals as they stood for one batch of decisions, stored once.
 
-    Longer lists stay NULL here and are read from the sources table, which is
-    complete for every decision. The bound is applied before anything is
-    gathered, so no group is ever larger than ``longest``.
+    ``signal_id`` names each signal: the partner's own id where there is one,
+    else scope and feed.
     """
-    count = F.col("source_record_ids.liability_record_count")
-    short = audit.filter(count <= longest).select("decision_id")
-    lists = (
-        sources.join(short, "decision_id", "left_semi")
-        .groupBy("decision_id")
-        .agg(F.sort_array(F.collect_list("liability_id")).alias("liability_records"))
-    )
-    id_type = T.ArrayType(sources.schema["liability_id"].dataType)
-    return audit.join(lists, "decision_id", "left").withColumn(
-        "liability_records",
-        F.when(count == 0, F.array().cast(id_type)).otherwise(F.col("liability_records")),
-    )
-
-
-def trust_batch(signals: DataFrame, as_of: AsOf, decided_by: str) -> DataFrame:
-    """The signals as they stood for one batch of decisions, stored once."""
+    own = F.col("signal_id") if "signal_id" in signals.columns else F.lit(None).cast("string")
+    native = F.concat_ws("/", F.lit("NATIVE"), "scope_object", F.coalesce("feed_name", F.lit("-")))
     return signals.select(
         trust_batch_id(as_of, decided_by).alias("trust_batch_id"),
         instant(as_of).alias("captured_at"),
+        F.coalesce(own, native).alias("signal_id"),
         "signal_source", "scope_object", "feed_name", "record_identifier", "signal_name",
         "measured_value", "trust_status",
         F.coalesce("is_blocking", F.lit(False)).alias("is_blocking"),
@@ -194,23 +180,25 @@ def trust_batch(signals: DataFrame, as_of: AsOf, decided_by: str) -> DataFrame:
 def trust_snapshot(
     audit: DataFrame, batch: DataFrame, salts: int = 16, carry: Sequence[str] = ()
 ) -> DataFrame:
-    """Every decision beside every signal frozen for its batch.
+    """Every decision beside the signals that bear on it, as frozen for its batch.
 
-    All decisions of a batch share one key. The signals are repeated under
-    ``salts`` sub-keys and each decision picks one, which spreads the join
-    whether or not Spark finds the signal side small enough to broadcast.
+    Signals about a feed or a table bear on every decision of the batch: one
+    row per feed, repeated under ``salts`` sub-keys of which each decision
+    picks one. Signals about a record bear on the decision on that record
+    only, and meet it by the record's id, so the result grows with decisions
+    and signals, not with their product.
     """
-    spread = batch.drop("decision_date").withColumn(
+    keyed = audit.select("decision_id", "applicant_id", "trust_batch_id", *carry)
+    about_record = F.col("record_identifier").isNotNull()
+    spread = batch.filter(~about_record).drop("decision_date").withColumn(
         "salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    keyed = audit.select(
-        "decision_id", "applicant_id", "trust_batch_id",
-        F.pmod(F.xxhash64("decision_id"), F.lit(salts)).cast("int").alias("salt"),
-        *carry,
-    )
-    return keyed.join(spread, ["trust_batch_id", "salt"]).select(
-        stable_id("SNAP-", F.col("decision_id"), F.col("signal_source"), F.col("scope_object"),
-                  F.col("feed_name"), F.col("signal_name"), F.col("record_identifier"))
-        .alias("snapshot_id"),
+    wide = keyed.withColumn(
+        "salt", F.pmod(F.xxhash64("decision_id"), F.lit(salts)).cast("int")
+    ).join(spread, ["trust_batch_id", "salt"]).drop("salt")
+    single = keyed.withColumn("record_identifier", F.col("applicant_id").cast("string")).join(
+        batch.filter(about_record).drop("decision_date"), ["trust_batch_id", "record_identifier"])
+    return wide.unionByName(single).select(
+        stable_id("SNAP-", F.col("decision_id"), F.col("signal_source"), F.col("signal_id")).alias("snapshot_id"),
         "decision_id", "applicant_id", "captured_at", "signal_source", "scope_object", "feed_name",
         "signal_name", "measured_value", "trust_status", "is_blocking", "detail", *carry,
     )

@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from surety.functions.clock import AsOf, day_age
+from surety.functions.ids import digest_part
 from surety.model import LIABILITY_STALENESS, TOTAL
 
 CONTENT_KEYS = ("liability_type", "outstanding_balance")
@@ -46,6 +47,7 @@ def exposure(
         F.count_if(failed).alias("n_failed"),
         F.min("loaded_at").alias("oldest"),
         F.max("loaded_at").alias("newest"),
+        F.sum(digest_part(F.col("liability_id"))).alias("digest"),
     )
     # from here on an entity has one row per feed, so the lists are as short as that
     feed = F.col("source_system")
@@ -53,6 +55,7 @@ def exposure(
         F.sum("exposure").cast(TOTAL).alias("outstanding_exposure"),
         F.sum("obligations").cast(TOTAL).alias("monthly_obligations"),
         F.sum("n").alias("liability_count"),
+        F.sum("digest").cast("decimal(38,0)").alias("liability_digest"),
         F.sum("stale").cast(TOTAL).alias("exposure_from_stale_feeds"),
         F.sum("failed").cast(TOTAL).alias("exposure_from_failed_records"),
         F.min("oldest").alias("oldest_liability_loaded_at"),

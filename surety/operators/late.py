@@ -12,12 +12,12 @@ REFRESHED = ("outstanding_balance", "monthly_payment", "effective_date", "loaded
 CAUGHT_UP_AFTER_DAYS = 7
 
 
-def one_row_per_key(batch: DataFrame, key: str = KEY) -> DataFrame:
+def one_row_per_key(batch: DataFrame, key: str = KEY, what: str = "late batch") -> DataFrame:
     """The batch, failing the job if a key comes twice (the outcome would depend on order)."""
     rest = [c for c in batch.columns if c != key]
     counted = batch.groupBy(key).agg(
         F.count(F.lit(1)).alias("_n"), F.max_by(F.struct(*rest), F.lit(1)).alias("_row"))
-    twice = F.concat(F.lit(f"late batch holds more than one row for {key} "), F.col(key).cast("string"))
+    twice = F.concat(F.lit(f"{what} holds more than one row for {key} "), F.col(key).cast("string"))
     checked = F.when(F.col("_n") > 1, F.raise_error(twice)).otherwise(F.col("_n"))
     # the filter keeps the check alive whatever columns a later step asks for
     return counted.filter(checked == 1).select(key, "_row.*").select(*batch.columns)
@@ -26,20 +26,18 @@ def one_row_per_key(batch: DataFrame, key: str = KEY) -> DataFrame:
 def merge_late(facts: DataFrame, batch: DataFrame, key: str = KEY, refreshed: tuple = REFRESHED) -> DataFrame:
     """Known rows get the batch's figures; rows never seen before are added.
 
-    The facts stay on the preserved side of a left join instead of a full
-    outer one, so a batch that Spark finds small enough is broadcast and the
-    facts are not moved at all; otherwise both sides are sorted on the key.
+    One full outer join on the key gives updated, untouched and unseen rows at
+    once: facts and batch are read once each. Rows without a key match nothing.
     """
-    incoming = one_row_per_key(batch, key)
-    marked = incoming.select(
-        key, *[F.col(c).alias(f"_new_{c}") for c in refreshed], F.lit(True).alias("_hit"))
-    updated = facts.join(marked, key, "left").select(*[
-        F.when(F.col("_hit"), F.col(f"_new_{c}")).otherwise(F.col(c)).alias(c) if c in refreshed else F.col(c)
-        for c in facts.columns
+    other = {c: f"_new_{c}" for c in facts.columns}
+    incoming = one_row_per_key(batch, key).select(
+        *[F.col(c).alias(n) for c, n in other.items()], F.lit(True).alias("_new"))
+    known = facts.withColumn("_known", F.lit(True))
+    both = known.join(incoming, F.col(key) == F.col(other[key]), "full_outer")
+    return both.select(*[
+        F.when(F.col("_new") if c in refreshed else F.col("_known").isNull(), F.col(n)).otherwise(F.col(c)).alias(c)
+        for c, n in other.items()
     ])
-    known = facts.select(key).join(incoming.select(key), key, "left_semi")
-    unseen = incoming.join(known, key, "left_anti")
-    return updated.unionByName(unseen)
 
 
 def feed_catch_up(facts: DataFrame, feed: str, as_of: AsOf, hours_ago: int = 2,

@@ -163,10 +163,15 @@ def evaluate(
 
 
 def grade_metrics(metrics: DataFrame, thresholds: DataFrame) -> DataFrame:
-    """Grade count metrics by the governed rule of their scope and dimension."""
+    """Grade count metrics by the governed rule of their scope and dimension.
+
+    Ages and lag counts are no counts of bad records, so no limit applies to
+    them: they stay in the result as NOT_GRADED, without a rule.
+    """
     rules = thresholds.select(
         "scope_object", "signal_dimension", "signal_name", "warn_at", "fail_at", "is_blocking", "owner_team")
-    counts = metrics.filter(~F.col("metric").isin("FRESHNESS", "LAGGING_RECORD_COUNT"))
-    return counts.join(rules, ["scope_object", "signal_dimension"], "left").withColumn(
-        "trust_status",
-        grade(F.col("measured"), F.col("signal_name"), F.col("warn_at"), F.col("fail_at")))
+    ungraded = F.col("metric").isin("FRESHNESS", "LAGGING_RECORD_COUNT")
+    graded = metrics.withColumn("_rule_scope", F.when(~ungraded, F.col("scope_object"))).join(
+        rules.withColumnRenamed("scope_object", "_rule_scope"), ["_rule_scope", "signal_dimension"], "left")
+    status = grade(F.col("measured"), F.col("signal_name"), F.col("warn_at"), F.col("fail_at"))
+    return graded.drop("_rule_scope").withColumn("trust_status", F.when(ungraded, "NOT_GRADED").otherwise(status))

@@ -24,10 +24,17 @@ def _current(df: DataFrame, record_id: str, figures: dict[str, str], *extra) ->
 
 
 def current_income(income: DataFrame) -> DataFrame:
-    return _current(
-        income, "income_record_id",
-        {"gross_annual_income": "gross_annual_income", "loaded_at": "income_loaded_at"},
-        F.count("gross_annual_income").alias("known_incomes"),
+    """The latest known figure; the latest record where no figure is known.
+
+    So the profile has an income exactly where the verdict counts one as known.
+    """
+    order = F.struct(F.col("gross_annual_income").isNotNull(), "loaded_at", "income_record_id")
+    row = F.struct("gross_annual_income", F.col("loaded_at").alias("income_loaded_at"))
+    return (
+        income.groupBy("applicant_id")
+        .agg(F.max_by(row, order).alias("latest"), F.max("income_record_id").alias("income_record_id"),
+             F.count("gross_annual_income").alias("known_incomes"))
+        .select("applicant_id", "income_record_id", "known_incomes", "latest.*")
     )
 
 

@@ -57,11 +57,12 @@ def feed_trust(tables: dict[str, DataFrame], as_of: AsOf, thresholds: DataFrame)
     return grade_feeds(feed_loads(tables), as_of, thresholds)
 
 
-def unified_signals(feeds: DataFrame, partner: DataFrame | None = None) -> DataFrame:
+def unified_signals(feeds: DataFrame, partner: DataFrame | None = None, with_ids: bool = False) -> DataFrame:
     """Native feed signals and partner signals in one 13-column shape.
 
     A feed without a rule carries the liability rule's name, whatever its
-    table; its status (UNGOVERNED) is what tells it apart.
+    table; its status (UNGOVERNED) is what tells it apart. ``with_ids`` adds
+    the partner's own ``signal_id`` (NULL for native signals).
     """
     native = feeds.select(
         "signal_source", "scope_object", "feed_name",
@@ -77,6 +78,8 @@ def unified_signals(feeds: DataFrame, partner: DataFrame | None = None) -> DataF
         F.format_string("Feed last loaded %d days ago; %d records affected.",
                         F.col("staleness_days"), F.col("record_count")).alias("detail"),
     )
+    if with_ids:
+        native = native.withColumn("signal_id", F.lit(None).cast("string"))
     if partner is None:
         return native
     delivered = partner.select(
@@ -84,6 +87,7 @@ def unified_signals(feeds: DataFrame, partner: DataFrame | None = None) -> DataF
         "signal_name", "signal_dimension", "measured_value",
         F.lit(None).cast("string").alias("unit"), "data_trust_index", "trust_status",
         F.coalesce("is_blocking", F.lit(False)).alias("is_blocking"), "evaluated_at", "detail",
+        *(["signal_id"] if with_ids else []),
     )
     return native.unionByName(delivered)
 

@@ -50,6 +50,31 @@ def inherited_tiers(tags: DataFrame, edges: DataFrame) -> DataFrame:
     )
 
 
+def effective_tiers(tags: DataFrame, edges: DataFrame, feeds: DataFrame) -> DataFrame:
+    """Tags with the tier that live feeds leave them: declared, lowered by what the feeds show now.
+
+    A table with a failing feed is UNCERTIFIED and one with a feed in warning
+    at most PROVISIONAL; an object with inputs is as weak as the weakest of
+    them, at best its own declared tier.
+    """
+    worst = F.max(F.when(F.col("trust_status") == "FAIL", 2).when(F.col("trust_status") == "WARN", 1).otherwise(0))
+    live = feeds.groupBy(F.col("scope_object").alias("object_name")).agg(
+        worst.alias("live_rank"), F.count(F.lit(1)).alias("feeds"), F.sum("record_count").alias("records"))
+    own = tags_allowed(tags).join(live, "object_name", "left").withColumn(
+        "own_rank", F.greatest(tier_rank(F.col("trust_tier")), F.coalesce("live_rank", F.lit(0))))
+    inputs = (
+        edges.join(own.select(F.col("object_name").alias("input_object"), F.col("own_rank").alias("input_rank")), "input_object")
+        .groupBy("object_name").agg(F.max("input_rank").alias("input_rank"))
+    )
+    rank = F.greatest("own_rank", F.coalesce("input_rank", F.lit(0)))
+    return (
+        own.join(inputs, "object_name", "left")
+        .withColumn("effective_tier", tier_name(rank))
+        .withColumn("tier_holds", F.col("effective_tier") == F.col("trust_tier"))
+        .drop("own_rank", "live_rank", "input_rank")
+    )
+
+
 def tag_agreement(tags: DataFrame, feeds: DataFrame) -> DataFrame:
     """Declared tier against live feeds: CERTIFIED with a failing feed disagrees."""
     live = feeds.groupBy(F.col("scope_object").alias("object_name")).agg(

@@ -2,17 +2,20 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field
+from collections.abc import Callable, Sequence
+from dataclasses import dataclass, field, replace
+from functools import reduce
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from surety.functions.clock import AsOf, instant
-from surety.model import Sources
+from surety.model import LIABILITIES, Sources
 from surety.operators import decide, late
+from surety.operators.audit import drift_of_rounds
 from surety.operators.signals import feed_trust, scoped, unified_signals
-from surety.sources.sinks import BATCH_KEYS, append_batch, replace_feeds
+from surety.sources.sinks import BATCH_KEYS, append_batch, replace_feeds, stored_table
 
 
 @dataclass(frozen=True)
@@ -24,6 +27,7 @@ class Decisions:
     batch: DataFrame
     rejects: DataFrame | None = None
     keys: dict[str, Column] = field(default_factory=dict)  # date and id of the batch, as constants
+    audit_on: Callable[[DataFrame], DataFrame] | None = None  # the audit on given liability records
 
     def snapshot(self) -> DataFrame:
         return decide.trust_snapshot(self.audit, self.batch)
@@ -38,7 +42,12 @@ def assess(
     population: DataFrame | None = None,
     strict: bool = False,
 ) -> Decisions:
-    """Decide every applicant, or only those listed in ``population(applicant_id)``."""
+    """Decide every applicant, or only those listed in ``population(applicant_id)``.
+
+    An applicant listed twice in the sources fails the job: both rows would get
+    one decision id, and lineage would multiply.
+    """
+    sources = replace(sources, applicants=late.one_row_per_key(sources.applicants, "applicant_id", "applicants table"))
     rejects, scope = None, sources
     if population is not None:
         scope = sources.restrict(population)
@@ -47,12 +56,15 @@ def assess(
             .join(sources.applicants.select("applicant_id"), "applicant_id", "left_anti")
             .withColumn("reason", F.lit("UNKNOWN_APPLICANT"))
         )
-    decided = decide.decisions(scope, as_of, thresholds, partner, strict)
-    audit = decide.audit_records(decided, as_of, decided_by)
+
+    def audit_on(liabilities: DataFrame) -> DataFrame:
+        decided = decide.decisions(scope.with_liabilities(liabilities), as_of, thresholds, partner, strict)
+        return decide.audit_records(decided, as_of, decided_by)
+
     # feed signals describe the whole feeds, also when few applicants are decided
-    signals = unified_signals(feed_trust(scoped(sources), as_of, thresholds), partner)
+    signals = unified_signals(feed_trust(scoped(sources), as_of, thresholds), partner, with_ids=True)
     return Decisions(
-        audit=audit,
+        audit=audit_on(scope.liabilities),
         # joining the plain applicants gives the ids without deciding twice
         sources=decide.decision_sources(
             decide.decision_keys(scope.applicants, as_of, decided_by), scope.liabilities),
@@ -60,6 +72,7 @@ def assess(
         rejects=rejects,
         keys={"decision_date": F.to_date(instant(as_of)),
               "trust_batch_id": decide.trust_batch_id(as_of, decided_by)},
+        audit_on=audit_on,
     )
 
 
@@ -70,44 +83,57 @@ def _not_yet_stored(
 
     Date and batch are constants and the table is laid out by them: the first
     run of a batch looks at no stored file, a repeated one only at its own.
+    Keys are compared null-safe.
     """
     try:
-        stored = spark.read.parquet(path)
+        stored = stored_table(spark, path, df.schema)
     except AnalysisException as e:
         if e.getCondition() != "PATH_NOT_FOUND":
             raise
         return df
     for name, value in batch.items():
         stored = stored.filter(F.col(name) == value)
-    return df.join(stored.select(*key), list(key), "left_anti")
+    there = stored.select(*[F.col(k).alias(f"_stored_{k}") for k in key])
+    same = reduce(Column.__and__, [F.col(k).eqNullSafe(F.col(f"_stored_{k}")) for k in key])
+    return df.join(there, same, "left_anti")
+
+
+SIGNAL_KEY = ("trust_batch_id", "signal_source", "signal_id", "scope_object", "feed_name", "record_identifier", "signal_name")
 
 
 def record(spark: SparkSession, decisions: Decisions, folder: str) -> None:
     """Append the batch. Signals and sources go first; the audit row is the commit mark.
 
-    Ids do not depend on when a plan runs, so a run repeated after a failure
-    completes what is missing and changes nothing that is there.
+    The audit is computed on the liability records as they were stored with the
+    batch, so its figures and its lineage are of one state even if the facts
+    are reloaded in between. Ids do not depend on when a plan runs, so a run
+    repeated after a failure completes what is missing and changes nothing
+    that is there.
     """
-    steps = [
-        ("trust_batch", decisions.batch, ("trust_batch_id",)),
-        ("decision_sources", decisions.sources, ("decision_id", "liability_id")),
-        ("decision_audit", decisions.audit, ("decision_id",)),
-    ]
-    for name, df, key in steps:
+    def append(name: str, df: DataFrame, *key: str) -> None:
         path = f"{folder}/{name}"
         append_batch(_not_yet_stored(spark, df, path, decisions.keys, *key), path)
 
+    append("trust_batch", decisions.batch, *SIGNAL_KEY)
+    append("decision_sources", decisions.sources, "decision_id", "liability_id")
+    audit = decisions.audit
+    if decisions.audit_on is not None:
+        kept = stored_table(spark, f"{folder}/decision_sources", decisions.sources.schema)
+        for name, value in decisions.keys.items():
+            kept = kept.filter(F.col(name) == value)
+        audit = decisions.audit_on(kept.select("liability_id", "applicant_id", *decide.RECORDED_COLUMNS[1:]))
+    append("decision_audit", audit, "decision_id")
+
 
 def recorded(spark: SparkSession, folder: str) -> Decisions:
-    read = spark.read.parquet
-    audit = read(f"{folder}/decision_audit")
+    audit = stored_table(spark, f"{folder}/decision_audit")
     # rows of a batch that never reached its commit mark are not shown; there is
     # one row per batch on the right, and the left is laid out by the same key
     done = audit.select(*BATCH_KEYS).distinct()
     return Decisions(
         audit=audit,
-        sources=read(f"{folder}/decision_sources").join(done, list(BATCH_KEYS), "left_semi"),
-        batch=read(f"{folder}/trust_batch").join(done, list(BATCH_KEYS), "left_semi"),
+        sources=stored_table(spark, f"{folder}/decision_sources").join(done, list(BATCH_KEYS), "left_semi"),
+        batch=stored_table(spark, f"{folder}/trust_batch").join(done, list(BATCH_KEYS), "left_semi"),
     )
 
 
@@ -122,6 +148,10 @@ class Redecision:
     def audit(self) -> DataFrame:
         return self.first.audit.unionByName(self.second.audit)
 
+    def drift(self, carry: Sequence[str | Column] = ()) -> DataFrame:
+        """Both rounds against the second one's figures, which are those of now."""
+        return drift_of_rounds(self.first.audit, self.second.audit, carry)
+
 
 def redecide(
     sources: Sources, batch: DataFrame, feed: str, decided_by: str,
@@ -142,14 +172,18 @@ def recover_feed(
     and ``feed`` if that one catches up as a whole. Their names are the only
     thing brought to the driver. A repeated run changes nothing.
     """
-    stored = spark.read.parquet(path)
+    schema = batch.schema if set(batch.columns) == set(LIABILITIES.names) else LIABILITIES
+    stored = stored_table(spark, path, schema)
     incoming = batch.select(late.KEY, "source_system")
     refreshed = stored.select(late.KEY, "source_system").join(incoming.select(late.KEY), late.KEY, "left_semi")
     names = incoming.select("source_system").union(refreshed.select("source_system")).distinct()
     touched = {r.source_system for r in names.collect()} | ({feed} if feed else set())
-    facts = stored.filter(F.col("source_system").isin(*touched)).select(*batch.columns)
+    own = F.col("source_system").isin(*(touched - {None})) if touched - {None} else F.lit(False)
+    if None in touched:
+        own = own | F.col("source_system").isNull()
+    facts = stored.filter(F.coalesce(own, F.lit(False))).select(*batch.columns)
     merged = late.merge_late(facts, batch)
     if feed:
         merged = late.feed_catch_up(merged, feed, as_of)
     replace_feeds(merged, path)
-    return sorted(touched)
+    return sorted(touched, key=lambda n: (n is None, n or ""))

@@ -81,12 +81,8 @@ def _two_rounds(spark, d) -> Redecision:
         BEFORE, AS_OF, _thr(spark))
 
 
-def _drift(rounds: Redecision, spark) -> DataFrame:
-    return au.drift(rounds.audit(), _profile_now(rounds, spark))
-
-
-def _profile_now(rounds: Redecision, spark) -> DataFrame:
-    return profile.credit_profile(rounds.sources_now, AS_OF, _thr(spark))
+def _drift(spark, d) -> DataFrame:
+    return _two_rounds(spark, d).drift()
 
 
 def _first_lineage(spark, d, as_recorded=False) -> DataFrame:
@@ -120,34 +116,47 @@ def csv_format(spark, d):
     return seed.select(line.alias("line")).select(parsed).select("row.*")
 
 
-@query
-def gen_liabilities(spark, d):
+def _index(spark, d):
+    return star.table(spark, d, "customer").select((F.col("c_custkey") + 1).alias("i"))
+
+
+def _generated(spark, d):
+    """The four feeds over as many entities as there are customers, with example, duplicate and orphan."""
     customer = star.table(spark, d, "customer")
     n = customer.agg(F.count(F.lit(1)).alias("n")).scalar()
     grid = customer.select(
         (F.col("c_custkey") + 1).alias("applicant_idx"),
         F.explode(F.array(F.lit(0), F.lit(1), F.lit(2))).alias("slot"),
     ).withColumn("i", F.col("slot") * n + F.col("applicant_idx"))
-    return generator.liabilities(grid)
+    return generator.planted(spark, _index(spark, d), grid)
+
+
+@query
+def gen_liabilities(spark, d):
+    return _generated(spark, d).liabilities
 
 
 @query
 def gen_applicants(spark, d):
-    return generator.applicants(_index(spark, d))
+    return _generated(spark, d).applicants
 
 
 @query
 def gen_income(spark, d):
-    return generator.income(_index(spark, d))
+    return _generated(spark, d).income
 
 
 @query
 def gen_repayment(spark, d):
-    return generator.repayment(_index(spark, d))
+    return _generated(spark, d).repayment
 
 
-def _index(spark, d):
-    return star.table(spark, d, "customer").select((F.col("c_custkey") + 1).alias("i"))
+@query
+def gen_late_batch(spark, d):
+    """The late batch, and whether each of its records is among the generated ones."""
+    known = _generated(spark, d).liabilities.select("liability_id", F.lit(True).alias("known"))
+    return generator.late_batch(spark).join(known, "liability_id", "left").withColumn(
+        "already_known", F.coalesce("known", F.lit(False))).drop("known")
 
 
 @query
@@ -293,9 +302,7 @@ def unified_signals(spark, d):
 
 @query
 def tier_inheritance(spark, d):
-    rows = conformance.row_counts({SCOPES[n]: df for n, df in _src(spark, d).items()})
-    tiers = tags.inherited_tiers(seed_tags(spark), input_edges(spark))
-    return tiers.join(rows.withColumnRenamed("table_name", "object_name"), "object_name", "left")
+    return tags.effective_tiers(seed_tags(spark), input_edges(spark), _feeds(spark, d))
 
 
 @query
@@ -371,9 +378,12 @@ def counterfactual(spark, d):
 @query
 def decision_audit(spark, d):
     made = _decided(spark, d)
-    listed = decide.inline_record_ids(made.audit, made.sources)
+    return _audit_rows(made.audit)
+
+
+def _audit_rows(audit: DataFrame) -> DataFrame:
     ids = F.col("source_record_ids")
-    return big(listed.select(
+    return big(audit.select(
         "decision_id", "applicant_id", "application_id", ts("decided_at").alias("decided_at"), "decided_by",
         "gross_annual_income", "outstanding_exposure", "monthly_obligations", "dti_pct", "risk_tier",
         "missed_payments_12m", "trust_verdict",
@@ -381,7 +391,8 @@ def decision_audit(spark, d):
         "worst_staleness_days", "pct_exposure_stale", "decision", "decision_reason", "policy_version",
         ids["applicant_record"].alias("applicant_record"), ids["income_record"].alias("income_record"),
         ids["repayment_record"].alias("repayment_record"),
-        text_list("liability_records").alias("liability_records"),
+        ids["liability_record_count"].alias("liability_record_count"),
+        ids["liability_record_digest"].cast("bigint").alias("liability_record_digest"),
         text_list("source_feeds_used").alias("source_feeds_used")), "worst_staleness_days")
 
 
@@ -394,14 +405,65 @@ def decision_sources(spark, d):
 
 @query
 def recorded_ids(spark, d):
-    made = _decided(spark, d)
-    flat = au.flatten_record_ids(decide.inline_record_ids(made.audit, made.sources))
-    return flat.select("applicant_id", "liability_record_id")
+    return au.recorded_ids(_decided(spark, d).sources).select("applicant_id", "liability_record_id")
 
 
 @query
 def trust_snapshot(spark, d):
-    return show(_decided(spark, d).snapshot(), captured_at=ts("captured_at")).drop("snapshot_id")
+    return show(_decided(spark, d).snapshot(), captured_at=ts("captured_at"))
+
+
+@query
+def trust_snapshot_partner(spark, d):
+    made = assess(_src(spark, d), DECIDER, AS_OF, _thr(spark), star.partner_signals(spark, d))
+    return show(made.snapshot(), captured_at=ts("captured_at"))
+
+
+@query
+def decision_audit_partner(spark, d):
+    made = assess(_src(spark, d), DECIDER, AS_OF, _thr(spark), star.partner_signals(spark, d))
+    pairs = F.transform("trust_detail.partner_blocking_failures",
+                        lambda p: F.concat_ws(":", p["signal_name"], p["occurrences"].cast("string")))
+    return made.audit.select(
+        "decision_id", "applicant_id", "trust_verdict", "decision",
+        F.col("trust_detail.partner_trust_index").alias("partner_trust_index"),
+        F.array_join(pairs, ",").alias("partner_blocking_failures"),
+        F.col("source_record_ids.liability_record_count").alias("liability_record_count"))
+
+
+def _asked(spark, d):
+    """Ids of events as a requested population; most of them belong to no applicant."""
+    wanted = star.table(spark, d, "events").select(F.col("event_id").alias("applicant_id"))
+    return assess(_src(spark, d), DECIDER, AS_OF, _thr(spark), population=wanted)
+
+
+@query
+def assess_population(spark, d):
+    return _asked(spark, d).audit.select("applicant_id", "decision", "trust_verdict", "dti_pct", "outstanding_exposure")
+
+
+@query
+def rejects(spark, d):
+    return _asked(spark, d).rejects
+
+
+@query
+def point_filter(spark, d):
+    last = star.table(spark, d, "orders").agg(F.max("o_custkey").alias("k")).scalar()
+    return _decided(spark, d).audit.filter(F.col("applicant_id") == last).select(
+        "applicant_id", "decision", "trust_verdict", "dti_pct")
+
+
+@query
+def newest_decisions(spark, d):
+    return au.newest_decisions(_two_rounds(spark, d).audit(), 100).select(
+        "applicant_id", ts("decided_at").alias("decided_at"), "decision", "trust_verdict")
+
+
+@query
+def largest_records(spark, d):
+    return au.largest_records(_first_lineage(spark, d), 100).select(
+        "applicant_id", "liability_record_id", "outstanding_balance", "supplying_feed")
 
 
 @query
@@ -442,7 +504,7 @@ def trust_at_decision(spark, d):
 
 @query
 def drift(spark, d):
-    out = _drift(_two_rounds(spark, d), spark)
+    out = _drift(spark, d)
     return show(out, decided_at=ts("decided_at"), exposure_change=money("exposure_change"),
                 dti_change=F.col("dti_change").cast("decimal(18,2)"))
 
@@ -486,6 +548,19 @@ def semantic_by_feed(spark, d):
     return big(show(out, outstanding_exposure=money("outstanding_exposure")), "worst_staleness_days")
 
 
+@query
+def semantic_total(spark, d):
+    out = LENDING.query(
+        _logical(spark, d), [], ["debts.total debt", "worst_staleness_days", "income", "missed_payments"], AS_OF)
+    return big(show(out, outstanding_exposure=money("outstanding_exposure")), "worst_staleness_days")
+
+
+@query
+def semantic_by_synonym(spark, d):
+    out = LENDING.query(_logical(spark, d), ["borrowers.employment_status"], ["credit commitments.total debt"], AS_OF)
+    return show(out, outstanding_exposure=money("outstanding_exposure"))
+
+
 # Reviewer's figures ---------------------------------------------------------
 @query
 def kpis(spark, d):
@@ -494,9 +569,8 @@ def kpis(spark, d):
 
 @query
 def three_outcomes(spark, d):
-    rounds = _two_rounds(spark, d)
-    return big(dashboard.three_outcomes(rounds.audit(), _profile_now(rounds, spark)),
-               "first_worst_staleness_days")
+    rows = _two_rounds(spark, d).drift(dashboard.outcome_columns())
+    return big(dashboard.three_outcomes_of(rows), "first_worst_staleness_days")
 
 
 @query
@@ -518,13 +592,13 @@ def exposure_by_feed(spark, d):
 
 @query
 def understated(spark, d):
-    out = dashboard.understated(_drift(_two_rounds(spark, d), spark))
+    out = dashboard.understated(_drift(spark, d))
     return show(out, largest_dti_gap=F.col("largest_dti_gap").cast("decimal(18,2)"))
 
 
 @query
 def dti_long(spark, d):
-    return show(dashboard.dti_long(_drift(_two_rounds(spark, d), spark)),
+    return show(dashboard.dti_long(_drift(spark, d)),
                 decided_at=ts("decided_at")).drop("decision_id")
 
 

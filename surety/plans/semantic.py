@@ -87,17 +87,21 @@ class SemanticModel:
                 self._names[key] = item
 
     def resolve(self, name: str) -> Dimension | Metric:
-        """A dimension or metric by name, ``table.name`` or synonym."""
+        """A dimension or metric by name or synonym, alone or after its table's name or synonym and a dot."""
         key = name.lower()
         if key in self._names:
             return self._names[key]
         if "." in key:
             table, short = key.split(".", 1)
             item = self._names.get(short)
-            if item is not None and item.table == table:
+            if item is not None and item.table == self._table_named(table):
                 return item
         raise KeyError(f"no dimension or metric called {name!r}")
 
+    def _table_named(self, name: str) -> str | None:
+        """A logical table by name or synonym."""
+        return next((t.name for t in self.tables if name in (t.name.lower(), *(s.lower() for s in t.synonyms))), None)
+
     def describe(self) -> list[tuple[str, str, str, str]]:
         """(kind, table, name, comment) of everything in the model."""
         rows = [("table", t.name, t.name, t.comment) for t in self.tables]
@@ -119,13 +123,20 @@ class SemanticModel:
         as_of: AsOf,
         where: Column | str | None = None,
     ) -> DataFrame:
-        """Metrics by dimensions. ``where`` filters the result, by its output names."""
+        """Metrics by dimensions; without dimensions, grand totals in one row.
+
+        ``where`` filters the result, by its output names.
+        """
         dims = [self.resolve(n) for n in dimensions]
         wanted = [self.resolve(n) for n in metrics]
-        if not dims or not all(isinstance(d, Dimension) for d in dims):
-            raise ValueError("at least one dimension is needed, and only dimensions may be listed there")
+        if not all(isinstance(d, Dimension) for d in dims):
+            raise ValueError("only dimensions may be listed as dimensions")
         if not all(isinstance(m, Metric) for m in wanted):
             raise ValueError("only metrics may be listed as metrics")
+        if not dims:
+            if not wanted:
+                raise ValueError("at least one dimension or metric is needed")
+            return self._totals(data, wanted, as_of, where)
         parents = {r.parent for r in self.relationships}
         child_dims = {d.table for d in dims} - parents
         for table in child_dims:
@@ -144,6 +155,19 @@ class SemanticModel:
         out = rows.groupBy(*names).agg(*combine) if wanted else rows.select(*names).distinct()
         return out.filter(where) if where is not None else out
 
+    def _totals(
+        self, data: dict[str, DataFrame], metrics: list[Metric], as_of: AsOf, where: Column | str | None
+    ) -> DataFrame:
+        """One row: each table is reduced to its own total first, and the single rows are stacked."""
+        parts = []
+        for table in sorted({m.table for m in metrics}):
+            own = [m for m in metrics if m.table == table]
+            rows = data[table].select(*[m.value(as_of).alias(m.name) for m in own])
+            parts.append(rows.agg(*[_COMBINE[m.how](m.name).alias(m.name) for m in own]))
+        stacked = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
+        out = stacked.agg(*[F.max(m.name).alias(m.name) for m in metrics])
+        return out.filter(where) if where is not None else out
+
     def _around_parent(
         self, data: dict[str, DataFrame], dims: list[Dimension], metrics: list[Metric], as_of: AsOf
     ) -> DataFrame:

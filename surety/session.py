@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import SparkSession
 
-# Only set where the cluster has not chosen a value of its own.
+# The results rest on the time zone, so these are set whatever the cluster's defaults say.
 _DEFAULTS = {
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.adaptive.enabled": "true",
@@ -30,17 +30,3 @@ def configure(builder: SparkSession.Builder, local_cores: int | None = None) ->
             .config("spark.ui.enabled", "false")
         )
     return builder
-
-
-def shared_folder(spark: SparkSession, fallback: str | None = None) -> str:
-    """The folder all executors can reach, as named by the cluster.
-
-    ``fallback`` is used only where the setting is absent (tests on one machine).
-    """
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if folder:
-        return folder
-    if fallback is None:
-        raise ValueError("spark.checkpoint.dir is not set and no fallback folder was given")
-    spark.conf.set("spark.checkpoint.dir", fallback)
-    return fallback

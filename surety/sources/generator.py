@@ -150,6 +150,11 @@ def seed_sources(spark: SparkSession, entities: int = 60) -> Sources:
         (F.col("id") % entities + 1).alias("applicant_idx"),
         F.floor(F.col("id") / entities).alias("slot"),
     )
+    return planted(spark, index, grid)
+
+
+def planted(spark: SparkSession, index: DataFrame, grid: DataFrame) -> Sources:
+    """The feeds over ``index(i)`` and ``grid(i, applicant_idx, slot)``, with example, duplicate and orphan."""
     debts = liabilities(grid)
     copy = debts.filter(F.col("liability_id") == DUPLICATE_OF).withColumn("liability_id", F.lit(DUPLICATE_ID))
     return Sources(

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import types as T
 
 from surety.model import SCOPES, Sources
 
@@ -17,8 +18,24 @@ def replace_sources(sources: Sources, folder: str) -> None:
         df.write.mode("overwrite").partitionBy("source_system").parquet(f"{folder}/{name}")
 
 
+def stored_table(spark: SparkSession, path: str, schema: T.StructType | None = None) -> DataFrame:
+    """A stored table, with the given schema where there is one.
+
+    Folder names carry no types. With a schema a feed called ``0042`` stays
+    text; without one, what Spark would make of folder names is not asked for.
+    """
+    reader = spark.read
+    if schema is not None:
+        return reader.schema(schema).parquet(path)
+    files = reader.parquet(path)
+    texts = {n: "string" for n in ("source_system", "trust_batch_id") if n in files.columns}
+    fields = [T.StructField(f.name, T.StringType() if f.name in texts else f.dataType, f.nullable) for f in files.schema]
+    return reader.schema(T.StructType(fields)).parquet(path)
+
+
 def stored_sources(spark: SparkSession, folder: str) -> Sources:
-    return Sources(**{name: spark.read.parquet(f"{folder}/{name}") for name in SCOPES})
+    """The four tables as stored; feeds are text whatever they look like."""
+    return Sources(**{name: stored_table(spark, f"{folder}/{name}") for name in SCOPES})
 
 
 def bucket_sources(sources: Sources, folder: str, prefix: str, buckets: int) -> None:
@@ -49,8 +66,9 @@ def append_batch(df: DataFrame, path: str) -> None:
 def replace_feeds(df: DataFrame, path: str) -> None:
     """Overwrite the feeds present in ``df`` and no others.
 
-    Rows are staged first and swapped in when the job commits, so a job that
-    loses executors or fails half-way leaves the table as it was.
+    Rows are staged first, so a job that loses executors or fails before its
+    commit leaves the table as it was. The commit itself deletes and renames
+    folder by folder and is not atomic: after a failure there, run it again.
     """
     (
         df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")

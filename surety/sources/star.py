@@ -20,11 +20,13 @@ AS_OF = "2024-03-01 23:30:00"
 STALLED_BEFORE = "1995-03-01"
 SEGMENT_DOMAIN = ("AUTOMOBILE", "BUILDING", "HOUSEHOLD", "MACHINERY")
 NEW_LOAN_OFFSET = 10**12
+SUPPLIER_OFFSET = 10**9  # suppliers apply too, under keys of their own; they owe nothing
 
 
 # Columns used of each table, declared so that opening a table needs no look at its files.
 _TABLES = {
     "customer": "c_custkey bigint, c_name string, c_nationkey int, c_acctbal double, c_mktsegment string",
+    "supplier": "s_suppkey bigint, s_name string, s_nationkey int, s_acctbal double",
     "orders": "o_orderkey bigint, o_custkey bigint, o_orderstatus string, o_totalprice double, "
               "o_orderdate timestamp_ntz, o_orderpriority string",
     "lineitem": "l_orderkey bigint, l_linenumber int",
@@ -39,8 +41,17 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
 
 
 def seeds(spark: SparkSession, folder: str) -> Sources:
-    """Holding tables (offset columns) derived from customer and orders."""
-    customer = table(spark, folder, "customer")
+    """Holding tables (offset columns) derived from customer, supplier and orders.
+
+    Suppliers are applicants without a liability. Every seventh applicant has
+    a second, newer income record, whose figure is missing for every other one.
+    """
+    customer = table(spark, folder, "customer").select(
+        "c_custkey", "c_name", "c_nationkey", "c_acctbal", "c_mktsegment").unionByName(
+        table(spark, folder, "supplier").select(
+            (F.col("s_suppkey") + SUPPLIER_OFFSET).alias("c_custkey"), F.col("s_name").alias("c_name"),
+            F.col("s_nationkey").alias("c_nationkey"), F.col("s_acctbal").alias("c_acctbal"),
+            F.lit("BUILDING").alias("c_mktsegment")))
     orders = table(spark, folder, "orders")
     applicants = customer.selectExpr(
         "c_custkey AS applicant_id",
@@ -64,6 +75,16 @@ def seeds(spark: SparkSession, folder: str) -> Sources:
         "'PAYROLL_VERIFY' AS source_system",
         "cast(c_custkey % 9 AS int) AS loaded_hours_ago",
     )
+    second = customer.filter("c_custkey % 7 = 0").selectExpr(
+        "concat('INC-', c_custkey, '-B') AS income_record_id",
+        "c_custkey AS applicant_id",
+        "cast(if(c_custkey % 2 = 0, null, 30000 + c_nationkey * 1000) AS decimal(12,2)) AS gross_annual_income",
+        "'TAX_RETURN' AS verification_method",
+        "0 AS effective_days_ago",
+        "'PAYROLL_VERIFY' AS source_system",
+        "0 AS loaded_hours_ago",
+    )
+    income = income.unionByName(second)
     stalled = f"o_orderdate < timestamp_ntz'{STALLED_BEFORE}'"
     balance = "cast(floor(o_totalprice / 1000) * 1000 AS decimal(12,2))"
     liabilities = orders.selectExpr(
@@ -113,18 +134,18 @@ def late_batch(spark: SparkSession, folder: str, as_of: AsOf = AS_OF) -> DataFra
     urgent = seeds(spark, folder).liabilities.filter(
         (F.col("source_system") == "BUREAU_TU") & (F.col("liability_type") == "1-URGENT")
     )
-    now = {"effective_days_ago": F.lit(1), "loaded_hours_ago": F.lit(2)}
-    refreshed = urgent.withColumns(
-        {**now, "outstanding_balance": (F.col("outstanding_balance") - 500).cast(MONEY)}
-    )
-    unseen = urgent.withColumns({
-        **now,
-        "liability_id": F.col("liability_id") + F.lit(NEW_LOAN_OFFSET),
-        "liability_type": F.lit("6-LATE"),
-        "outstanding_balance": (F.col("outstanding_balance") * F.lit(Decimal("0.5"))).cast(MONEY),
-        "monthly_payment": (F.col("monthly_payment") * 2).cast(MONEY),
-    })
-    return apply_offsets(refreshed.unionByName(unseen), as_of)
+    balance, payment = F.col("outstanding_balance"), F.col("monthly_payment")
+
+    def row(liability_id, kind, owed, monthly):
+        return F.struct(liability_id.alias("liability_id"), kind.alias("liability_type"),
+                        owed.cast(MONEY).alias("outstanding_balance"), monthly.cast(MONEY).alias("monthly_payment"))
+
+    refreshed = row(F.col("liability_id"), F.col("liability_type"), balance - 500, payment)
+    unseen = row(F.col("liability_id") + F.lit(NEW_LOAN_OFFSET), F.lit("6-LATE"), balance * F.lit(Decimal("0.5")), payment * 2)
+    both = urgent.withColumn("row", F.explode(F.array(refreshed, unseen))).withColumns(
+        {"effective_days_ago": F.lit(1), "loaded_hours_ago": F.lit(2),
+         **{c: F.col(f"row.{c}") for c in ("liability_id", "liability_type", "outstanding_balance", "monthly_payment")}})
+    return apply_offsets(both.drop("row"), as_of)
 
 
 def partner_signals(spark: SparkSession, folder: str) -> DataFrame:

@@ -14,7 +14,6 @@ from surety.operators import decide
 from surety.operators.late import apply_late
 from surety.plans.assess import _not_yet_stored, assess, record, recorded, recover_feed
 from surety.plans.views import register_views
-from surety.session import shared_folder
 from surety.sources import csv_feed, generator, sinks
 from surety.sources.offsets import apply_offsets
 from surety.model import SEED_LIABILITIES
@@ -69,14 +68,77 @@ def test_lineage_now_and_as_recorded(rounds):
     assert pick(au.source_lineage(first.audit, first.sources, now))["LIA-80042"] == ("406800.00", 0)
 
 
-def test_long_record_lists_stay_in_their_own_table(rounds):
-    made = rounds.first
-    listed = decide.inline_record_ids(made.audit, made.sources, longest=2)
-    rows = {r.applicant_id: r.liability_records for r in listed.collect()}
-    assert rows["APP-10042"] == ["LIA-80042", "LIA-80043"] and rows["APP-10001"] is None
-    full = au.flatten_record_ids(decide.inline_record_ids(made.audit, made.sources))
-    assert full.select("liability_record_id").exceptAll(
-        made.sources.select("liability_id")).count() == 0 and full.count() == 165
+def test_every_record_of_a_large_entity_is_recorded(spark, make, thresholds):
+    import hashlib
+
+    made = assess(make([debt(str(n), 500) for n in range(5000)]), "AGENT", AS_OF, thresholds)
+    ids = sorted(r.liability_record_id for r in au.recorded_ids(made.sources).collect())
+    assert ids == sorted(str(n) for n in range(5000))
+    kept = made.audit.first().source_record_ids
+    assert kept.liability_record_count == 5000
+    assert int(kept.liability_record_digest) == sum(int(hashlib.md5(i.encode()).hexdigest()[:8], 16) for i in ids)
+
+
+def test_entity_without_debts_has_empty_lists(make, thresholds):
+    row = assess(make([debt("1", 5)], applicants=("A", "B")), "AGENT", AS_OF, thresholds).audit.filter("applicant_id = 'B'").first()
+    assert row.source_feeds_used == [] and row.source_record_ids.liability_record_count == 0
+    assert int(row.source_record_ids.liability_record_digest) == 0
+
+
+def test_doubled_applicant_fails(make, thresholds):
+    made = assess(make([debt("1", 5)], applicants=("A", "A")), "AGENT", AS_OF, thresholds)
+    with pytest.raises(Exception, match="applicants table holds more than one row"):
+        made.audit.collect()
+
+
+def test_half_written_signals_are_completed(spark, lending, thresholds, tmp_path):
+    made = assess(lending, "AGENT", AS_OF, thresholds)
+    sinks.append_batch(made.batch.filter("feed_name in ('BUREAU_EQ', 'BUREAU_TU')"), f"{tmp_path}/trust_batch")
+    record(spark, made, str(tmp_path))
+    assert recorded(spark, str(tmp_path)).batch.count() == 5
+
+
+def test_audit_rests_on_the_stored_sources(spark, make, thresholds, tmp_path):
+    from dataclasses import replace
+
+    made = assess(make([debt("1", 5)]), "AGENT", AS_OF, thresholds)
+    reloaded = assess(make([debt("1", 5), debt("2", 5)]), "AGENT", AS_OF, thresholds)
+    record(spark, replace(reloaded, sources=made.sources), str(tmp_path))  # facts grew between the two writes
+    kept = recorded(spark, str(tmp_path))
+    total = kept.sources.agg(F.sum("outstanding_balance")).first()[0]
+    assert kept.audit.first().outstanding_exposure == total and kept.audit.first().source_record_ids.liability_record_count == 1
+
+
+@pytest.mark.parametrize("feed", ["0042", None])
+def test_stored_feed_names_keep_their_text(spark, make, tmp_path, feed):
+    path = f"{tmp_path}/liabilities"
+    sinks.replace_feeds(make([debt("1", 500, feed=feed), debt("2", 500, feed="ZZ")]).liabilities, path)
+    for _ in range(2):
+        recover_feed(spark, path, make([debt("1", 1, "5.00", feed=feed), debt("3", 1, feed=feed)]).liabilities)
+        spark.catalog.refreshByPath(path)
+    got = {r.liability_id: (str(r.outstanding_balance), r.source_system) for r in sinks.stored_table(spark, path).collect()}
+    assert got == {"1": ("5.00", feed), "2": ("1000.00", "ZZ"), "3": ("1000.00", feed)}
+    assert sinks.stored_table(spark, path).count() == 3
+
+
+def test_ids_of_different_parts_differ(spark):
+    from surety.functions.ids import stable_id
+
+    pairs = [("a|b", "c"), ("a", "b|c"), ("", "x"), (None, "x"), ("1:a", "")]
+    ids = [r.i for r in spark.createDataFrame(pairs, "a string, b string").select(stable_id("X-", F.col("a"), F.col("b")).alias("i")).collect()]
+    assert len(set(ids)) == len(pairs)
+
+
+def test_record_signals_meet_their_own_decision_only(spark, lending, thresholds):
+    from surety.model import PARTNER_SIGNALS
+
+    rows = [(f"S{n}", "RAW.APPLICANTS", "P", f"APP-1000{n}", "RULE", "ACCURACY", None, None, "PASS", False, None, "x") for n in (1, 2)]
+    partner = spark.createDataFrame(rows, PARTNER_SIGNALS)
+    made = assess(lending, "AGENT", AS_OF, thresholds, partner)
+    assert made.batch.count() == 7
+    snap = made.snapshot()
+    assert snap.count() == 60 * 5 + 2 and snap.select("snapshot_id").distinct().count() == 302
+    assert [r.applicant_id for r in snap.filter("signal_source = 'PARTNER'").orderBy("applicant_id").collect()] == ["APP-10001", "APP-10002"]
 
 
 def test_snapshot_pairs_every_decision_with_every_signal(rounds):
@@ -172,16 +234,6 @@ def test_bucketed_tables_are_decided_without_an_exchange(spark, lending, thresho
             spark.sql(f"DROP TABLE bucketed_test_{name}")
 
 
-def test_shared_folder(spark, tmp_path):
-    was = spark.conf.get("spark.checkpoint.dir", None)
-    if was is None:
-        with pytest.raises(ValueError):
-            shared_folder(spark)
-        assert shared_folder(spark, str(tmp_path)) == str(tmp_path)
-        assert shared_folder(spark) == str(tmp_path)
-        spark.conf.unset("spark.checkpoint.dir")
-
-
 def test_generator_scales(spark):
     big = generator.seed_sources(spark, 1000)
     assert big.applicants.count() == 1000
