@@ -7,6 +7,7 @@ dropped by its word count before its bigrams are built, and the rest meet only t
 
 from __future__ import annotations
 
+import math
 import re
 from collections import defaultdict
 
@@ -52,7 +53,7 @@ def bigrams(text: str) -> list[str]:
 
 def size_bounds(n: int, dice: float) -> range:
     """Sizes of sets that can reach the coefficient with a set of n: at most the lesser size is shared."""
-    return range(-int(-(n * dice / (2 - dice)) // 1), int(n * (2 - dice) / dice + 1e-9) + 1)
+    return range(math.ceil(n * dice / (2 - dice) - 1e-9), math.floor(n * (2 - dice) / dice + 1e-9) + 1)
 
 
 def _candidates(templates: list[tuple[str, str]], dice: float) -> tuple[Column, int]:
