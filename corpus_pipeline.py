@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from surety.llm import decontaminate, language_id, line_dedup, near_dedup, packing
-from surety.llm.common import fold, stored
+from surety.llm.common import fold, importable, stored
 from surety.llm.queries import table, tokenizer_path
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
@@ -15,27 +15,32 @@ Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose text looks like one of the labelled languages."""
+    importable(spark)
     model = language_id.fit(docs, fold("doc_id", 5) != 0)
     return language_id.accepted(docs, model)
 
 
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Lines that stand in ten documents or more stay in the first one only."""
+    importable(spark)
     return line_dedup.apply_bitmaps(docs, line_dedup.keep_bitmaps(docs, min_docs=10, min_chars=1, keep="first"))
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies: shingles of five words, similarity 0.8."""
+    importable(spark)
     return near_dedup.deduplicated(docs, shingle_words=5, percent=80)
 
 
 def drop_benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold no item of the benchmark."""
+    importable(spark)
     return decontaminate.cleaned(docs, table(spark, sf_dir, "benchmark"))
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of the documents in sequences of 2048 tokens."""
+    importable(spark)
     return packing.pack(docs, tokenizer_path())
 
 
