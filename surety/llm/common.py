@@ -6,6 +6,7 @@ import os
 import tempfile
 import uuid
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -22,6 +23,12 @@ def shared_folder(spark: SparkSession) -> str:
     return folder
 
 
+def importable(spark: SparkSession) -> None:
+    """Lets Python workers that see the driver's files import this package; elsewhere it is shipped with --py-files."""
+    root = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+    spark.sparkContext.environment.setdefault("PYTHONPATH", root)
+
+
 def stored(df: DataFrame) -> DataFrame:
     """Write the rows into the shared folder and read them back: lineage ends there, and a lost executor loses nothing."""
     path = f"{shared_folder(df.sparkSession).rstrip('/')}/surety-{uuid.uuid4().hex}"
@@ -55,3 +62,28 @@ def words(text: bytes) -> list[bytes]:
 
 def blocks(total: int, size: int) -> int:
     return max(1, -(-total // size))
+
+
+_ASCII_LOWER = np.arange(256, dtype=np.uint8)
+_ASCII_LOWER[65:91] += 32
+_IS_SPACE = np.isin(np.arange(256), [9, 10, 11, 12, 13, 32])
+_BYTE = np.random.default_rng(17).integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+_BASE = np.uint64(0x9E3779B97F4A7C15)
+_powers = np.ones(1, np.uint64)
+
+
+def word_hashes(text: bytes) -> np.ndarray:
+    """64-bit hash of each word that `words` gives, in order: a polynomial over the word's bytes, mixed with its length."""
+    global _powers
+    b = _ASCII_LOWER[np.frombuffer(text, np.uint8)]
+    at = np.flatnonzero(~_IS_SPACE[b])
+    if not len(at):
+        return np.zeros(0, np.uint64)
+    first = np.flatnonzero(np.r_[True, np.diff(at) > 1])
+    size = np.diff(np.r_[first, len(at)])
+    if (longest := int(size.max())) > len(_powers):
+        _powers = np.cumprod(np.r_[np.uint64(1), np.full(2 * longest, _BASE)], dtype=np.uint64)
+    place = np.arange(len(at)) - np.repeat(first, size)
+    h = np.add.reduceat(_BYTE[b[at]] * _powers[place], first) + size.astype(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F)
+    h = (h ^ (h >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
+    return h ^ (h >> np.uint64(32))

@@ -9,10 +9,11 @@ from pyspark.sql import functions as F
 
 from surety.llm import (decontaminate, gru_score, html_text, language_id, licenses, line_dedup, near_dedup, packing, passages,
                         vp_search)
-from surety.llm.common import fold
+from surety.llm.common import fold, importable
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    importable(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
