@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 
 def stable_id(prefix: str, *parts: Column) -> Column:
-    """Prefix and SHA-256 of the parts.
+    """Prefix and the first 48 hex digits of the SHA-256 of the parts (ids are at most 60 characters long).
 
     Each part is written with its length in front and NULL as ``-``, so parts
     that hold a separator, are empty or are missing never read alike.
@@ -16,7 +16,7 @@ def stable_id(prefix: str, *parts: Column) -> Column:
     for p in parts:
         text = p.cast("string")
         written.append(F.coalesce(F.concat(F.length(text).cast("string"), F.lit(":"), text), F.lit("-")))
-    return F.concat(F.lit(prefix), F.sha2(F.concat_ws("|", *written), 256))
+    return F.concat(F.lit(prefix), F.substring(F.sha2(F.concat_ws("|", *written), 256), 1, 48))
 
 
 def digest_part(record_id: Column) -> Column:
