@@ -2,14 +2,13 @@
 
 A text's set: the distinct shingles of its words, as 64-bit hashes. Two collections of `HALVES` half keys, each of `WIDTH`
 minhashes, are computed per set; table (i, j) is keyed by half key i of the first and half key j of the second collection.
-So HALVES^2 tables of 2 * WIDTH minhashes cost 2 * HALVES * WIDTH minhashes, not 2 * WIDTH * HALVES^2. With 10 and 2, a
-pair of similarity 0.8 shares no table with probability 2 * (1 - 0.8^2)^10, 7 in 100,000, and a closer one less often.
+So HALVES^2 tables of 2 * WIDTH minhashes cost 2 * HALVES * WIDTH minhashes, not 2 * WIDTH * HALVES^2. With 9 and 2, a
+pair of similarity 0.8 shares no table with probability 2 * (1 - 0.8^2)^9, 2 in 10,000, and a closer one less often.
 
 Equal sets are one class before anything is compared, so copies cost one row each. Buckets are never expanded into pairs:
-each round compares all members of a bucket with one leader, merges what passed, and closes buckets whose members are all
-one component or compared. When a round merges nothing more, the members of buckets still open are joined exactly, on the
-rarest words of their sets (prefix filter), so that no link is lost whatever the buckets look like. All links are
-confirmed on full sets.
+all members of a bucket are compared with its leader, and what passed is merged. Members of buckets that then still hold
+different components are joined exactly, on the rarest words of their sets (prefix and position filters), so that no link
+is lost whatever the buckets look like. All links are confirmed on full sets.
 """
 
 from __future__ import annotations
@@ -23,30 +22,18 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
-from surety.llm.common import fresh, raw_texts, stored, words
+from surety.llm.common import fresh, raw_texts, stored, word_hashes
 from surety.llm.graph import components
 
-HALVES, WIDTH = 10, 2
+HALVES, WIDTH = 9, 2
 SEED = 20240229
-_MEMORY = 400_000  # word hashes that a worker keeps
 
 _U = np.uint64
 
 
-class _Hashes(dict):
-    def __missing__(self, word: bytes) -> int:
-        if len(self) >= _MEMORY:
-            self.clear()
-        h = self[word] = xxhash.xxh3_64_intdigest(word)
-        return h
-
-
-_hashes = _Hashes()
-
-
 def shingles(text: bytes, size: int) -> np.ndarray:
     """Sorted distinct hashes of the shingles of `size` words; the whole sequence where there are fewer; empty without words."""
-    w = np.array([_hashes[x] for x in words(text)], np.uint64)
+    w = word_hashes(text)
     if not len(w):
         return w
     size = min(size, len(w))
@@ -146,28 +133,24 @@ def _explode_members(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBat
 
 
 def _prefix_pairs(nodes: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Pairs of nodes of different labels that can be similar: they share one of the rarest members of their sets.
+    """Pairs of nodes of different labels that can be similar, by the rarest members of their sets; none is lost.
 
-    A set of n members that is similar to another shares at least ceil(percent * n / 100) with it, so one of the first
-    n - ceil(...) + 1 in any common order; the order is rarest first.
+    A set of n members that is similar to another shares at least ceil(percent * n / 100) with it, so one of its first
+    n - ceil(...) + 1 in any common order; the order is rarest first. If the first shared member stands at places p and q of
+    sets of n and m, they share at most 1 + min(n - p, m - q), which must reach percent / (100 + percent) * (n + m).
     """
-    rows = nodes.join(sets, "node").mapInArrow(_explode_members, "node long, label long, shingle long, n int")
-    rows = stored(rows.select("node", "label", "shingle", "n"))
-    counts = rows.groupBy("shingle").agg(F.count("*").alias("f"))
-    rank = F.row_number().over(Window.partitionBy("node").orderBy("f", "shingle"))
+    rows = stored(nodes.join(sets, "node").mapInArrow(_explode_members, "node long, label long, shingle long, n int"))
+    counts = rows.groupBy("shingle").agg(F.count("*").alias("f"), F.min("label").alias("lo"), F.max("label").alias("hi"))
+    place = F.row_number().over(Window.partitionBy("node").orderBy("f", "shingle"))
     least = F.ceil(F.col("n") * percent / 100.0 - 1e-9)
-    prefix = rows.join(counts, "shingle").withColumn("rank", rank).filter(F.col("rank") <= F.col("n") - least + 1)
-    mixed = prefix.groupBy("shingle").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo < hi").select("shingle")
-    left = stored(prefix.join(mixed, "shingle").select("shingle", "node", "label"))
-    right = left.select("shingle", F.col("node").alias("v"), F.col("label").alias("other"))
-    return (left.withColumnRenamed("node", "u").join(right, "shingle")
-            .filter((F.col("u") < F.col("v")) & (F.col("label") != F.col("other"))).select("u", "v").distinct())
-
-
-def _relabelled(rows: DataFrame, roots: DataFrame) -> DataFrame:
-    """The rows with the label of each node's component."""
-    r = roots.select(F.col("node").alias("label"), "root")
-    return rows.join(r, "label", "left").withColumn("label", F.coalesce("root", "label")).drop("root")
+    prefix = stored(rows.join(counts, "shingle").withColumn("place", place)
+                    .filter((F.col("place") <= F.col("n") - least + 1) & (F.col("lo") < F.col("hi")))
+                    .select("shingle", "node", "label", "n", "place"))
+    right = prefix.select("shingle", *(F.col(c).alias(f"{c}2") for c in ("node", "label", "n", "place")))
+    most = 1 + F.least(F.col("n") - F.col("place"), F.col("n2") - F.col("place2"))
+    can = most * (100 + percent) >= percent * (F.col("n") + F.col("n2"))
+    return (prefix.join(right, "shingle").filter((F.col("node") < F.col("node2")) & (F.col("label") != F.col("label2")) & can)
+            .select(F.col("node").alias("u"), F.col("node2").alias("v")).distinct())
 
 
 def _links(classes: DataFrame, docs: DataFrame, size: int, percent: int) -> DataFrame:
@@ -175,38 +158,21 @@ def _links(classes: DataFrame, docs: DataFrame, size: int, percent: int) -> Data
     i, j = F.posexplode("a").alias("i", "x"), F.posexplode("b").alias("j", "y")
     keys = (classes.select("node", "b", i).select("node", "i", "x", j)
             .select(F.xxhash64("i", "j", "x", "y").alias("key"), "node"))
-    led = keys.groupBy("key").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).filter("lo < hi").select("key")
-    members = stored(keys.join(led, "key").select("key", "node", F.col("node").alias("label")))
-    some = members.select("node").distinct()
-    texts = docs.join(some.withColumnRenamed("node", "doc_id"), "doc_id", "left_semi")
-    sets = stored(texts.mapInArrow(_sets(size), "node long, n int, members binary"))
-    edges, roots, turn = None, None, 0
-    while True:
-        order = F.col("node") if turn == 0 else F.xxhash64("node", F.lit(turn))
-        lead = members.groupBy("key").agg(F.min_by("node", order).alias("leader"), F.min_by("label", order).alias("own"),
-                                          F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo < hi")
-        faced = members.join(lead.select("key", "leader", "own"), "key")
-        pairs = (faced.filter(F.col("label") != F.col("own"))
-                 .select(F.least("node", "leader").alias("u"), F.greatest("node", "leader").alias("v")).distinct())
-        found = _confirmed(pairs, sets, percent)
-        edges = found if edges is None else edges.union(found)
-        rest = faced.filter(F.col("node") != F.col("leader")).select("key", "node", "label")
-        merged = not found.isEmpty()
-        if merged:
-            roots = components(edges)
-            rest = _relabelled(rest.select("key", "node", F.col("node").alias("label")), roots)
-        mixed = rest.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo < hi").select("key")
-        members = stored(rest.join(mixed, "key", "left_semi"))
-        if members.isEmpty():
-            break
-        if not merged:
-            open_nodes = stored(members.select("node", "label").distinct())
-            found = _confirmed(_prefix_pairs(open_nodes, sets, percent), sets, percent)
-            if not found.isEmpty():
-                roots = components(edges.union(found))
-            break
-        turn += 1
-    return roots if roots is not None else classes.select("node", F.col("node").alias("root")).limit(0)
+    led = keys.groupBy("key").agg(F.min("node").alias("leader"), F.max("node").alias("hi")).filter("leader < hi").select("key", "leader")
+    members = stored(keys.join(led, "key").filter("node != leader"))
+    pairs = members.select(F.col("leader").alias("u"), F.col("node").alias("v")).distinct()
+    some = pairs.select(F.explode(F.array("u", "v")).alias("doc_id")).distinct()
+    sets = stored(docs.join(some, "doc_id", "left_semi").mapInArrow(_sets(size), "node long, n int, members binary"))
+    edges = _confirmed(pairs, sets, percent)
+    roots = components(edges)
+    # What a bucket has not compared yet: members other than its leader that are of different components.
+    labelled = members.join(roots, "node", "left").select("key", "node", F.coalesce("root", "node").alias("label"))
+    mixed = labelled.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo < hi").select("key")
+    rest = stored(labelled.join(mixed, "key").select("node", "label").distinct())
+    if rest.isEmpty():
+        return roots
+    more = _confirmed(_prefix_pairs(rest, sets, percent), sets, percent)
+    return roots if more.isEmpty() else components(edges.union(more))
 
 
 def near_duplicates(docs: DataFrame, shingle_words: int = 5, percent: int = 80) -> DataFrame:
