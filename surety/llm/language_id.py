@@ -29,6 +29,7 @@ SAMPLE = 512        # labelled rows per language that the centroids are fitted o
 CENTROIDS = 3
 ROUNDS = 8
 SLACK = 0.5
+LEAST = 0.1         # clusters with less than this share of a language's sample are dropped: wrong labels gather there
 UNKNOWN = "und"
 
 # Byte classes: letters of ASCII lower-cased, bytes of longer characters as they are, all else one blank.
@@ -88,6 +89,8 @@ def _centroids(idf: np.ndarray):
             near = (x @ c.T).argmax(1)
             sums = np.stack([x[near == i].sum(0) if (near == i).any() else c[i] for i in range(len(c))])
             c = sums / np.linalg.norm(sums, axis=1, keepdims=True)
+        size = np.bincount((x @ c.T).argmax(1), minlength=len(c))
+        c = c[size >= min(LEAST * len(x), size.max())]
         floor = float((x @ c.T).max(1).min())
         return pd.DataFrame({"lang": rows["lang"].iloc[0], "floor": floor,
                              "centroid": [v.astype(np.float32).tobytes() for v in c]})
