@@ -75,8 +75,14 @@ def _merge_pairs(left: Column, right: Column) -> Column:
     )))
 
 
-def with_partner(state: DataFrame, partner: DataFrame | None) -> DataFrame:
-    """Add ``partner_trust_index`` and ``partner_blocking_failures``."""
+def with_partner(state: DataFrame, applicants: DataFrame, partner: DataFrame | None) -> DataFrame:
+    """Add ``partner_trust_index`` and ``partner_blocking_failures``.
+
+    Partners name records by text. The match is made on a narrow table of ids,
+    so that the wide state is joined on the key it already lies by. The rules
+    of table-wide assessments travel as one short list: rule names are a
+    catalogue of the partner's, not data that grows with the records.
+    """
     if partner is None:
         return state.withColumns({
             "partner_trust_index": F.lit(None).cast(INDEX),
@@ -84,10 +90,9 @@ def with_partner(state: DataFrame, partner: DataFrame | None) -> DataFrame:
         })
     index, failures = _table_wide(partner)
     empty = F.array().cast(_NO_FAILURES)
-    own = partner_by_entity(partner)
-    joined = state.join(
-        own, F.col("applicant_id").cast("string") == F.col("record_identifier"), "left"
-    )
+    ids = applicants.select("applicant_id", F.col("applicant_id").cast("string").alias("record_identifier")).distinct()
+    own = ids.join(partner_by_entity(partner), "record_identifier").drop("record_identifier")
+    joined = state.join(own, "applicant_id", "left")
     return (
         joined.withColumns({
             # least() skips a missing side, like a minimum over the combined rows
@@ -97,7 +102,7 @@ def with_partner(state: DataFrame, partner: DataFrame | None) -> DataFrame:
         })
         .withColumn("partner_blocking_failures",
                     _merge_pairs(F.col("own_failures"), F.col("wide_failures")))
-        .drop("record_identifier", "own_index", "own_failures", "wide_failures")
+        .drop("own_index", "own_failures", "wide_failures")
     )
 
 
@@ -130,10 +135,9 @@ def with_verdict(
     ``strict`` also blocks on every other blocking timeliness rule and on the
     partner's blocking failures.
     """
-    s = with_partner(state, partner)
     copies = content_duplicates(sources.liabilities, content_keys).select(
         "applicant_id", F.col("duplicate_groups").alias("duplicate_liabilities"))
-    s = s.join(copies, "applicant_id", "left")
+    s = with_partner(state.join(copies, "applicant_id", "left"), sources.applicants, partner)
     limit = fail_limit(thresholds, LIABILITY_STALENESS)
     s = s.withColumns({
         "worst_staleness_days": F.coalesce(F.col("max_liability_staleness_days"), F.lit(0)),

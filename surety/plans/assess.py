@@ -9,6 +9,7 @@ from functools import reduce
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from surety.functions.clock import AsOf, instant
 from surety.model import LIABILITIES, Sources
@@ -187,3 +188,44 @@ def recover_feed(
         merged = late.feed_catch_up(merged, feed, as_of)
     replace_feeds(merged, path)
     return sorted(touched, key=lambda n: (n is None, n or ""))
+
+
+def late_path(path: str) -> str:
+    """Where the late batches of a stored liabilities table are kept."""
+    return f"{path.rstrip('/')}_late"
+
+
+def append_late(batch: DataFrame, path: str, version: int) -> None:
+    """Keep a late batch beside the stored table, as one version; no file that exists is touched.
+
+    Versions count upwards. A batch with a doubled key fails. Appending a
+    version again, as after a failure, changes nothing that is read.
+    """
+    rows = late.one_row_per_key(batch).withColumn("version", F.lit(version).cast("bigint"))
+    rows.write.mode("append").partitionBy("version").parquet(late_path(path))
+
+
+def current_liabilities(spark: SparkSession, path: str) -> DataFrame:
+    """The stored table with all late versions applied, the latest figures of each key winning.
+
+    Versions are reduced to one row per key first: figures of the latest, all
+    else of the earliest one, which is what applying them one after the other
+    gives. Then they meet the facts in one merge.
+    """
+    facts = stored_table(spark, path)
+    schema = T.StructType([*facts.schema.fields, T.StructField("version", T.LongType())])
+    try:
+        versions = stored_table(spark, late_path(path), schema)
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return facts
+    fixed = [c for c in facts.columns if c not in (late.KEY, *late.REFRESHED)]
+    latest = versions.groupBy(late.KEY).agg(
+        F.min_by(F.struct(*fixed), "version").alias("_first"), F.max_by(F.struct(*late.REFRESHED), "version").alias("_last"))
+    return late.merge_late(facts, latest.select(late.KEY, "_first.*", "_last.*").select(*facts.columns))
+
+
+def compact_late(spark: SparkSession, path: str, target: str) -> None:
+    """Write the table with its late versions applied to a new place, laid out by feed."""
+    current_liabilities(spark, path).write.partitionBy("source_system").parquet(target)

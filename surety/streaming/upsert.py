@@ -5,18 +5,19 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql.streaming import StreamingQuery
 
-from surety.plans.assess import recover_feed
+from surety.plans.assess import append_late
 
 
 def start_late_upserts(stream: DataFrame, path: str, checkpoint: str, **trigger) -> StreamingQuery:
-    """Merge every micro-batch into the liabilities table at ``path``.
+    """Keep every micro-batch as a version beside the liabilities table at ``path``.
 
-    A merge repeated is a merge done once, so an epoch replayed after a
-    failure is harmless. Each epoch rewrites only the feeds it touches.
+    Read the table with :func:`surety.plans.assess.current_liabilities`. An
+    epoch writes its own rows and nothing else; replayed after a failure, it
+    appends the same version again, which changes nothing that is read.
     """
 
     def merge_batch(batch: DataFrame, epoch: int) -> None:
-        recover_feed(batch.sparkSession, path, batch)
+        append_late(batch, path, epoch)
 
     return (
         stream.writeStream.option("checkpointLocation", checkpoint).foreachBatch(merge_batch)

@@ -12,7 +12,8 @@ from conftest import AS_OF
 from surety.operators import audit as au
 from surety.operators import decide
 from surety.operators.late import apply_late
-from surety.plans.assess import _not_yet_stored, assess, record, recorded, recover_feed
+from surety.plans.assess import (
+    _not_yet_stored, append_late, assess, compact_late, current_liabilities, record, recorded, recover_feed)
 from surety.plans.views import register_views
 from surety.sources import csv_feed, generator, sinks
 from surety.sources.offsets import apply_offsets
@@ -121,6 +122,24 @@ def test_stored_feed_names_keep_their_text(spark, make, tmp_path, feed):
     assert sinks.stored_table(spark, path).count() == 3
 
 
+def test_late_versions_touch_no_stored_file(spark, make, tmp_path):
+    path = f"{tmp_path}/liabilities"
+    sinks.replace_feeds(make([debt(str(n), 500, feed="0042") for n in range(5)]).liabilities, path)
+    files = lambda: sorted((p, os.path.getmtime(os.path.join(p, f))) for p, _, fs in os.walk(path) for f in fs)
+    before = files()
+    first = make([debt("1", 1, "5.00", feed="0042"), debt("9", 1, "7.00", feed="TU"), debt("2", 1, "6.00")]).liabilities
+    for version, batch in ((1, first), (2, make([debt("9", 1, "8.00", feed="EQ")]).liabilities), (1, first)):
+        append_late(batch, path, version)
+    got = {r.liability_id: (str(r.outstanding_balance), r.source_system) for r in current_liabilities(spark, path).collect()}
+    assert got == {"0": ("1000.00", "0042"), "1": ("5.00", "0042"), "2": ("6.00", "0042"), "3": ("1000.00", "0042"),
+                   "4": ("1000.00", "0042"), "9": ("8.00", "TU")}
+    assert files() == before
+    compact_late(spark, path, f"{tmp_path}/compacted")
+    assert sinks.stored_table(spark, f"{tmp_path}/compacted").count() == 6
+    with pytest.raises(Exception, match="more than one row"):
+        append_late(make([debt("1", 1), debt("1", 1)]).liabilities, path, 3)
+
+
 def test_ids_of_different_parts_differ(spark):
     from surety.functions.ids import stable_id
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from conftest import AS_OF
 from surety.streaming.liveness import start_liveness
+from surety.plans.assess import current_liabilities
 from surety.sources.sinks import replace_feeds
 from surety.streaming.upsert import start_late_upserts
 from test_boundaries import debt
@@ -30,5 +31,6 @@ def test_late_upserts(spark, make, tmp_path):
         make(rows).liabilities.coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
         stream = spark.readStream.schema(facts.schema).parquet(f"{tmp_path}/in")
         start_late_upserts(stream, path, f"{tmp_path}/cp").awaitTermination(120)
-    got = {r.liability_id: str(r.outstanding_balance) for r in spark.read.parquet(path).collect()}
-    assert got == {"1": "6.00", "2": "1000.00", "3": "1000.00"}
+    rows = current_liabilities(spark, path).collect()
+    got = {r.liability_id: str(r.outstanding_balance) for r in rows}
+    assert len(rows) == 3 and got == {"1": "6.00", "2": "1000.00", "3": "1000.00"}
