@@ -1,8 +1,8 @@
 """Packing: order-preserving dynamic programming over document and sentence boundaries.
 
 The tokens of a partition's documents form one stream, in the order in which the partition is read; nothing is shuffled.
-A cut may stand at a document end (free), a sentence end (`SENTENCE_CUT`) or, where a sentence runs on for long, at fill-in
-points (`FORCED_CUT`). The least total of padding and cut penalties up to boundary j is
+A cut may stand at a document end (free), a sentence end (a small penalty) or, where a sentence runs on for long, at fill-in
+points (a larger one). The least total of padding and cut penalties up to boundary j is
 
     f(j) = penalty(j) + min over i in the last `size` tokens of f(i) + padding(j - i)
 
@@ -13,7 +13,9 @@ of `CHUNK` tokens; all but the last sequences of a chunk are committed, the rest
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -23,13 +25,33 @@ from pyspark.sql import functions as F
 
 from surety.llm.common import raw_texts
 
-SENTENCE_CUT, FORCED_CUT = 8, 64
 CHUNK = 400_000
-FILL, GAP = 64, 256           # fill-in points every FILL tokens where boundaries are further apart than GAP
 _MEMORY = 600_000             # words whose ids a worker keeps
+_PUNCTUATION = b".,;:!?"
+
+
+@dataclass(frozen=True)
+class Costs:
+    """Penalties of cuts in tokens of padding, and where fill-in points stand; all in proportion to the sequence."""
+    sentence: int
+    forced: int
+    fill: int       # fill-in points every so many tokens ...
+    gap: int        # ... where boundaries are further apart than this
+    least: int      # shortest sequence that goes unpadded by being a power of two
+
+    @staticmethod
+    def of(size: int) -> Costs:
+        return Costs(max(1, size // 256), max(1, size // 32), max(1, size // 32), max(1, size // 8), max(1, size // 8))
 _MARKS = "★♥→•…§"     # one that is a single id stands between words encoded together; words that hold it are encoded alone
 
 
+class _Known(dict):
+    """Ids by word; a word that is not there is noted and reads as None."""
+
+    def __missing__(self, word: bytes) -> None:
+        self.missed.append(word)
+
+
 class WordIds:
     """Ids of texts, word by word: white space separates pre-tokens in this family, so the ids of a text are those of its words."""
 
@@ -37,8 +59,8 @@ class WordIds:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.known: dict[bytes, bytes] = {}
-        self.mark, self.mark_id = next(((m, x[0]) for m in _MARKS if len(x := self._ids(m)) == 1), ("", -1))
+        self.known = _Known()
+        self.mark, self.mark_id = next(((m, x[0]) for m in _MARKS if len(x := self._ids(m)) == 1), ("\0", -1))
         vocab = self.tokenizer.get_vocab(with_added_tokens=False)
         self.ends = np.zeros(self.tokenizer.get_vocab_size() + 2, bool)
         self.ends[[i for t, i in vocab.items() if t.removesuffix("</w>").endswith((".", "!", "?"))]] = True
@@ -46,42 +68,64 @@ class WordIds:
     def _ids(self, text: str) -> list[int]:
         return self.tokenizer.encode(text, add_special_tokens=False).ids
 
-    def learn(self, missing: list[bytes]) -> None:
-        texts = [w.decode("utf-8", "replace") for w in missing]
-        alone = [not self.mark or self.mark in t or "<|" in t or not t.isprintable() for t in texts]
-        for w, t, single in zip(missing, texts, alone):
-            if single:
-                self.known[w] = np.array(self._ids(t), "<u4").tobytes()
-        rest = [(w, t) for w, t, single in zip(missing, texts, alone) if not single]
-        sep = f" {self.mark} "
-        parts = [rest[i:i + 128] for i in range(0, len(rest), 128)]
-        joined = self.tokenizer.encode_batch_fast([sep.join(t for _, t in part) for part in parts], add_special_tokens=False)
-        for part, encoded in zip(parts, joined):
+    def _encoded(self, missing: list[bytes]) -> dict[bytes, bytes]:
+        """Ids of words, encoded many at a time with a mark between them."""
+        found = {}
+        parts = [missing[i:i + 128] for i in range(0, len(missing), 128)]
+        texts = [f" {self.mark} ".join(w.decode("utf-8", "replace") for w in part) for part in parts]
+        joined = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
+        for part, text, encoded in zip(parts, texts, joined):
             ids = np.array(encoded.ids, "<u4")
             at = np.flatnonzero(ids == self.mark_id)
-            if len(at) == len(part) - 1:
+            if len(at) == len(part) - 1 == text.count(self.mark) and "<|" not in text and text.isprintable():
                 raw, low = ids.tobytes(), 0
-                for (w, _), high in zip(part, [*at.tolist(), len(ids)]):
-                    self.known[w] = raw[4 * low:4 * high]
+                for w, high in zip(part, [*at.tolist(), len(ids)]):
+                    found[w] = raw[4 * low:4 * high]
                     low = high + 1
             else:
-                for w, t in part:
-                    self.known[w] = np.array(self._ids(t), "<u4").tobytes()
+                for w in part:
+                    found[w] = np.array(self._ids(w.decode("utf-8", "replace")), "<u4").tobytes()
+        return found
+
+    def _learned(self, missing: set[bytes]) -> dict[bytes, bytes]:
+        """Ids of lower-case words. Punctuation after ASCII letters is a pre-token of its own, so only new stems are encoded."""
+        known, ends, rest = self.known, [], []
+        for w in missing:
+            stem = w.rstrip(_PUNCTUATION)
+            if len(stem) < len(w) and stem.isalpha() and stem.isascii():
+                ends.append((w, stem, w[len(stem):]))
+            else:
+                rest.append(w)
+        stems = {x for _, stem, tail in ends for x in (stem, tail) if x not in known}
+        found = self._encoded([*stems.difference(rest), *rest])
+        for w, stem, tail in ends:
+            found[w] = (known[stem] if stem in known else found[stem]) + (known[tail] if tail in known else found[tail])
+        return found
 
     def encode(self, texts: list[bytes], last: bytes) -> list[bytes]:
-        """Little-endian 32-bit ids of each text, followed by `last`."""
-        split = [t.split() for t in texts]
+        """Little-endian 32-bit ids of each text, followed by `last`.
+
+        The tokenizer lower-cases, so ASCII letters may be lower-cased before. Texts that may hold special tokens are
+        encoded whole.
+        """
+        plain = [b"<|" not in t for t in texts]
+        split = [t.lower().split() if p else [] for t, p in zip(texts, plain)]
         known = self.known
-        for i in range(0, len(split), 64):
-            new = {w for ws in split[i:i + 64] for w in ws if w not in known}
-            if len(known) + len(new) > _MEMORY:
-                known.clear()
-                new = {w for ws in split[i:i + 64] for w in ws}
-            if new:
-                self.learn(list(new))
-            for k in range(i, min(i + 64, len(split))):
-                split[k] = b"".join([*map(known.__getitem__, split[k]), last])
-        return split
+        known.missed = missed = []
+        pieces = list(map(known.__getitem__, itertools.chain.from_iterable(split)))
+        if missed:
+            found = self._learned(set(missed))
+            at = [i for i, x in enumerate(pieces) if x is None]
+            for i, w in zip(at, missed):
+                pieces[i] = found[w]
+            if len(known) < _MEMORY:      # the words known first are the frequent ones; they stay
+                known.update(found)
+        out, low = [], 0
+        for t, p, ws in zip(texts, plain, split):
+            out.append(b"".join(pieces[low:low + len(ws)]) + last if p
+                       else np.array(self._ids(t.decode("utf-8", "replace")), "<u4").tobytes() + last)
+            low += len(ws)
+        return out
 
 
 def plan(positions: list[int], penalties: list[int], size: int) -> list[int]:
@@ -89,23 +133,27 @@ def plan(positions: list[int], penalties: list[int], size: int) -> list[int]:
 
     `positions` grow from above 0; the steps between them are at most `size`.
     """
-    powers = [1 << k for k in range(8, size.bit_length()) if 1 << k < size]
-    cost, before, at = [0.0], [-1], {0: 0}
-    spots = [0, *positions]
+    at = np.r_[0, positions]
+    short: dict[int, list[int]] = {}          # boundaries that lie a power of two before a boundary
+    for w in (1 << k for k in range(size.bit_length()) if Costs.of(size).least <= 1 << k < size):
+        there = np.searchsorted(at, at - w)
+        for j in np.flatnonzero(at[there] == at - w).tolist():
+            short.setdefault(j, []).append(int(there[j]))
+    spots = at.tolist()
+    cost, before = [0.0] * len(spots), [-1] * len(spots)
     queue, keys, head = [0], [0.0], 0
     for j in range(1, len(spots)):
         p = spots[j]
         while spots[queue[head]] < p - size:
             head += 1
         best, arg = keys[head] + size - p, queue[head]
-        for w in powers:
-            k = at.get(p - w)
-            if k is not None and cost[k] < best:
-                best, arg = cost[k], k
+        if j in short:
+            for k in short[j]:
+                if cost[k] < best:
+                    best, arg = cost[k], k
         best += penalties[j - 1]
-        cost.append(best)
-        before.append(arg)
-        at[p] = j
+        cost[j] = best
+        before[j] = arg
         key = best + p
         while len(queue) > head and keys[-1] >= key:
             queue.pop()
@@ -119,15 +167,15 @@ def plan(positions: list[int], penalties: list[int], size: int) -> list[int]:
     return ends[::-1]
 
 
-def boundaries(ids: np.ndarray, doc_ends: np.ndarray, sentence_end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def boundaries(ids: np.ndarray, doc_ends: np.ndarray, sentence_end: np.ndarray, costs: Costs) -> tuple[np.ndarray, np.ndarray]:
     """Positions after which a cut may stand, and the penalty of each."""
     penalty = np.full(len(ids) + 1, -1, np.int32)
-    penalty[np.flatnonzero(sentence_end[ids]) + 1] = SENTENCE_CUT
+    penalty[np.flatnonzero(sentence_end[ids]) + 1] = costs.sentence
     penalty[doc_ends] = 0
     spots = np.flatnonzero(penalty >= 0)
-    wide = np.flatnonzero(np.diff(np.r_[0, spots]) > GAP)
+    wide = np.flatnonzero(np.diff(np.r_[0, spots]) > costs.gap)
     for i in wide.tolist():
-        penalty[np.arange((spots[i - 1] if i else 0) + FILL, spots[i], FILL)] = FORCED_CUT
+        penalty[np.arange((spots[i - 1] if i else 0) + costs.fill, spots[i], costs.fill)] = costs.forced
     penalty[0] = -1
     spots = np.flatnonzero(penalty >= 0)
     return spots, penalty[spots]
@@ -152,7 +200,7 @@ def _pack(path: str, size: int, end_id: int):
             nonlocal sequence, held, total
             ids = np.frombuffer(b"".join(h[3] for h in held), "<u4")
             doc_ends = np.cumsum([len(h[3]) // 4 for h in held])
-            spots, penalties = boundaries(ids, doc_ends, coder.ends)
+            spots, penalties = boundaries(ids, doc_ends, coder.ends, Costs.of(size))
             ends = spots[plan(spots.tolist(), penalties.tolist(), size)]
             if not final:
                 ends = ends[:-4]
@@ -186,9 +234,9 @@ def _pack(path: str, size: int, end_id: int):
 
         for batch in batches:
             docs = batch.column("doc_id").to_pylist()
-            texts = raw_texts(batch.column("text"))
-            for k in range(0, len(texts), 64):
-                for doc, raw in zip(docs[k:k + 64], coder.encode(texts[k:k + 64], last)):
+            for k in range(0, len(docs), 64):
+                texts = raw_texts(batch.column("text").slice(k, 64))
+                for doc, raw in zip(docs[k:k + 64], coder.encode(texts, last)):
                     held.append((doc, 0, len(raw) // 4, raw))
                     total += len(raw) // 4
                 if total >= CHUNK:
