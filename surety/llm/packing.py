@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from surety.llm.common import raw_texts
 
 CHUNK = 400_000
-_MEMORY = 600_000             # words whose ids a worker keeps
+_MEMORY = 800_000             # words whose ids a worker keeps
 _PUNCTUATION = b".,;:!?"
 
 
@@ -37,11 +37,12 @@ class Costs:
     forced: int
     fill: int       # fill-in points every so many tokens ...
     gap: int        # ... where boundaries are further apart than this
+    near: int       # sentence ends closer than this to the next one are passed over
     least: int      # shortest sequence that goes unpadded by being a power of two
 
     @staticmethod
     def of(size: int) -> Costs:
-        return Costs(max(1, size // 256), max(1, size // 32), max(1, size // 32), max(1, size // 8), max(1, size // 8))
+        return Costs(max(1, size // 256), max(1, size // 32), max(1, size // 32), max(1, size // 8), size // 170, max(1, size // 8))
 _MARKS = "★♥→•…§"     # one that is a single id stands between words encoded together; words that hold it are encoded alone
 
 
@@ -172,6 +173,8 @@ def boundaries(ids: np.ndarray, doc_ends: np.ndarray, sentence_end: np.ndarray,
     penalty = np.full(len(ids) + 1, -1, np.int32)
     penalty[np.flatnonzero(sentence_end[ids]) + 1] = costs.sentence
     penalty[doc_ends] = 0
+    ends = np.flatnonzero(penalty == costs.sentence)     # of sentence ends close together the last one stays
+    penalty[ends[:-1][np.diff(ends) < costs.near]] = -1
     spots = np.flatnonzero(penalty >= 0)
     wide = np.flatnonzero(np.diff(np.r_[0, spots]) > costs.gap)
     for i in wide.tolist():
