@@ -3,11 +3,12 @@
 The benchmark is a query set, taken in blocks of `BLOCK` items; documents are only ever read, never shuffled. Per block:
 
 1. Document frequencies of the block's terms over all passages (windows of `WINDOW` words, half overlapping).
-2. The passages that can reach the cosine asked for: a passage's cosine cannot exceed the share of its norm that lies in the
-   block's terms. These, with the numbers of the words around them, are written to the shared folder.
+2. The passages that can reach the cosine asked for: a passage's cosine with an item cannot exceed the share of its norm
+   that lies in that item's terms. These, with the numbers of the words around them, are written to the shared folder.
 3. A distributed randomised SVD of their TF-IDF matrix over the block's terms: tasks add up the sketch (A'A)G, one row per
    term leaves a task, and the small factor of a Nystroem step gives the right singular vectors. The items are rows of the
-   matrix too, and the rank is at least the block's size, so the items' own directions are always in the latent space.
+   matrix too, each as heavy as all passages together, and the rank is above the block's size: so the items' own directions
+   come first in the latent space, however many passages and however flat their spectrum.
 4. Search: each passage is projected and compared with all items of the block by cosine. Candidates are checked in the same
    task against the document's own words: idf-weighted longest common subsequence, and the same for the item's last words,
    its answer.
@@ -101,9 +102,27 @@ def _weighted(w: np.ndarray, idf: np.ndarray, other: float) -> tuple[np.ndarray,
 _PASSAGES = "doc_id long, start long, low long, norm double, near array<int>"
 
 
+def _reach(w: np.ndarray, passages: int, idf: np.ndarray, holders: tuple[np.ndarray, np.ndarray], items: int) -> np.ndarray:
+    """Per passage: the greatest squared weight that it shares with one item. No cosine can exceed its root over the norm."""
+    first, listed = holders
+    at = np.flatnonzero((w >= 0) & (idf[w] > 0))
+    many = first[w[at] + 1] - first[w[at]]
+    item = listed[np.repeat(first[w[at]], many) + np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)]
+    step, square = np.repeat(at // STEP, many), np.repeat(idf[w[at]] ** 2, many)
+    own, prior = step < passages, step > 0      # a word stands in the passages that start at its own step and the one before
+    key = np.r_[step[own] * items + item[own], (step[prior] - 1) * items + item[prior]]
+    best = np.zeros(passages)
+    if len(key):
+        pairs, back = np.unique(key, return_inverse=True)
+        np.maximum.at(best, pairs // items, np.bincount(back, np.r_[square[own], square[prior]]))
+    return best
+
+
 def _informative(items: Items, idf: np.ndarray, other: float):
-    """Passages heavy enough in the block's terms, with the term numbers of the words around them."""
+    """Passages that can reach the cosine with an item, with the term numbers of the words around them."""
     around = max((len(r) for r in items.runs), default=0)
+    pairs = sorted({(t, i) for i, r in enumerate(items.runs) for t in r.tolist()})
+    holders = (np.searchsorted([t for t, _ in pairs], np.arange(len(items.terms) + 1)), np.array([i for _, i in pairs], np.int64))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -113,7 +132,10 @@ def _informative(items: Items, idf: np.ndarray, other: float):
                 if not len(w):
                     continue
                 starts, norm, share = _weighted(w, idf, other)
-                for i in np.flatnonzero(share >= COSINE ** 2).tolist():
+                if not (share >= COSINE ** 2).any():
+                    continue
+                reach = _reach(w, len(starts), idf, holders, len(items.ids))
+                for i in np.flatnonzero(reach >= COSINE ** 2 * norm).tolist():
                     low = max(0, int(starts[i]) - around)
                     rows.append((doc, int(starts[i]), low, float(norm[i]), w[low:starts[i] + WINDOW + around].astype(np.int32)))
             cols = list(zip(*rows)) if rows else [[]] * 5
@@ -122,20 +144,61 @@ def _informative(items: Items, idf: np.ndarray, other: float):
     return run
 
 
-def _rows(batch: pa.RecordBatch) -> Iterator[tuple]:
+TOGETHER = 1024        # passages handled in one set of array operations
+
+
+@dataclass(frozen=True)
+class Rows:
+    """Some stored passages: the words around each, and the sparse TF-IDF rows of the passages themselves."""
+    doc: np.ndarray
+    low: np.ndarray
+    at: np.ndarray              # first word of the passage among the words around it
+    near: list[np.ndarray]
+    term: np.ndarray            # of all rows, one after the other
+    value: np.ndarray
+    row: np.ndarray
+
+    def times(self, basis: np.ndarray) -> np.ndarray:
+        """The rows times a dense matrix."""
+        out = np.zeros((len(self.near), basis.shape[1]), basis.dtype)
+        first = np.flatnonzero(np.r_[True, np.diff(self.row) > 0]) if len(self.row) else self.row
+        if len(first):
+            out[self.row[first]] = np.add.reduceat(basis[self.term] * self.value[:, None].astype(basis.dtype), first, axis=0)
+        return out
+
+    def transposed_times(self, dense: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Terms, and the transposed rows' product with a dense matrix at those terms."""
+        order = np.argsort(self.term, kind="stable")
+        term = self.term[order]
+        first = np.flatnonzero(np.r_[True, np.diff(term) > 0]) if len(term) else term
+        if not len(first):
+            return term, np.zeros((0, dense.shape[1]))
+        return term[first], np.add.reduceat(dense[self.row[order]] * self.value[order][:, None], first, axis=0)
+
+
+def _rows(batch: pa.RecordBatch, idf: np.ndarray) -> Iterator[Rows]:
     flat, offsets = batch.column("near").values.to_numpy(), batch.column("near").offsets.to_numpy()
-    for i, (doc, start, low, norm) in enumerate(zip(*(batch.column(c).to_pylist() for c in ("doc_id", "start", "low", "norm")))):
-        yield doc, start - low, low, norm, flat[offsets[i]:offsets[i + 1]]
+    doc, start, low, norm = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("doc_id", "start", "low", "norm"))
+    for k in range(0, len(doc), TOGETHER):
+        own = range(k, min(k + TOGETHER, len(doc)))
+        near = [flat[offsets[i]:offsets[i + 1]] for i in own]
+        at = start[k:k + TOGETHER] - low[k:k + TOGETHER]
+        words_in = [n[i:i + WINDOW] for n, i in zip(near, at.tolist())]
+        term = np.concatenate(words_in)
+        row = np.repeat(np.arange(len(near)), [len(w) for w in words_in])
+        weighs = (term >= 0) & (idf[term] > 0)
+        term, row = term[weighs], row[weighs]
+        value = idf[term] / np.sqrt(norm[k:k + TOGETHER])[row]
+        yield Rows(doc[k:k + TOGETHER], low[k:k + TOGETHER], at, near, term, value, row)
 
 
 def _sketch(idf: np.ndarray, noise: np.ndarray):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         y = np.zeros(noise.shape, np.float64)
         for batch in batches:
-            for _, at, _, norm, near in _rows(batch):
-                w = near[at:at + WINDOW]
-                w = w[w >= 0]
-                _add(y, w, idf[w] / np.sqrt(norm), noise)
+            for rows in _rows(batch, idf):
+                term, part = rows.transposed_times(rows.times(noise))
+                y[term] += part
         hit = np.flatnonzero(np.abs(y).sum(1))
         for k in range(0, len(hit), 1000):
             some = hit[k:k + 1000]
@@ -165,11 +228,12 @@ def build(docs: DataFrame, items: Items) -> tuple[Index, DataFrame]:
     y = np.zeros((t, rank))
     for r in parts.toLocalIterator():
         y[r["term"]] = r["y"]
+    weight = max(1, passages.count())     # an item's row weighs as much as all passages, each of which is at most 1 long
     for run in items.runs:
         term, tf = np.unique(run, return_counts=True)
         a = tf * idf[term]
         if (n := np.sqrt(a @ a)) > 0:
-            _add(y, term, a / n, noise)
+            _add(y, term, a * (np.sqrt(weight) / n), noise)
     basis = _nystroem(y, noise)
     latent = np.zeros((len(items.ids), basis.shape[1]))
     for i, run in enumerate(items.runs):
@@ -224,6 +288,8 @@ def _search(index: Index):
     weights = [index.idf[r] + 1e-3 for r in items.runs]
 
     def checked(run: np.ndarray, weight: np.ndarray, near: np.ndarray) -> tuple | None:
+        if weight[np.isin(run, near)].sum() < COMMON * weight.sum():      # no common subsequence can hold more
+            return None
         on = common_run(run, weight, near)
         tail = len(run) - max(1, len(run) // 4)
         common = float(weight[on].sum() / weight.sum())
@@ -232,18 +298,17 @@ def _search(index: Index):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = []
-            for doc, at, low, norm, near in _rows(batch):
-                w = near[at:at + WINDOW]
-                w = w[w >= 0]
-                cos = index.latent @ ((index.idf[w] / np.sqrt(norm)).astype(np.float32) @ index.basis[w])
-                for i in np.flatnonzero(cos >= COSINE).tolist():
-                    reach = len(items.runs[i])
+            found = []
+            for rows in _rows(batch, index.idf):
+                cos = rows.times(index.basis) @ index.latent.T
+                for k, i in zip(*(x.tolist() for x in np.nonzero(cos >= COSINE))):
+                    at, reach = int(rows.at[k]), len(items.runs[i])
                     left = max(0, at - reach)
-                    text = near[left:at + WINDOW + reach]
-                    if found := checked(items.runs[i], weights[i], text):
-                        rows.append((doc, items.ids[i], float(cos[i]), *found, low + left, low + left + len(text)))
-            cols = list(zip(*rows)) if rows else [[]] * 7
+                    text = rows.near[k][left:at + WINDOW + reach]
+                    if shares := checked(items.runs[i], weights[i], text):
+                        low = int(rows.low[k]) + left
+                        found.append((rows.doc[k], items.ids[i], float(cos[k, i]), *shares, low, low + len(text)))
+            cols = list(zip(*found)) if found else [[]] * 7
             kinds = [pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.float64(), pa.int64(), pa.int64()]
             yield pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(cols, kinds)],
                                              ["doc_id", "item_id", "cosine", "common", "answer", "first_word", "last_word"])
@@ -255,9 +320,9 @@ def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
     Items and documents are lower-cased (A-Z) and split at ASCII white space. Null or empty texts hold nothing, and null
     or empty items are held by nothing; an empty table on either side gives no rows. A document that repeats an item gets
-    one row for it (the best); rows that repeat are searched each. Rows with a null doc_id come out with a null doc_id.
+    one row for it (the best), and so do rows that repeat. Rows without a doc_id take no part.
     """
-    slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    slim = docs.filter(F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     found = None
     rows: list = []
 
