@@ -243,6 +243,18 @@ def test_leaks_are_found_and_clean_texts_left(spark, corpus):
     assert decontaminate.leaks(docs, bench.limit(0)).count() == 0 and decontaminate.leaks(docs.limit(0), bench).count() == 0
 
 
+def test_many_items_before_a_busy_background(spark):
+    """Passages full of the items' own frequent words must not push the items out of the latent space."""
+    rng = np.random.default_rng(12)
+    common = [f"c{n}" for n in range(300)]
+    items = [(n, " ".join(rng.choice(common) if rng.random() < 0.4 else f"r{rng.integers(10**7)}" for _ in range(int(rng.integers(8, 50))))) for n in range(150)]
+    noise = [(n, " ".join(rng.choice(common) if rng.random() < 0.5 else f"b{rng.integers(10**7)}" for _ in range(200))) for n in range(1500)]
+    leaks = [(10_000 + n, f"{noise[n][1]} {t} {noise[n + 200][1]}") for n, t in items]
+    docs = spark.createDataFrame(noise + leaks, "doc_id long, text string")
+    got = {(r.doc_id, r.item_id) for r in decontaminate.leaks(docs, spark.createDataFrame(items, "item_id long, text string")).collect()}
+    assert got == {(10_000 + n, n) for n, _ in items}
+
+
 def test_common_run():
     on = decontaminate.common_run(np.array([1, 2, 3, 4]), np.ones(4), np.array([9, 1, 9, 3, 2, 4]))
     assert on.sum() == 3 and on[0] and on[3]
