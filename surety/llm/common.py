@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -24,9 +24,15 @@ def shared_folder(spark: SparkSession) -> str:
 
 
 def importable(spark: SparkSession) -> None:
-    """Lets Python workers that see the driver's files import this package; elsewhere it is shipped with --py-files."""
+    """Lets Python workers that see the driver's files import this package; elsewhere it is shipped with --py-files.
+
+    Rows hold whole documents, so Arrow batches of Spark's default length would be large: they are made shorter, unless
+    the session has chosen a length of its own.
+    """
     root = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
     spark.sparkContext.environment.setdefault("PYTHONPATH", root)
+    if spark.conf.get(BATCH, "10000") == "10000":
+        spark.conf.set(BATCH, "1000")
 
 
 def stored(df: DataFrame) -> DataFrame:

@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from surety.llm.common import raw_texts
 
 CHUNK = 400_000
-_MEMORY = 800_000             # words whose ids a worker keeps
+_MEMORY = 400_000             # words whose ids a worker keeps
 _PUNCTUATION = b".,;:!?"
 
 
