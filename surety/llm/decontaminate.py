@@ -2,9 +2,12 @@
 
 The benchmark is a query set, taken in blocks of `BLOCK` items; documents are only ever read, never shuffled. Per block:
 
-1. Document frequencies of the block's terms over all passages (windows of `WINDOW` words, half overlapping).
+1. Document frequencies of the block's terms over all passages (windows of `WINDOW` words, half overlapping). Every term
+   keeps a positive weight, however many passages hold it.
 2. The passages that can reach the cosine asked for: a passage's cosine with an item cannot exceed the share of its norm
-   that lies in that item's terms. These, with the numbers of the words around them, are written to the shared folder.
+   that lies in that item's terms. These, with the numbers of the words around them, are written to the shared folder. So
+   are the passages where an item stands by its words alone, which no frequency, length or neighbouring word can hide: an
+   item lacks too much weight wherever none of its rarest terms stands, so only the words around those are compared.
 3. A distributed randomised SVD of their TF-IDF matrix over the block's terms: tasks add up the sketch (A'A)G, one row per
    term leaves a task, and the small factor of a Nystroem step gives the right singular vectors. The items are rows of the
    matrix too, each as heavy as all passages together, and the rank is above the block's size: so the items' own directions
@@ -29,11 +32,11 @@ from surety.llm.common import fresh, raw_texts, stored, words
 
 WINDOW, STEP = 32, 16
 BLOCK = 256            # items per block
-MAX_DF = 0.02          # terms in more than this share of passages carry no weight
 COSINE = 0.3           # candidates
 COMMON = 0.6           # least weighted share of an item that runs through the document in order
 ANSWER = 0.5           # the same for the item's last quarter
 SURE = 0.8             # from this share on the answer is not asked for
+SHORT = 8              # items of fewer words count without the cosine only where all their words stand
 SEED = 7
 
 
@@ -48,7 +51,7 @@ class Items:
 @dataclass(frozen=True)
 class Index:
     items: Items
-    idf: np.ndarray             # zero for terms without weight
+    idf: np.ndarray
     basis: np.ndarray           # terms x rank, right singular vectors
     latent: np.ndarray          # items x rank, unit rows
 
@@ -99,30 +102,115 @@ def _weighted(w: np.ndarray, idf: np.ndarray, other: float) -> tuple[np.ndarray,
     return starts, norm, (inside[ends] - inside[starts]) / norm
 
 
-_PASSAGES = "doc_id long, start long, low long, norm double, near array<int>"
+_HELD_NAMES = ["item", "common", "answer", "first_word", "last_word"]
+_HELD_TYPE = pa.struct(list(zip(_HELD_NAMES, (pa.int32(), pa.float64(), pa.float64(), pa.int64(), pa.int64()))))
+_PASSAGES = ("doc_id long, start long, low long, norm double, near array<int>, "
+             "held array<struct<item:int, common:double, answer:double, first_word:long, last_word:long>>")
 
 
-def _reach(w: np.ndarray, passages: int, idf: np.ndarray, holders: tuple[np.ndarray, np.ndarray], items: int) -> np.ndarray:
-    """Per passage: the greatest squared weight that it shares with one item. No cosine can exceed its root over the norm."""
+def _reach(w: np.ndarray, asked: np.ndarray, idf: np.ndarray, holders: tuple[np.ndarray, np.ndarray], items: int) -> np.ndarray:
+    """Per passage asked for: the greatest squared weight that it shares with one item. No cosine can exceed its root over the norm."""
     first, listed = holders
-    at = np.flatnonzero((w >= 0) & (idf[w] > 0))
+    passages = len(asked)
+    wanted = np.r_[asked, False, False]
+    at = np.flatnonzero(w >= 0)
+    at = at[wanted[at // STEP] | wanted[at // STEP - 1]]
     many = first[w[at] + 1] - first[w[at]]
     item = listed[np.repeat(first[w[at]], many) + np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)]
     step, square = np.repeat(at // STEP, many), np.repeat(idf[w[at]] ** 2, many)
-    own, prior = step < passages, step > 0      # a word stands in the passages that start at its own step and the one before
-    key = np.r_[step[own] * items + item[own], (step[prior] - 1) * items + item[prior]]
-    best = np.zeros(passages)
-    if len(key):
-        pairs, back = np.unique(key, return_inverse=True)
-        np.maximum.at(best, pairs // items, np.bincount(back, np.r_[square[own], square[prior]]))
-    return best
+    shared = np.bincount(step * items + item, square, (passages + 1) * items).reshape(passages + 1, items)
+    return (shared[:-1] + shared[1:]).max(1)    # a passage is two steps long
+
+
+def _holders(pairs: set[tuple[int, int]], terms: int) -> tuple[np.ndarray, np.ndarray]:
+    """(term, item) pairs as the place of each term's first item, and the items."""
+    ordered = sorted(pairs)
+    return np.searchsorted([t for t, _ in ordered], np.arange(terms + 1)), np.array([i for _, i in ordered], np.int64)
+
+
+def _guides(items: Items, weights: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """The rarest terms of each item: without one of them, less than COMMON of the item's weight is left."""
+    pairs = set()
+    for i, (run, weight) in enumerate(zip(items.runs, weights)):
+        term, back = np.unique(run, return_inverse=True)
+        mass = np.bincount(back, weight, len(term))
+        order = np.lexsort((term, -mass / np.maximum(1, np.bincount(back, minlength=len(term)))))
+        need = int(np.searchsorted(np.cumsum(mass[order]), (1 - COMMON + 1e-9) * weight.sum())) + 1
+        pairs |= {(t, i) for t in term[order[:need]].tolist()}
+    return _holders(pairs, len(items.terms))
+
+
+def _lists(items: Items, weights: list[np.ndarray]) -> list[tuple[np.ndarray, np.ndarray, float]]:
+    """Per item: its terms in order, their weights, and the weight of all its words."""
+    found = []
+    for run, weight in zip(items.runs, weights):
+        terms, first = np.unique(run, return_index=True)
+        found.append((terms, weight[first], float(weight.sum())))
+    return found
+
+
+def _held(w: np.ndarray, items: Items, weights: list[np.ndarray], lists: list, guides: tuple[np.ndarray, np.ndarray]) -> list[tuple]:
+    """item, common, answer, first and last word of the best run of every item that stands in a text by its words.
+
+    The run may be as long as the item over COMMON. Besides the shares of weight, COMMON of the item's words must lie on it,
+    or all of them if the item has fewer than SHORT.
+    """
+    first, listed = guides
+    at = np.flatnonzero(w >= 0)
+    many = first[w[at] + 1] - first[w[at]]
+    at, many = at[many > 0], many[many > 0]
+    if not len(at):
+        return []
+    item = listed[np.repeat(first[w[at]], many) + np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)]
+    at = np.repeat(at, many)
+    found = []
+    for i in np.unique(item).tolist():
+        run, weight, best = items.runs[i], weights[i], None
+        size, (terms, heavy, total) = int(np.ceil(len(run) / COMMON)), lists[i]
+        least = len(run) if len(run) < SHORT else COMMON * len(run)
+        hits = at[item == i]
+        for part in np.split(hits, np.flatnonzero(np.diff(hits) > 2 * size) + 1) if len(hits) > 1 else [hits]:
+            low = max(0, int(part[0]) - size + 1)
+            text = w[low:int(part[-1]) + size]
+            place = np.minimum(np.searchsorted(terms, text), len(terms) - 1)
+            own = terms[place] == text
+            value = np.where(own, heavy[place], 0.0)
+            if value.sum() < (COMMON - 1e-9) * total:
+                continue
+            mass = np.r_[0.0, np.cumsum(value)]
+            words_in = np.r_[0, np.cumsum(own)]
+            start = np.flatnonzero(own)             # a heaviest run begins with a word of the item
+            end = np.minimum(start + size, len(text))
+            bound = (mass[end] - mass[start]) / total
+            can = (bound >= COMMON - 1e-9) & (words_in[end] - words_in[start] >= least)
+            for k in np.flatnonzero(can)[np.argsort(-bound[can], kind="stable")].tolist():
+                if best and bound[k] <= best[0] or best and best[0] > 1 - 1e-9:
+                    break
+                span = text[start[k]:end[k]]
+                if weight[np.isin(run, span)].sum() < (best[0] if best else COMMON - 1e-9) * total:
+                    continue
+                on = common_run(run, weight, span)
+                if on.sum() >= least and (shares := _shares(on, weight)) and (not best or shares > best[:2]):
+                    best = (*shares, low + int(start[k]), low + int(end[k]))
+        if best:
+            found.append((i, *best))
+    return found
+
+
+def _shares(on: np.ndarray, weight: np.ndarray) -> tuple[float, float] | None:
+    """Shares of an item's and its answer's weight that lie on a run, where they are enough."""
+    tail = len(on) - max(1, len(on) // 4)
+    common = float(weight[on].sum() / weight.sum())
+    answer = float(weight[tail:][on[tail:]].sum() / weight[tail:].sum())
+    return (common, answer) if common >= COMMON and (answer >= ANSWER or common >= SURE) else None
 
 
 def _informative(items: Items, idf: np.ndarray, other: float):
-    """Passages that can reach the cosine with an item, with the term numbers of the words around them."""
+    """Passages that can reach the cosine with an item or hold one, with the term numbers of the words around them."""
     around = max((len(r) for r in items.runs), default=0)
-    pairs = sorted({(t, i) for i, r in enumerate(items.runs) for t in r.tolist()})
-    holders = (np.searchsorted([t for t, _ in pairs], np.arange(len(items.terms) + 1)), np.array([i for _, i in pairs], np.int64))
+    holders = _holders({(t, i) for i, r in enumerate(items.runs) for t in r.tolist()}, len(items.terms))
+    weights = _item_weights(items, idf)
+    guides, lists = _guides(items, weights), _lists(items, weights)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -132,15 +220,21 @@ def _informative(items: Items, idf: np.ndarray, other: float):
                 if not len(w):
                     continue
                 starts, norm, share = _weighted(w, idf, other)
-                if not (share >= COSINE ** 2).any():
-                    continue
-                reach = _reach(w, len(starts), idf, holders, len(items.ids))
-                for i in np.flatnonzero(reach >= COSINE ** 2 * norm).tolist():
+                held: dict[int, list] = {}
+                for one in _held(w, items, weights, lists, guides):
+                    held.setdefault(min(one[3] // STEP, len(starts) - 1), []).append(one)
+                near = set(held)
+                if (asked := share >= COSINE ** 2).any():
+                    reach = _reach(w, asked, idf, holders, len(items.ids))
+                    near |= set(np.flatnonzero(reach >= COSINE ** 2 * norm).tolist())
+                for i in sorted(near):
                     low = max(0, int(starts[i]) - around)
-                    rows.append((doc, int(starts[i]), low, float(norm[i]), w[low:starts[i] + WINDOW + around].astype(np.int32)))
-            cols = list(zip(*rows)) if rows else [[]] * 5
-            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.list_(pa.int32()))
-            yield pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(cols, kinds)], ["doc_id", "start", "low", "norm", "near"])
+                    rows.append((doc, int(starts[i]), low, float(norm[i]), w[low:starts[i] + WINDOW + around].astype(np.int32),
+                                 [dict(zip(_HELD_NAMES, one)) for one in held.get(i, ())]))
+            cols = list(zip(*rows)) if rows else [[]] * 6
+            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.list_(pa.int32()), pa.list_(_HELD_TYPE))
+            yield pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(cols, kinds)],
+                                             ["doc_id", "start", "low", "norm", "near", "held"])
     return run
 
 
@@ -154,6 +248,7 @@ class Rows:
     low: np.ndarray
     at: np.ndarray              # first word of the passage among the words around it
     near: list[np.ndarray]
+    held: list[list[dict]]      # items that stand there by their words
     term: np.ndarray            # of all rows, one after the other
     value: np.ndarray
     row: np.ndarray
@@ -177,6 +272,7 @@ class Rows:
 
 
 def _rows(batch: pa.RecordBatch, idf: np.ndarray) -> Iterator[Rows]:
+    every = batch.column("held").to_pylist()
     flat, offsets = batch.column("near").values.to_numpy(), batch.column("near").offsets.to_numpy()
     doc, start, low, norm = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("doc_id", "start", "low", "norm"))
     for k in range(0, len(doc), TOGETHER):
@@ -189,7 +285,7 @@ def _rows(batch: pa.RecordBatch, idf: np.ndarray) -> Iterator[Rows]:
         weighs = (term >= 0) & (idf[term] > 0)
         term, row = term[weighs], row[weighs]
         value = idf[term] / np.sqrt(norm[k:k + TOGETHER])[row]
-        yield Rows(doc[k:k + TOGETHER], low[k:k + TOGETHER], at, near, term, value, row)
+        yield Rows(doc[k:k + TOGETHER], low[k:k + TOGETHER], at, near, every[k:k + TOGETHER], term, value, row)
 
 
 def _sketch(idf: np.ndarray, noise: np.ndarray):
@@ -219,7 +315,7 @@ def build(docs: DataFrame, items: Items) -> tuple[Index, DataFrame]:
     total = counts.pop(-1, 0)
     df = np.zeros(t)
     df[list(counts)] = list(counts.values())
-    idf = np.where(df > max(MAX_DF * total, 50), 0.0, np.log((2 + total) / (1 + df)))
+    idf = np.log((2 + total) / (1 + df))
     other = float(np.log(2 + total))
     rank = min(t, len(items.ids) + 32)
     noise = np.random.default_rng(SEED).standard_normal((t, rank))
@@ -283,18 +379,19 @@ def common_run(item: np.ndarray, weight: np.ndarray, text: np.ndarray) -> np.nda
 _FOUND = "doc_id long, item_id long, cosine double, common double, answer double, first_word long, last_word long"
 
 
+def _item_weights(items: Items, idf: np.ndarray) -> list[np.ndarray]:
+    """Weights of each item's words in the common run."""
+    return [idf[r] + 1e-3 for r in items.runs]
+
+
 def _search(index: Index):
     items = index.items
-    weights = [index.idf[r] + 1e-3 for r in items.runs]
+    weights = _item_weights(items, index.idf)
 
     def checked(run: np.ndarray, weight: np.ndarray, near: np.ndarray) -> tuple | None:
         if weight[np.isin(run, near)].sum() < COMMON * weight.sum():      # no common subsequence can hold more
             return None
-        on = common_run(run, weight, near)
-        tail = len(run) - max(1, len(run) // 4)
-        common = float(weight[on].sum() / weight.sum())
-        answer = float(weight[tail:][on[tail:]].sum() / weight[tail:].sum())
-        return (common, answer) if common >= COMMON and (answer >= ANSWER or common >= SURE) else None
+        return _shares(common_run(run, weight, near), weight)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -308,6 +405,9 @@ def _search(index: Index):
                     if shares := checked(items.runs[i], weights[i], text):
                         low = int(rows.low[k]) + left
                         found.append((rows.doc[k], items.ids[i], float(cos[k, i]), *shares, low, low + len(text)))
+                for k, held in enumerate(rows.held):
+                    for h in held:
+                        found.append((rows.doc[k], items.ids[h["item"]], float(cos[k, h["item"]]), *(h[c] for c in _HELD_NAMES[1:])))
             cols = list(zip(*found)) if found else [[]] * 7
             kinds = [pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.float64(), pa.int64(), pa.int64()]
             yield pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(cols, kinds)],
@@ -318,7 +418,9 @@ def _search(index: Index):
 def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """doc_id, item_id, cosine, common, answer and the span of words searched, for every document that holds an item.
 
-    Items and documents are lower-cased (A-Z) and split at ASCII white space. Null or empty texts hold nothing, and null
+    An item is held where COMMON of its weight and words, or all words if it has fewer than SHORT, run in order through
+    a stretch no longer than the item over COMMON, and enough of its answer too; that search is exact. Beyond that, looser
+    copies are found where a passage's cosine with the item is COSINE or more. Items and documents are lower-cased (A-Z) and split at ASCII white space. Null or empty texts hold nothing, and null
     or empty items are held by nothing; an empty table on either side gives no rows. A document that repeats an item gets
     one row for it (the best), and so do rows that repeat. Rows without a doc_id take no part.
     """

@@ -255,6 +255,21 @@ def test_many_items_before_a_busy_background(spark):
     assert got == {(10_000 + n, n) for n, _ in items}
 
 
+def test_items_that_leak_often_or_hold_frequent_words_only(spark):
+    """Items in 5 % and in 33 % of the documents, and one whose every word is frequent, are found in each copy."""
+    rng = np.random.default_rng(21)
+    texts = [[f"b{rng.integers(10**7)}" if rng.random() < 0.7 else f"f{rng.integers(12)}" for _ in range(100)] for _ in range(1200)]
+    items = [(1, " ".join(f"q{n}" for n in range(16))), (2, " ".join(f"r{n}" for n in range(20))),
+             (3, "f1 f5 f2 f7 f0 f3 f9 f4 f11 f8 f6 f10 f2 f1 f3 f0"), (4, " ".join(f"s{n}" for n in range(16)))]
+    held = {(n, i) for n in range(1200) for i, on in ((1, n % 20 == 0), (2, n % 3 == 0), (3, n % 100 == 7)) if on}
+    for n, i in sorted(held):
+        texts[n][50:50] = dict(items)[i].split()
+    texts[5][50:50] = edited(items[1][1], 1, 0.15).split()      # a near copy of the item that leaks most
+    docs = spark.createDataFrame([(n, " ".join(t)) for n, t in enumerate(texts)], "doc_id long, text string")
+    got = {(r.doc_id, r.item_id) for r in decontaminate.leaks(docs, spark.createDataFrame(items, "item_id long, text string")).collect()}
+    assert got == held | {(5, 2)}
+
+
 def test_common_run():
     on = decontaminate.common_run(np.array([1, 2, 3, 4]), np.ones(4), np.array([9, 1, 9, 3, 2, 4]))
     assert on.sum() == 3 and on[0] and on[3]
