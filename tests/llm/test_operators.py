@@ -270,6 +270,27 @@ def test_items_that_leak_often_or_hold_frequent_words_only(spark):
     assert got == held | {(5, 2)}
 
 
+def test_items_of_any_length(spark):
+    """Exact copies of items of 4, 5 and 600 words, also where a short item's words stand in many passages."""
+    rng = np.random.default_rng(33)
+    items = [(1, "k1 k2 k3 k4"), (2, "m1 m2 m3 m4 m5"), (3, " ".join(f"z{n}" for n in range(600)))]
+    texts = [[f"b{rng.integers(10**7)}" for _ in range(80)] for _ in range(400)]
+    for n, t in enumerate(texts):       # the words of the first item apart, each in a tenth of the documents
+        t[40] = f"k{n % 10 % 4 + 1}"
+    held = {(n, i) for i in (1, 2, 3) for n in range(10 * i, 10 * i + 3)}
+    for n, i in held:
+        texts[n][30:30] = dict(items)[i].split()
+    texts[50][30:30] = ["m1", "m2", "m4", "m5"]                 # without the cosine a short item counts whole only
+    texts[51][30:30] = dict(items)[3].split()[:250]             # less than the share asked for
+    docs = spark.createDataFrame([(n, " ".join(t)) for n, t in enumerate(texts)], "doc_id long, text string")
+
+    def got(some):
+        return {(r.doc_id, r.item_id) for r in decontaminate.leaks(docs, spark.createDataFrame(some, "item_id long, text string")).collect()}
+
+    assert held <= got(items) <= held | {(50, 2)}
+    assert {x for x in held if x[1] == 3} == got(items[2:])    # in a block of its own as well
+
+
 def test_common_run():
     on = decontaminate.common_run(np.array([1, 2, 3, 4]), np.ones(4), np.array([9, 1, 9, 3, 2, 4]))
     assert on.sum() == 3 and on[0] and on[3]
