@@ -4,8 +4,9 @@ Three jobs: document frequencies of the n-gram bins over all training documents
 bin); spherical k-means per language on a bounded sample of labelled rows (`SAMPLE` a language); one map over all texts.
 The model is a matrix of languages x centroids x bins, whose size does not depend on the corpus.
 
-A text is rejected when its best cosine lies under `floor`, which is `SLACK` times the smallest best cosine seen among the
-training sample: texts nearer to some centroid than that are kept, so only what looks like no language at all goes.
+A text is rejected when its fit, its best cosine over the one expected at its length, lies under the floor of the language
+it is nearest to: `SLACK` times the median fit of that language's sample, which a few junk or one-word rows do not move. A
+text of n trigrams is a draw of n from the centroid's, so its cosine grows as the root of n / (n + `HALF`).
 """
 
 from __future__ import annotations
@@ -28,7 +29,8 @@ BINS = 1 << 13
 SAMPLE = 512        # labelled rows per language that the centroids are fitted on
 CENTROIDS = 3
 ROUNDS = 8
-SLACK = 0.5
+SLACK = 0.25
+HALF = 400          # trigrams at which the square of the expected cosine is a half
 LEAST = 0.1         # clusters with less than this share of a language's sample are dropped: wrong labels gather there
 UNKNOWN = "und"
 
@@ -60,11 +62,21 @@ def has_letter(text: bytes) -> bool:
 
 def vector(text: bytes, idf: np.ndarray) -> np.ndarray:
     """Unit TF-IDF vector (logarithmic counts); zero where no bin has weight."""
-    v = np.log1p(np.bincount(bins_of(text), minlength=BINS)).astype(np.float32) * idf
+    return _vector(bins_of(text), idf)
+
+
+def _vector(bins: np.ndarray, idf: np.ndarray) -> np.ndarray:
+    v = np.log1p(np.bincount(bins, minlength=BINS)).astype(np.float32) * idf
     n = float(np.sqrt(v @ v))
     return v / n if n > 0 else v
 
 
+def expected(trigrams: np.ndarray) -> np.ndarray:
+    """Cosine of a usual text with its language, by its number of trigrams."""
+    n = np.maximum(1, trigrams)
+    return np.sqrt(n / (n + HALF))
+
+
 def _count_bins(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     df, n = np.zeros(BINS, np.int64), 0
     for batch in batches:
@@ -80,8 +92,10 @@ def _centroids(idf: np.ndarray):
     """Spherical k-means on the sample of one language, started from rows spread over the sample."""
     def fit(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values("pick", kind="stable")
-        x = np.stack([vector(t.encode("utf-8", "surrogatepass"), idf) for t in rows["text"]])
-        x = x[(x * x).sum(1) > 0]
+        bins = [bins_of(t.encode("utf-8", "surrogatepass")) for t in rows["text"]]
+        x, usual = np.stack([_vector(b, idf) for b in bins]), expected(np.array([len(b) for b in bins]))
+        some = (x * x).sum(1) > 0
+        x, usual = x[some], usual[some]
         if not len(x):
             return pd.DataFrame({"lang": [], "floor": [], "centroid": []})
         c = x[np.linspace(0, len(x) - 1, min(CENTROIDS, len(x))).astype(int)]
@@ -91,7 +105,8 @@ def _centroids(idf: np.ndarray):
             c = sums / np.linalg.norm(sums, axis=1, keepdims=True)
         size = np.bincount((x @ c.T).argmax(1), minlength=len(c))
         c = c[size >= min(LEAST * len(x), size.max())]
-        floor = float((x @ c.T).max(1).min())
+        fits = np.minimum(1.0, (x @ c.T).max(1) / usual)     # centroids of few rows fit these rows too well
+        floor = SLACK * float(np.median(fits))
         return pd.DataFrame({"lang": rows["lang"].iloc[0], "floor": floor,
                              "centroid": [v.astype(np.float32).tobytes() for v in c]})
     return fit
@@ -102,7 +117,7 @@ class Model:
     langs: list[str]          # language of each centroid
     centroids: np.ndarray
     idf: np.ndarray
-    floor: float
+    floors: np.ndarray        # least fit, of each centroid's language
 
 
 def fit(docs: DataFrame, training: Column) -> Model:
@@ -111,7 +126,7 @@ def fit(docs: DataFrame, training: Column) -> Model:
     counts = train.select("text").mapInArrow(_count_bins, "bin int, n long").groupBy("bin").agg(F.sum("n").alias("n"))
     df = {r["bin"]: r["n"] for r in counts.collect()}  # at most BINS + 1 rows
     total = df.pop(-1, 0)
-    idf = np.zeros(BINS, np.float32)
+    idf = np.full(BINS, np.log(1 + total) + 1 if total else 0.0, np.float32)    # bins never seen count in a text's norm
     if df:
         idf[list(df)] = np.log((1 + total) / (1 + np.array(list(df.values())))) + 1
     sizes = train.groupBy("lang").agg(F.count("*").alias("rows"))
@@ -124,7 +139,7 @@ def fit(docs: DataFrame, training: Column) -> Model:
     fitted = stored(sample.groupBy("lang").applyInPandas(_centroids(idf), "lang string, floor double, centroid binary"))
     rows = sorted(fitted.collect(), key=lambda r: (r["lang"], r["centroid"]))  # CENTROIDS a language
     return Model([r["lang"] for r in rows], np.stack([np.frombuffer(r["centroid"], np.float32) for r in rows]) if rows
-                 else np.zeros((0, BINS), np.float32), idf, SLACK * min((r["floor"] for r in rows), default=0.0))
+                 else np.zeros((0, BINS), np.float32), idf, np.array([r["floor"] for r in rows]))
 
 
 def _predict(model: Model):
@@ -134,8 +149,10 @@ def _predict(model: Model):
             texts = raw_texts(batch.column("text"))
             for i in range(0, len(texts), 256):
                 part = texts[i:i + 256]
-                cos = np.stack([vector(t, model.idf) for t in part]) @ model.centroids.T
-                for t, row in zip(part, cos):
+                bins = [bins_of(t) for t in part]
+                cos = np.stack([_vector(b, model.idf) for b in bins]) @ model.centroids.T
+                usual = expected(np.array([len(b) for b in bins]))
+                for t, row, most in zip(part, cos, usual.tolist()):
                     if not len(row) or not has_letter(t):
                         langs.append(UNKNOWN)
                         scores.append(0.0)
@@ -144,7 +161,7 @@ def _predict(model: Model):
                     best = int(row.argmax())
                     langs.append(model.langs[best])
                     scores.append(float(min(1.0, max(0.0, row[best]))))
-                    rejected.append(bool(row[best] < model.floor))
+                    rejected.append(bool(row[best] < model.floors[best] * most))
             yield pa.RecordBatch.from_arrays(
                 [*[batch.column(c) for c in batch.schema.names], pa.array(langs, pa.string()), pa.array(scores, pa.float64()),
                  pa.array(rejected, pa.bool_())],
@@ -156,7 +173,7 @@ def predict(texts: DataFrame, model: Model) -> DataFrame:
     """The table with lang_pred, score (best cosine) and rejected added, from the column text alone.
 
     `und`, score 0 and rejected where the text is null or empty or has no letter, or where nothing was learned. A text
-    nearer to no centroid than the model's floor keeps its language and is marked rejected. Ties go to the language that
+    that fits its nearest centroid less than that language's floor keeps the language and is marked rejected. Ties go to the language that
     sorts first. Rows are judged one by one, so repeated rows get equal results and an empty table stays empty.
     """
     schema = T.StructType([*texts.schema.fields, T.StructField("lang_pred", T.StringType()),

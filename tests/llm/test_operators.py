@@ -364,6 +364,23 @@ def test_language_id_on_held_out_rows(spark, corpus):
     assert language_id.predict(docs.select("text"), none).filter("lang_pred <> 'und'").count() == 0
 
 
+def test_odd_training_rows_do_not_open_the_rejection(spark, corpus):
+    """One-word and junk rows among the training rows: unlearned scripts and gibberish are rejected, short texts are kept."""
+    lists = {"en": "the of and to in that is was for with house water", "de": "der die und den von zu mit sich auf für haus wasser",
+             "fr": "le la les des une est pour que dans qui maison été"}
+    rng = np.random.default_rng(2)
+    rows = [(n, " ".join(rng.choice(w.split(), 30)), lang, "s", 1) for n, (lang, w) in enumerate(list(lists.items()) * 40)]
+    odd = ["qx", "zzkw vvq", "A."]
+    rows += [(1000 + n, odd[n // 3], lang, "s", 1) for n, lang in enumerate(list(lists) * 3)]
+    model = language_id.fit(spark.createDataFrame(rows, DOCS), fold("doc_id", 5) != 0)
+    junk = ["今天天气很好，我们一起去公园散步吧。", "Привет, как дела? Сегодня хорошая погода.", "xj kjq bpz wgx jkb zxb gbq kkj qbx bjq",
+            "σήμερα ο καιρός είναι πολύ καλός"]
+    good = ["house", "the water of the house", "das haus und der garten", "la maison est dans les bois", "Water."]
+    texts = spark.createDataFrame(list(enumerate(junk + good)), "doc_id long, text string")
+    got = {r.doc_id: r.rejected for r in language_id.predict(texts, model).collect()}
+    assert [got[n] for n in range(len(got))] == [True] * len(junk) + [False] * len(good)
+
+
 def test_scores_match_brute_force_and_add_up(corpus, plain):
     import math
 
