@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from surety.llm import (decontaminate, gru_score, html_text, language_id, licenses, line_dedup, near_dedup, packing, passages,
-                        vp_search)
+from surety.llm import (decontaminate, gru_score, hard_negatives, html_text, language_id, licenses, line_dedup, near_dedup, packing,
+                        passages, toxicity, vp_search, whitening)
 from surety.llm.common import fold, importable
 
 
@@ -72,7 +72,25 @@ def op10_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return passages.repeated_passages(table(spark, sf_dir, "documents"), min_words=50, percent=80)
 
 
+def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(table(spark, sf_dir, "embeddings"))
+
+
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings")
+    moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives.mine(vectors.withColumn("label", moved), F.col("vec_id") % 100 == 0)
+
+
+def op13_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = toxicity.fit(docs, table(spark, sf_dir, "labels"), fold("doc_id", 5) != 0)
+    scored = toxicity.predict(docs, model)
+    return scored.select("doc_id", (fold("doc_id", 5) == 0).alias("held_out"), "score", "predicted")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (op1_packing, op2_decontamination, op3_near_dedup, op4_vp_search, op5_html_text, op6_language_id,
-                             op7_gru_score, op8_licenses, op9_line_dedup, op10_passages)
+                             op7_gru_score, op8_licenses, op9_line_dedup, op10_passages, op11_whitening, op12_hard_negatives,
+                             op13_toxicity)
 }

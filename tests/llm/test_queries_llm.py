@@ -22,12 +22,14 @@ def test_matches_sql(spark, name):
 @pytest.mark.parametrize("name", sorted(set(QUERIES) - set(ORACLES)))
 def test_runs_over_the_whole_table(spark, name):
     df = QUERIES[name](spark, FOLDER)
-    table = "embeddings" if name.startswith("op4") else "pages" if name.startswith("op5") else "documents"
+    table = "embeddings" if name.startswith(("op4", "op11")) else "pages" if name.startswith("op5") else "documents"
     n = spark.read.parquet(f"{FOLDER}/{table}.parquet").count()
-    if name.startswith(("op3", "op5", "op6", "op7")):
+    if name.startswith(("op3", "op5", "op6", "op7", "op13")):
         assert df.count() == n
     elif name.startswith("op4"):
         assert df.count() == 10 * -(-n // 100)
+    elif name.startswith("op11"):
+        assert df.count() == 8 * n
     elif name.startswith("op1_"):
         assert df.select("doc_id").distinct().count() == n
     else:
