@@ -1,9 +1,10 @@
 """Toxicity: a linear classifier over character n-grams whose features are scaled by naive Bayes log-count ratios.
 
 Three jobs. The first counts, over all labelled training documents, in how many of each class every n-gram bin occurs (a
-row of partial counts per task and bin). The second reads the bins that differ between the classes from a bounded sample of
-labelled rows (`SAMPLE` a class, as a documented parameter) and fits the logistic regression in one task. The third is one
-map over all texts, whole ones, whose model is two arrays of `BINS` numbers.
+row of partial counts per task and bin), and keeps a bounded sample of them (`SAMPLE` a class, a documented parameter), so
+that documents meet their labels once. The second reads the bins that differ between the classes from the sample and fits
+the logistic regression in one task. The third is one map over all texts, whole ones, whose model is an array of `BINS`
+numbers.
 
 A feature is there or not, whatever the text's length, and its value is the log ratio of its shares in toxic and in other
 documents, both smoothed towards the overall share: a bin no training document holds weighs nothing, so rare n-grams of a
@@ -22,7 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from surety.llm.common import fresh, raw_texts
+from surety.llm.common import fresh, raw_texts, stored
 
 BINS = 1 << 18
 LENGTHS = (4, 5, 6)         # characters
@@ -61,16 +62,26 @@ def grams(text: bytes) -> np.ndarray:
     return np.concatenate(out) if out else np.zeros(0, np.uint32)
 
 
-def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+_GATHERED = "bin int, other long, toxic long, pick long, text string"
+
+
+def _gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Documents of each class that hold a bin (bin -1: documents), and the drawn rows themselves (bin -2)."""
     counts, rows = np.zeros((2, BINS), np.int64), np.zeros(2, np.int64)
+    names = ["bin", "other", "toxic", "pick", "text"]
     for batch in batches:
-        for text, toxic in zip(raw_texts(batch.column("text")), batch.column("toxic").to_pylist()):
-            counts[toxic, np.unique(grams(text))] += 1
-            rows[toxic] += 1
+        toxic = batch.column("toxic")
+        for text, y in zip(raw_texts(batch.column("text")), toxic.to_pylist()):
+            counts[y, np.unique(grams(text))] += 1
+            rows[y] += 1
+        own = pa.RecordBatch.from_arrays([pa.array(np.full(batch.num_rows, -2, np.int32)), pa.nulls(batch.num_rows, pa.int64()),
+                                          toxic.cast(pa.int64()), batch.column("pick"), batch.column("text")], names)
+        yield own.filter(batch.column("drawn"))
     if rows.any():
         hit = np.flatnonzero(counts.any(0))
-        yield pa.RecordBatch.from_arrays([pa.array(np.r_[-1, hit].astype(np.int32)), pa.array(np.r_[rows[0], counts[0, hit]]),
-                                          pa.array(np.r_[rows[1], counts[1, hit]])], ["bin", "other", "toxic"])
+        yield pa.RecordBatch.from_arrays([
+            pa.array(np.r_[-1, hit].astype(np.int32)), pa.array(np.r_[rows[0], counts[0, hit]]), pa.array(np.r_[rows[1], counts[1, hit]]),
+            pa.nulls(len(hit) + 1, pa.int64()), pa.nulls(len(hit) + 1, pa.string())], names)
 
 
 def ratios(toxic: np.ndarray, other: np.ndarray, n_toxic: int, n_other: int) -> np.ndarray:
@@ -173,15 +184,21 @@ class Model:
 def fit(docs: DataFrame, labels: DataFrame, training: Column) -> Model:
     """Learns from the documents for which `training` holds and that `labels` (doc_id, toxic) knows.
 
-    A document labelled more than once counts as toxic if any of its labels says so; null labels count as none, other values
-    than 0 as 1. Every row of the documents that a label fits is a training row. With one class only, or none, the model
-    gives every text the share of toxic rows (0 without any row).
+    `training` reads doc_id only. A document labelled more than once counts as toxic if any of its labels says so; null
+    labels count as none, other values than 0 as 1. Every row of the documents that a label fits is a training row. With one
+    class only, or none, the model gives every text the share of toxic rows (0 without any row).
     """
-    known = (labels.filter(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull())
-             .groupBy("doc_id").agg(F.max((F.col("toxic") != 0).cast("int")).alias("toxic")))
-    train = docs.filter(training).select("doc_id", "text").join(known, "doc_id")
-    counts = train.select("text", "toxic").mapInArrow(_count, "bin int, other long, toxic long")
-    found = counts.groupBy("bin").agg(F.sum("other").alias("other"), F.sum("toxic").alias("toxic")).collect()  # at most BINS + 1 rows
+    known = stored(labels.filter(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull())
+                   .groupBy("doc_id").agg(F.max((F.col("toxic") != 0).cast("int")).alias("toxic")))
+    sizes = known.filter(training).agg(F.count_if(F.col("toxic") == 0), F.count_if(F.col("toxic") == 1)).first()
+    shares = tuple(min(1.0, SAMPLE / max(1, n)) for n in sizes)
+    pick = F.xxhash64("doc_id", "text")
+    drawn = F.pmod(pick, F.lit(1 << 30)) < F.when(F.col("toxic") > 0, int(shares[1] * (1 << 30))).otherwise(int(shares[0] * (1 << 30)))
+    train = docs.filter(training).select("doc_id", "text").join(known, "doc_id").select(
+        "text", "toxic", pick.alias("pick"), drawn.alias("drawn"))
+    gathered = stored(train.mapInArrow(_gather, _GATHERED))
+    counts = gathered.filter("bin >= -1").groupBy("bin").agg(F.sum("other").alias("other"), F.sum("toxic").alias("toxic"))
+    found = counts.collect()    # at most BINS + 1 rows
     toxic, other, rows = np.zeros(BINS), np.zeros(BINS), (0, 0)
     for r in found:
         if r["bin"] < 0:
@@ -191,10 +208,7 @@ def fit(docs: DataFrame, labels: DataFrame, training: Column) -> Model:
     if not rows[0] or not rows[1]:
         return Model(np.zeros(BINS), 500.0 if rows[1] else -500.0)
     r = ratios(toxic, other, rows[1], rows[0])
-    shares = tuple(min(1.0, SAMPLE / n) for n in rows)
-    pick = F.xxhash64("doc_id", "text")
-    drawn = F.pmod(pick, F.lit(1 << 30)) < F.when(F.col("toxic") > 0, int(shares[1] * (1 << 30))).otherwise(int(shares[0] * (1 << 30)))
-    sample = (train.withColumn("pick", pick).filter(drawn).select("pick", "toxic", "text")
+    sample = (gathered.filter("bin = -2").select("pick", F.col("toxic").cast("int").alias("toxic"), "text")
               .mapInArrow(_features(r), "pick long, toxic int, bins array<int>")
               .groupBy("pick", "toxic").agg(F.first("bins").alias("bins"), F.count("*").alias("copies")))   # copies count as one weighted row
     fitted = sample.groupBy(F.lit(0).alias("all")).applyInPandas(lambda key, p: _fit(r, shares)(p), "bin int, weight double").collect()
