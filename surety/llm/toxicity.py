@@ -17,7 +17,6 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -29,8 +28,8 @@ BINS = 1 << 18
 LENGTHS = (4, 5, 6)         # characters
 SMOOTH = 10.0               # documents added to each bin, in the proportion of the classes
 CHANCE = 15.0
-FEATURES = 1 << 14          # bins with a weight, at most: those of the greatest statistic
-SAMPLE = 20_000             # labelled rows of each class that the weights are fitted on, in expectation
+FEATURES = 1 << 12          # bins with a weight, at most: those of the greatest statistic
+SAMPLE = 8_000              # labelled rows of each class that the weights are fitted on, in expectation
 RIDGE = 1.0
 ROUNDS, MEMORY = 60, 8
 
@@ -117,7 +116,7 @@ def regression(at: np.ndarray, columns: np.ndarray, values: np.ndarray, y: np.nd
 
     `at`: first entry of each row in `columns` and `values`, and their end.
     """
-    rows = np.repeat(np.arange(len(y)), np.diff(at))
+    rows = np.repeat(np.arange(len(y), dtype=np.int32), np.diff(at))
     ridge = np.r_[np.full(width, RIDGE), 0.0]
 
     def loss(w: np.ndarray) -> tuple[float, np.ndarray]:
@@ -158,15 +157,15 @@ def _fit(r: np.ndarray, shares: tuple[float, float]):
     """One task: the weights of the bins, the intercept under bin -1."""
     known = np.flatnonzero(r)
 
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(["pick", "toxic"], kind="stable")
-        bins = [np.asarray(b, np.int64) for b in rows["bins"]]
-        at = np.cumsum([0, *[len(b) for b in bins]])
-        columns = np.searchsorted(known, np.concatenate(bins))
-        y = rows["toxic"].to_numpy(np.float64)
-        weight = rows["copies"].to_numpy(np.float64) / np.where(y > 0, shares[1], shares[0])
+    def run(rows: pa.Table) -> pa.Table:
+        rows = rows.sort_by([("pick", "ascending"), ("toxic", "ascending")]).combine_chunks()
+        bins = rows.column("bins").combine_chunks()
+        at = np.r_[0, np.cumsum(bins.value_lengths().to_numpy(zero_copy_only=False))]
+        columns = np.searchsorted(known, bins.flatten().to_numpy(zero_copy_only=False)).astype(np.int32)
+        y = rows.column("toxic").to_numpy().astype(np.float64)
+        weight = rows.column("copies").to_numpy() / np.where(y > 0, shares[1], shares[0])
         w = regression(at, columns, r[known][columns], y, weight * len(y) / weight.sum(), len(known))
-        return pd.DataFrame({"bin": np.r_[known, -1].astype(np.int32), "weight": w})
+        return pa.table({"bin": pa.array(np.r_[known, -1].astype(np.int32)), "weight": pa.array(w)})
     return run
 
 
@@ -211,7 +210,7 @@ def fit(docs: DataFrame, labels: DataFrame, training: Column) -> Model:
     sample = (gathered.filter("bin = -2").select("pick", F.col("toxic").cast("int").alias("toxic"), "text")
               .mapInArrow(_features(r), "pick long, toxic int, bins array<int>")
               .groupBy("pick", "toxic").agg(F.first("bins").alias("bins"), F.count("*").alias("copies")))   # copies count as one weighted row
-    fitted = sample.groupBy(F.lit(0).alias("all")).applyInPandas(lambda key, p: _fit(r, shares)(p), "bin int, weight double").collect()
+    fitted = sample.groupBy(F.lit(0).alias("all")).applyInArrow(_fit(r, shares), "bin int, weight double").collect()
     weights, intercept = np.zeros(BINS), 0.0
     for f in fitted:
         if f["bin"] < 0:
