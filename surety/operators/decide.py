@@ -11,6 +11,7 @@ from surety.functions.clock import AsOf, instant
 from surety.functions.ids import stable_id
 from surety.functions.rules import policy_outcome
 from surety.model import PERCENT, Sources
+from surety.operators.incremental import Maintained
 from surety.operators.profile import entity_state
 from surety.operators.trust import with_verdict
 
@@ -47,15 +48,18 @@ def decisions(
     partner: DataFrame | None = None,
     strict: bool = False,
     stale_pct_scale: int = 0,
+    kept: Maintained | None = None,
 ) -> DataFrame:
     """Decide a whole population: one row per applicant with figures, verdict and outcome.
 
     ``stale_pct_scale``: places kept of the stale share in the record and in
     the reason. The recorded figure is a whole per cent by default; the
-    two-place figure stays in ``trust_detail``.
+    two-place figure stays in ``trust_detail``. ``kept``: rollup and duplicates
+    as maintained by change sets; the liabilities are then not read at all.
     """
-    state = entity_state(sources, as_of, thresholds)
-    judged = with_verdict(state, sources, as_of, thresholds, partner, strict)
+    rollup, duplicates = (kept.exposure(as_of, thresholds), kept.copies) if kept else (None, None)
+    state = entity_state(sources, as_of, thresholds, rollup)
+    judged = with_verdict(state, sources, as_of, thresholds, partner, strict, duplicates=duplicates)
     gated = F.col("verdict") == "NOT_TRUSTED"
     dti, missed = F.col("dti_pct"), F.col("missed_payments_12m")
     late = F.coalesce(missed, F.lit(0))

@@ -46,17 +46,23 @@ def current_repayment(repayment: DataFrame) -> DataFrame:
     )
 
 
-def entity_state(sources: Sources, as_of: AsOf, thresholds: DataFrame) -> DataFrame:
+def entity_state(
+    sources: Sources, as_of: AsOf, thresholds: DataFrame, rollup: DataFrame | None = None
+) -> DataFrame:
     """Applicants with everything that profile, verdict and decision draw on.
 
+    ``rollup``: the liabilities' rollup where it is kept (see ``operators.incremental``); else it is computed.
+
     All sides are reduced to one row per entity before they are joined, on the
     key they were reduced by: the joins add no exchange of their own beyond
     that of the applicants, and cannot multiply rows.
     """
+    if rollup is None:
+        rollup = exposure(sources.liabilities, as_of, thresholds)
     return (
         sources.applicants
         .join(current_income(sources.income), "applicant_id", "left")
-        .join(exposure(sources.liabilities, as_of, thresholds), "applicant_id", "left")
+        .join(rollup, "applicant_id", "left")
         .join(current_repayment(sources.repayment), "applicant_id", "left")
         .withColumn("dti_pct", annual_percent(F.col("monthly_obligations"), F.col("gross_annual_income")))
         .withColumn("risk_tier", risk_tier(

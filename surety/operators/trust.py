@@ -129,14 +129,17 @@ def with_verdict(
     partner: DataFrame | None = None,
     strict: bool = False,
     content_keys: Sequence[str] = CONTENT_KEYS,
+    duplicates: DataFrame | None = None,
 ) -> DataFrame:
     """Add the verdict columns and the retained ``trust_detail`` struct to an entity state.
 
     ``strict`` also blocks on every other blocking timeliness rule and on the
-    partner's blocking failures.
+    partner's blocking failures. ``duplicates``: the content duplicates where
+    they are kept; else they are counted.
     """
-    copies = content_duplicates(sources.liabilities, content_keys).select(
-        "applicant_id", F.col("duplicate_groups").alias("duplicate_liabilities"))
+    if duplicates is None:
+        duplicates = content_duplicates(sources.liabilities, content_keys)
+    copies = duplicates.select("applicant_id", F.col("duplicate_groups").alias("duplicate_liabilities"))
     s = with_partner(state.join(copies, "applicant_id", "left"), sources.applicants, partner)
     limit = fail_limit(thresholds, LIABILITY_STALENESS)
     s = s.withColumns({

@@ -13,8 +13,9 @@ from pyspark.sql import types as T
 
 from surety.functions.clock import AsOf, instant
 from surety.model import LIABILITIES, Sources
-from surety.operators import decide, late
+from surety.operators import decide, incremental, late
 from surety.operators.audit import drift_of_rounds
+from surety.operators.incremental import Maintained
 from surety.operators.signals import feed_trust, scoped, unified_signals
 from surety.sources.sinks import BATCH_KEYS, append_batch, replace_feeds, stored_table
 
@@ -164,6 +165,36 @@ def redecide(
     return Redecision(before, assess(now, decided_by, second_as_of, thresholds), now)
 
 
+def redecide_affected(
+    sources: Sources, kept: Maintained, batch: DataFrame, feed: str | None, decided_by: str, as_of: AsOf,
+    thresholds: DataFrame, partner: DataFrame | None = None, strict: bool = False,
+) -> tuple[Decisions, Maintained]:
+    """Decide again only the applicants a late batch touches, and hand back the state for the next batch.
+
+    ``sources`` and ``kept`` are those before the batch. Figures come from the
+    kept rollup corrected by the change set; facts of applicants the batch does
+    not touch are not aggregated. The records written are like those of
+    :func:`assess` for that population after the batch.
+    """
+    now = incremental.maintain(kept, sources.liabilities, batch, feed, as_of)
+    mine = now.restricted()
+    whole = replace(sources, applicants=late.one_row_per_key(sources.applicants, "applicant_id", "applicants table"))
+    scope = whole.restrict(now.affected)
+    theirs = late.merge_late(scope.liabilities.select(*sources.liabilities.columns), batch)
+    feeds = late.merge_late(sources.liabilities, batch)
+    if feed is not None:
+        theirs, feeds = (late.feed_catch_up(df, feed, as_of) for df in (theirs, feeds))
+    decided = decide.decisions(scope, as_of, thresholds, partner, strict, kept=mine)
+    signals = unified_signals(feed_trust(scoped(sources.with_liabilities(feeds)), as_of, thresholds), partner, with_ids=True)
+    made = Decisions(
+        audit=decide.audit_records(decided, as_of, decided_by),
+        sources=decide.decision_sources(decide.decision_keys(scope.applicants, as_of, decided_by), theirs),
+        batch=decide.trust_batch(signals, as_of, decided_by),
+        keys={"decision_date": F.to_date(instant(as_of)), "trust_batch_id": decide.trust_batch_id(as_of, decided_by)},
+    )
+    return made, now
+
+
 def recover_feed(
     spark: SparkSession, path: str, batch: DataFrame, feed: str | None = None, as_of: AsOf | None = None
 ) -> list[str]:

@@ -13,8 +13,8 @@ from pyspark.sql import functions as F
 
 from surety.model import SCOPES, input_edges, seed_tags, seed_thresholds
 from surety.operators import audit as au
-from surety.operators import dashboard, decide, exposure, late, metrics, profile, signals, tags, trust
-from surety.plans.assess import Redecision, assess, redecide
+from surety.operators import dashboard, decide, exposure, incremental, late, metrics, profile, signals, tags, trust
+from surety.plans.assess import Redecision, assess, redecide, redecide_affected
 from surety.plans.semantic import LENDING
 from surety.sources import conformance, csv_feed, generator, star
 from surety.sources.offsets import load_sources
@@ -516,6 +516,57 @@ def redecided(spark, d):
         "worst_staleness_days", "trust_verdict", "decision"), "worst_staleness_days")
 
 
+# Kept by change sets --------------------------------------------------------
+def _maintained(spark, d) -> incremental.Maintained:
+    """State of the first load, brought forward by the late batch and the feed's catching up."""
+    facts = star.sources(spark, d, BEFORE).liabilities
+    return incremental.maintain(incremental.start(facts), facts, star.late_batch(spark, d, AS_OF), "BUREAU_TU", AS_OF)
+
+
+@query
+def change_set(spark, d):
+    """What the late batch changes: each touched record as it was and as it is."""
+    out = incremental.change_set(
+        star.sources(spark, d, BEFORE).liabilities, star.late_batch(spark, d, AS_OF), "BUREAU_TU", AS_OF)
+    return show(out, loaded_at=ts("loaded_at"))
+
+
+@query
+def rollup_maintained(spark, d):
+    """The rollup of everybody after the late batch, from the kept state."""
+    out = _maintained(spark, d).exposure(AS_OF, _thr(spark))
+    return big(out.select(
+        "applicant_id", "outstanding_exposure", "monthly_obligations", "liability_count",
+        text_list("liability_feeds_used").alias("liability_feeds_used"), text_list("stale_feeds").alias("stale_feeds"),
+        ts("oldest_liability_loaded_at").alias("oldest_liability_loaded_at"),
+        ts("newest_liability_loaded_at").alias("newest_liability_loaded_at"), "max_liability_staleness_days",
+        "exposure_from_stale_feeds", "exposure_from_failed_records",
+        F.col("liability_digest").cast("bigint").alias("liability_digest")), "max_liability_staleness_days")
+
+
+@query
+def content_dups_maintained(spark, d):
+    return _maintained(spark, d).copies
+
+
+@query
+def decisions_maintained(spark, d):
+    """Everybody decided after the late batch, from the kept state."""
+    out = decide.decisions(star.sources(spark, d, BEFORE), AS_OF, _thr(spark), kept=_maintained(spark, d))
+    return big(out.select(
+        "applicant_id", "outstanding_exposure", "monthly_obligations", "dti_pct", "risk_tier", "worst_staleness_days",
+        "pct_exposure_stale", "verdict", "decision", "decision_reason"), "worst_staleness_days")
+
+
+@query
+def redecided_affected(spark, d):
+    """Only the applicants touched by the late batch are decided again."""
+    before = star.sources(spark, d, BEFORE)
+    made, _ = redecide_affected(
+        before, incremental.start(before.liabilities), star.late_batch(spark, d, AS_OF), "BUREAU_TU", DECIDER, AS_OF, _thr(spark))
+    return _audit_rows(made.audit)
+
+
 # Metric model ---------------------------------------------------------------
 def _logical(spark, d):
     return dict(_src(spark, d).items())
