@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from surety.model import SCOPES, input_edges, seed_tags, seed_thresholds
 from surety.operators import audit as au
-from surety.operators import dashboard, decide, exposure, incremental, late, metrics, profile, signals, tags, trust
+from surety.operators import dashboard, decide, exposure, history, incremental, late, metrics, profile, signals, tags, trust
 from surety.plans.assess import Redecision, assess, redecide, redecide_affected
 from surety.plans.semantic import LENDING
 from surety.sources import conformance, csv_feed, generator, star
@@ -21,6 +21,7 @@ from surety.sources.offsets import load_sources
 
 AS_OF = star.AS_OF
 BEFORE = "2024-02-29 23:30:00"  # load time and first round of decisions, where there are two
+AFTER = "2024-03-09 23:30:00"   # a second late batch and a third round
 DECIDER = "LENDING_AGENT_V1"
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -567,6 +568,49 @@ def redecided_affected(spark, d):
     return _audit_rows(made.audit)
 
 
+# As it was ------------------------------------------------------------------
+def _history(spark, d) -> DataFrame:
+    """Record versions after two late batches; the second one corrects records of both feeds."""
+    return history.record_history(
+        star.sources(spark, d, BEFORE).liabilities, BEFORE,
+        [history.Arrival(star.late_batch(spark, d, AS_OF), AS_OF, "BUREAU_TU"),
+         history.Arrival(star.correction_batch(spark, d, AFTER), AFTER)])
+
+
+def _three_rounds(spark, d) -> DataFrame:
+    """Decision records of three rounds: at the load, with the first late batch, and with the second."""
+    rounds = _two_rounds(spark, d)
+    now = late.merge_late(rounds.sources_now.liabilities, star.correction_batch(spark, d, AFTER))
+    third = assess(rounds.sources_now.with_liabilities(now), DECIDER, AFTER, _thr(spark))
+    return rounds.audit().unionByName(third.audit)
+
+
+@query
+def record_versions(spark, d):
+    return show(_history(spark, d), **{c: ts(c) for c in ("loaded_at", "valid_from", "valid_to")})
+
+
+@query
+def liabilities_as_of(spark, d):
+    """The table as it read an hour before the second late batch."""
+    return show(history.as_of(_history(spark, d), "2024-03-09 22:30:00"), loaded_at=ts("loaded_at"))
+
+
+@query
+def lineage_replayed(spark, d):
+    """Records behind the decisions of all rounds, each as it read when its decision was made."""
+    out = history.lineage_as_of(_three_rounds(spark, d), _history(spark, d))
+    times = {c: ts(c) for c in ("decided_at", "record_loaded_at", "version_from", "version_to")}
+    return big(show(out, **times), "record_age_days_at_decision")
+
+
+@query
+def profile_replayed(spark, d):
+    """Figures of all rounds worked out again from the records of their time."""
+    out = history.profile_as_of(_three_rounds(spark, d), _history(spark, d), star.sources(spark, d, BEFORE), _thr(spark))
+    return big(show(out, decided_at=ts("decided_at")), "worst_staleness_days")
+
+
 # Metric model ---------------------------------------------------------------
 def _logical(spark, d):
     return dict(_src(spark, d).items())

@@ -148,6 +148,18 @@ def late_batch(spark: SparkSession, folder: str, as_of: AsOf = AS_OF) -> DataFra
     return apply_offsets(both.drop("row"), as_of)
 
 
+def correction_batch(spark: SparkSession, folder: str, as_of: AsOf) -> DataFrame:
+    """A second late delivery: corrected balances of all urgent loans, of the late ones it brought too, and of high-priority ones."""
+    seed = seeds(spark, folder).liabilities.filter(F.col("liability_type").isin("1-URGENT", "2-HIGH"))
+    known = seed.select("*", F.lit(0).alias("shift")).unionByName(
+        seed.filter((F.col("source_system") == "BUREAU_TU") & (F.col("liability_type") == "1-URGENT"))
+        .withColumns({"shift": F.lit(NEW_LOAN_OFFSET), "liability_type": F.lit("6-LATE")}))
+    return apply_offsets(known.withColumns({
+        "liability_id": F.col("liability_id") + F.col("shift"),
+        "outstanding_balance": (F.col("outstanding_balance") + 250).cast(MONEY),
+        "effective_days_ago": F.lit(2), "loaded_hours_ago": F.lit(3)}).drop("shift"), as_of)
+
+
 def partner_signals(spark: SparkSession, folder: str) -> DataFrame:
     """Events read as a partner's record-level assessments (the 12-column contract)."""
     kind, value = F.col("event_type"), F.col("value").cast("decimal(7,2)")
