@@ -6,17 +6,18 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
-def stable_id(prefix: str, *parts: Column) -> Column:
-    """Prefix and the first 48 hex digits of the SHA-256 of the parts (ids are at most 60 characters long).
+def id_part(part: Column) -> Column:
+    """A part of an id with its length in front, NULL as ``-``.
 
-    Each part is written with its length in front and NULL as ``-``, so parts
-    that hold a separator, are empty or are missing never read alike.
+    So parts that hold a separator, are empty or are missing never read alike.
     """
-    written = []
-    for p in parts:
-        text = p.cast("string")
-        written.append(F.coalesce(F.concat(F.length(text).cast("string"), F.lit(":"), text), F.lit("-")))
-    return F.concat(F.lit(prefix), F.substring(F.sha2(F.concat_ws("|", *written), 256), 1, 48))
+    text = part.cast("string")
+    return F.coalesce(F.concat(F.length(text).cast("string"), F.lit(":"), text), F.lit("-"))
+
+
+def stable_id(prefix: str, *parts: Column) -> Column:
+    """Prefix and the first 48 hex digits of the SHA-256 of the parts (ids are at most 60 characters long)."""
+    return F.concat(F.lit(prefix), F.substring(F.sha2(F.concat_ws("|", *map(id_part, parts)), 256), 1, 48))
 
 
 def digest_part(record_id: Column) -> Column:

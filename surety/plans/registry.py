@@ -16,6 +16,7 @@ from surety.operators import audit as au
 from surety.operators import dashboard, decide, exposure, history, incremental, late, metrics, profile, signals, tags, trust
 from surety.plans.assess import Redecision, assess, redecide, redecide_affected
 from surety.plans.semantic import LENDING
+from surety.plans.sql_functions import register_functions
 from surety.sources import conformance, csv_feed, generator, star
 from surety.sources.offsets import load_sources
 
@@ -611,6 +612,60 @@ def profile_replayed(spark, d):
     return big(show(out, decided_at=ts("decided_at")), "worst_staleness_days")
 
 
+# From SQL -------------------------------------------------------------------
+def _sql(spark, d, text: str, partner=None) -> DataFrame:
+    """A query over the tables as views, with the engine's functions at hand."""
+    s = _src(spark, d)
+    for name, df in s.items():
+        df.createOrReplaceTempView(f"lending_{name}")
+    star.table(spark, d, "events").createOrReplaceTempView("lending_events")
+    register_functions(spark, s, AS_OF, _thr(spark), partner, bindings=BINDINGS, tables={"RAW.EVENTS": star.event_log(spark, d)},
+                       parents={"applicant_id": (s.applicants, "applicant_id")})
+    return spark.sql(text)
+
+
+@query
+def sql_entity_trust(spark, d):
+    """Verdicts of all applicants through the table function, by a lateral join."""
+    return _sql(spark, d, """
+        SELECT t.applicant_id, date_format(t.evaluated_at, 'yyyy-MM-dd HH:mm:ss') AS evaluated_at,
+          CAST(t.worst_staleness_days AS BIGINT) AS worst_staleness_days, array_join(t.stale_feeds, ',') AS stale_feeds,
+          t.pct_exposure_from_stale_feeds, t.income_missing, t.duplicate_liabilities, t.partner_trust_index,
+          array_join(transform(t.partner_blocking_failures, p -> concat_ws(':', p.signal_name, p.occurrences)), ',')
+            AS partner_blocking_failures,
+          array_join(t.blocking_failures, ',') AS blocking_failures, t.verdict
+        FROM lending_applicants a, LATERAL entity_trust_of(a.applicant_id) t""", star.partner_signals(spark, d))
+
+
+@query
+def sql_assess(spark, d):
+    """Every applicant assessed through the scalar function."""
+    return _sql(spark, d, f"""
+        SELECT r.decision_id, r.applicant_id, r.decision, r.reason, r.trust_verdict, r.dti_pct, r.risk_tier, r.outstanding_exposure,
+          CAST(r.worst_staleness_days AS BIGINT) AS worst_staleness_days, r.policy_version
+        FROM (SELECT assess(applicant_id, '{DECIDER}') AS r FROM lending_applicants)""")
+
+
+@query
+def sql_trust_of_any_id(spark, d):
+    """The verdict on ids that mostly belong to nobody, through the scalar function; and whether a decision could be made."""
+    return _sql(spark, d, f"""
+        SELECT e.event_id, entity_trust(e.event_id).verdict AS verdict, entity_trust(e.event_id).income_missing AS income_missing,
+          assess(e.event_id, '{DECIDER}').decision AS decision
+        FROM lending_events e""")
+
+
+@query
+def sql_metrics(spark, d):
+    """Lag of every table and feed, and the feed's grade, from SQL."""
+    return _sql(spark, d, """
+        SELECT s.scope_object, f.feed_name, f.record_count, f.lagging_records, lagging_records(s.scope_object) AS lagging_in_table,
+          feed_status(s.scope_object, f.feed_name) AS trust_status,
+          metric_value(s.scope_object, 'loaded_at', 'FRESHNESS') AS seconds_behind
+        FROM VALUES ('RAW.LIABILITIES'), ('RAW.INCOME_VERIFICATION'), ('RAW.EVENTS') AS s(scope_object),
+          LATERAL lagging_by_feed(s.scope_object) f""")
+
+
 # Metric model ---------------------------------------------------------------
 def _logical(spark, d):
     return dict(_src(spark, d).items())
