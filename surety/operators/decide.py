@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from surety.functions.clock import AsOf, instant
 from surety.functions.ids import stable_id
 from surety.functions.rules import policy_outcome
-from surety.model import PERCENT, Sources
+from surety.model import MEASURE, PERCENT, SCOPES, Sources
 from surety.operators.incremental import Maintained
 from surety.operators.profile import entity_state
 from surety.operators.trust import with_verdict
@@ -181,6 +181,17 @@ def trust_batch(signals: DataFrame, as_of: AsOf, decided_by: str) -> DataFrame:
     )
 
 
+def _by_rule(signals: DataFrame) -> DataFrame:
+    """Assessments of single records as one row per rule and outcome."""
+    names = ("scope_object", "feed_name", "signal_name", "trust_status", "is_blocking")
+    counted = signals.groupBy("trust_batch_id", "captured_at", "signal_source", *names).agg(F.count(F.lit(1)).alias("n"))
+    parts = [F.coalesce(F.col(c).cast("string"), F.lit("-")) for c in names]
+    return counted.select(
+        "trust_batch_id", "captured_at", F.concat_ws("/", F.lit("RULE"), *parts).alias("signal_id"), "signal_source", "scope_object",
+        "feed_name", F.lit(None).cast("string").alias("record_identifier"), "signal_name", F.col("n").cast(MEASURE).alias("measured_value"),
+        "trust_status", "is_blocking", F.format_string("%d assessments of single records.", F.col("n")).alias("detail"))
+
+
 def trust_snapshot(
     audit: DataFrame, batch: DataFrame, salts: int = 16, carry: Sequence[str] = ()
 ) -> DataFrame:
@@ -191,16 +202,23 @@ def trust_snapshot(
     picks one. Signals about a record bear on the decision on that record
     only, and meet it by the record's id, so the result grows with decisions
     and signals, not with their product.
+
+    Assessments of single records in the liabilities' scope count for every
+    entity in the verdict, so they bear on every decision too: one row per rule
+    and outcome, whose ``measured_value`` is their number. The partner's
+    blocking failures of a decision are therefore the sum of its frozen rows.
     """
     keyed = audit.select("decision_id", "applicant_id", "trust_batch_id", *carry)
     about_record = F.col("record_identifier").isNotNull()
-    spread = batch.filter(~about_record).drop("decision_date").withColumn(
-        "salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    for_everybody = about_record & F.coalesce(F.col("scope_object") == SCOPES["liabilities"], F.lit(False))
+    frozen = batch.drop("decision_date")
+    wide_signals = frozen.filter(~about_record).unionByName(_by_rule(frozen.filter(for_everybody)))
+    spread = wide_signals.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
     wide = keyed.withColumn(
         "salt", F.pmod(F.xxhash64("decision_id"), F.lit(salts)).cast("int")
     ).join(spread, ["trust_batch_id", "salt"]).drop("salt")
     single = keyed.withColumn("record_identifier", F.col("applicant_id").cast("string")).join(
-        batch.filter(about_record).drop("decision_date"), ["trust_batch_id", "record_identifier"])
+        frozen.filter(about_record & ~for_everybody), ["trust_batch_id", "record_identifier"])
     return wide.unionByName(single).select(
         stable_id("SNAP-", F.col("decision_id"), F.col("signal_source"), F.col("signal_id")).alias("snapshot_id"),
         "decision_id", "applicant_id", "captured_at", "signal_source", "scope_object", "feed_name",

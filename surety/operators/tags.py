@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from surety.model import CRITICALITY, DATA_DOMAINS, TRUST_TIERS
+from surety.sources.staging import staged
 
 
 def tier_rank(tier: Column) -> Column:
@@ -75,6 +76,76 @@ def effective_tiers(tags: DataFrame, edges: DataFrame, feeds: DataFrame) -> Data
     )
 
 
+def propagated_ranks(own: DataFrame, edges: DataFrame) -> DataFrame:
+    """object_name, rank: the weakest rank among an object and everything it is built from, however far away.
+
+    ``own``: object_name, rank of each object, one row an object. ``edges``:
+    object_name, input_object; inputs without a row of their own pass on what
+    reaches them. A fixed point by semi-naive rounds: only objects whose rank
+    went down in a round are joined with the edges in the next. Ranks are few
+    and only get weaker, so cycles end too, and a diamond is no more work than
+    its edges. Runs a few jobs a round; rounds are at most the longest chain.
+    """
+    links = edges.filter("object_name is not null and input_object is not null").select("object_name", "input_object").distinct()
+    links = links.filter("object_name <> input_object")
+    names = links.select("object_name").union(links.select(F.col("input_object").alias("object_name"))).distinct()
+    known = own.select("object_name", F.col("rank").cast("int").alias("rank"))
+    passing = names.join(known, "object_name", "left_anti").withColumn("rank", F.lit(0))
+    state = staged(known.unionByName(passing))
+    frontier = state.filter("rank > 0")
+    while True:
+        reached = (
+            links.join(frontier.select(F.col("object_name").alias("input_object"), "rank"), "input_object")
+            .groupBy("object_name").agg(F.max("rank").alias("_reached"))
+        )
+        state = staged(
+            state.drop("changed").join(reached, "object_name", "left")
+            .withColumn("changed", F.coalesce(F.col("_reached") > F.col("rank"), F.lit(False)))
+            .withColumn("rank", F.greatest("rank", "_reached")).drop("_reached"))
+        frontier = state.filter("changed").drop("changed")
+        if frontier.isEmpty():
+            return state.drop("changed")
+
+
+def cyclic_objects(edges: DataFrame) -> DataFrame:
+    """object_name of every object that is, through others or itself, an input of its own.
+
+    Objects that end a chain on either side are peeled off round by round, as
+    they are on no cycle; what stays is small, and there each object's reach is
+    worked out by pairs until nothing new is found.
+    """
+    links = edges.filter("object_name is not null and input_object is not null").select(
+        F.col("object_name").alias("a"), F.col("input_object").alias("b")).distinct()
+    links, size = staged(links), -1
+    while size != (size := links.count()):
+        links = staged(links.join(links.select(F.col("a").alias("b")).distinct(), "b", "left_semi").select("a", "b")
+                       .join(links.select(F.col("b").alias("a")).distinct(), "a", "left_semi").select("a", "b"))
+    reach, fresh = links, links
+    while not fresh.isEmpty():
+        further = fresh.join(links.select(F.col("a").alias("b"), F.col("b").alias("c")), "b").select("a", F.col("c").alias("b")).distinct()
+        fresh = staged(further.join(reach, ["a", "b"], "left_anti"))
+        reach = staged(reach.unionByName(fresh))
+    return reach.filter("a = b").select(F.col("a").alias("object_name"))
+
+
+def transitive_tiers(tags: DataFrame, edges: DataFrame) -> DataFrame:
+    """Tags with the weakest tier in the whole lineage of each object, and whether that lineage is circular.
+
+    Objects that only the edges name are not listed, but hand on what reaches
+    them. An object listed twice counts with its weaker tag.
+    """
+    tagged = tags_allowed(tags)
+    own = tagged.groupBy("object_name").agg(F.max(tier_rank(F.col("trust_tier"))).alias("rank"))
+    ranks = propagated_ranks(own, edges)
+    circular = cyclic_objects(edges).withColumn("circular", F.lit(True))
+    return (
+        tagged.join(ranks, "object_name").join(circular, "object_name", "left")
+        .withColumns({"inherited_tier": tier_name(F.col("rank")), "circular": F.coalesce("circular", F.lit(False))})
+        .withColumn("tier_consistent", F.coalesce(F.col("inherited_tier") == F.col("trust_tier"), F.lit(False)))
+        .drop("rank")
+    )
+
+
 def tag_agreement(tags: DataFrame, feeds: DataFrame) -> DataFrame:
     """Declared tier against live feeds: CERTIFIED with a failing feed disagrees."""
     live = feeds.groupBy(F.col("scope_object").alias("object_name")).agg(

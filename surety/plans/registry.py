@@ -307,6 +307,12 @@ def tier_inheritance(spark, d):
     return tags.effective_tiers(seed_tags(spark), input_edges(spark), _feeds(spark, d))
 
 
+@query
+def tier_lineage(spark, d):
+    """The weakest tier in the whole lineage of every report, up to four levels away."""
+    return tags.transitive_tiers(*star.report_lineage(spark, d)).select("object_name", "trust_tier", "inherited_tier", "circular")
+
+
 @query
 def tag_vs_signal(spark, d):
     return tags.tag_agreement(seed_tags(spark), _feeds(spark, d))

@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from decimal import Decimal
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from surety.functions.clock import AsOf
@@ -160,6 +160,40 @@ def correction_batch(spark: SparkSession, folder: str, as_of: AsOf) -> DataFrame
         "effective_days_ago": F.lit(2), "loaded_hours_ago": F.lit(3)}).drop("shift"), as_of)
 
 
+def report_lineage(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
+    """Reports built on reports, as tags and edges: one object per order, customer, nation, region, and the whole.
+
+    An order's tier is that of its feed; everything built on it is declared CERTIFIED.
+    """
+    stalled = F.col("o_orderdate") < F.lit(STALLED_BEFORE).cast("timestamp_ntz")
+    orders = table(spark, folder, "orders").select("o_orderkey", "o_custkey", stalled.alias("stalled"), "o_orderstatus")
+    customer = table(spark, folder, "customer").select("c_custkey", "c_nationkey")
+    nation = spark.read.schema("n_nationkey int, n_regionkey int").parquet(f"{folder}/nation.parquet")
+
+    def name(kind: str, key: str) -> Column:
+        return F.concat(F.lit(f"{kind}:"), F.col(key).cast("string"))
+
+    def edge(df: DataFrame, upper: Column, lower: Column) -> DataFrame:
+        return df.select(upper.alias("object_name"), lower.alias("input_object"))
+
+    whole = F.lit("REPORT:ALL")
+    edges = (
+        edge(orders, name("CUSTOMER", "o_custkey"), name("ORDER", "o_orderkey"))
+        .union(edge(customer, name("NATION", "c_nationkey"), name("CUSTOMER", "c_custkey")))
+        .union(edge(nation, name("REGION", "n_regionkey"), name("NATION", "n_nationkey")))
+        .union(edge(nation.select("n_regionkey").distinct(), whole, name("REGION", "n_regionkey")))
+    )
+    tier = F.when(F.col("stalled"), "UNCERTIFIED").when(F.col("o_orderstatus") == "P", "PROVISIONAL").otherwise("CERTIFIED")
+    objects = (
+        orders.select(name("ORDER", "o_orderkey").alias("object_name"), tier.alias("trust_tier"))
+        .union(customer.select(name("CUSTOMER", "c_custkey"), F.lit("CERTIFIED")))
+        .union(nation.select(name("NATION", "n_nationkey"), F.lit("CERTIFIED")))
+        .union(nation.select(name("REGION", "n_regionkey"), F.lit("CERTIFIED")).distinct())
+        .union(spark.range(1).select(whole, F.lit("CERTIFIED")))
+    )
+    return objects.withColumns({"data_domain": F.lit("CREDIT_RISK"), "decision_critical": F.lit("TRUE")}), edges
+
+
 def partner_signals(spark: SparkSession, folder: str) -> DataFrame:
     """Events read as a partner's record-level assessments (the 12-column contract)."""
     kind, value = F.col("event_type"), F.col("value").cast("decimal(7,2)")

@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from conftest import AS_OF
 from surety.streaming.liveness import start_liveness
-from surety.plans.assess import current_liabilities
+from surety.plans.assess import current_liabilities, late_path
 from surety.sources.sinks import replace_feeds
-from surety.streaming.upsert import start_late_upserts
+from surety.streaming.upsert import ledger_path, start_late_upserts, version_of
 from test_boundaries import debt
 
 
@@ -34,3 +34,46 @@ def test_late_upserts(spark, make, tmp_path):
     rows = current_liabilities(spark, path).collect()
     got = {r.liability_id: str(r.outstanding_balance) for r in rows}
     assert len(rows) == 3 and got == {"1": "6.00", "2": "1000.00", "3": "1000.00"}
+
+
+def test_versions_rise_over_streams_and_new_checkpoints(spark, make, tmp_path):
+    """A second stream, then a fresh checkpoint of the first: both count from epoch 0, and yet the newest figures win."""
+    path = f"{tmp_path}/facts"
+    facts = make([debt("1", 500)]).liabilities
+    replace_feeds(facts, path)
+
+    def deliver(folder, checkpoint, *rows):
+        make(list(rows)).liabilities.coalesce(1).write.mode("append").parquet(f"{tmp_path}/{folder}")
+        start_late_upserts(spark.readStream.schema(facts.schema).parquet(f"{tmp_path}/{folder}"), path,
+                           f"{tmp_path}/{checkpoint}").awaitTermination(120)
+
+    def figures():
+        return {r.liability_id: str(r.outstanding_balance) for r in current_liabilities(spark, path).collect()}
+
+    deliver("a", "cp1", debt("1", 5, "5.00"))
+    deliver("a", "cp1", debt("1", 4, "6.00"))
+    assert figures() == {"1": "6.00"}
+    deliver("b", "cp2", debt("1", 3, "7.00"), debt("2", 3, "1.00"), debt("2", 3, "1.00"))
+    assert figures() == {"1": "7.00", "2": "1.00"}
+    deliver("c", "cp3", debt("1", 2, "8.00"))
+    assert figures() == {"1": "8.00", "2": "1.00"}
+
+
+def test_a_replayed_epoch_keeps_its_version(spark, tmp_path):
+    path = f"{tmp_path}/facts"
+    assert [version_of(spark, path, s, e) for s, e in (("x", 0), ("x", 1), ("y", 0), ("x", 1), ("y", 0), ("x", 0))] == [0, 1, 2, 1, 2, 0]
+    # two streams that took one number: the later name moves on, also when asked again
+    spark.createDataFrame([("y", 5, 9), ("z", 5, 9)], "stream string, epoch long, version long").write.mode("append").parquet(ledger_path(path))
+    assert [version_of(spark, path, s, 5) for s in ("z", "y", "z")] == [10, 9, 10]
+
+
+def test_repeated_rows_within_the_watermark_count_once(spark, make, tmp_path):
+    path = f"{tmp_path}/facts"
+    facts = make([debt("9", 500)]).liabilities
+    replace_feeds(facts, path)
+    for n in range(2):
+        make([debt("1", 2, "5.00"), debt(f"x{n}", 1)]).liabilities.coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+        stream = spark.readStream.schema(facts.schema).parquet(f"{tmp_path}/in")
+        start_late_upserts(stream, path, f"{tmp_path}/cp", event_time="loaded_at", within="2 hours").awaitTermination(120)
+    kept = spark.read.parquet(late_path(path)).filter("liability_id = '1'")
+    assert kept.count() == 1 and current_liabilities(spark, path).count() == 4
