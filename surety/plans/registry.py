@@ -17,7 +17,7 @@ from surety.operators import dashboard, decide, exposure, history, incremental,
 from surety.plans.assess import Redecision, assess, redecide, redecide_affected
 from surety.plans.semantic import LENDING
 from surety.plans.sql_functions import register_functions
-from surety.sources import conformance, csv_feed, generator, star
+from surety.sources import conformance, csv_feed, generator, rejects as judged, star
 from surety.sources.offsets import load_sources
 
 AS_OF = star.AS_OF
@@ -118,6 +118,36 @@ def csv_format(spark, d):
     return seed.select(line.alias("line")).select(parsed).select("row.*")
 
 
+def _spoilt_lines(spark, d) -> judged.Judged:
+    """Income records as lines of a feed, one in ten of them spoilt in one of five ways."""
+    seed = star.seeds(spark, d).income
+    way = F.col("applicant_id") % 50
+    text = {c: F.col(c).cast("string") for c in seed.columns}
+    text["gross_annual_income"] = F.when(way == 0, "n/a").otherwise(text["gross_annual_income"])
+    text["applicant_id"] = F.when(way == 2, F.lit(None)).otherwise(text["applicant_id"])
+    text["verification_method"] = F.when(way.isin(3, 4), F.repeat(F.lit("x"), 41)).otherwise(text["verification_method"])
+    text["loaded_hours_ago"] = F.when(way == 4, "soon").otherwise(text["loaded_hours_ago"])
+    line = F.concat_ws(",", *[F.coalesce(text[c], F.lit("")) for c in seed.columns])
+    cut = F.when(way == 1, F.substring_index(line, ",", len(seed.columns) - 2)).otherwise(line)
+    return judged.judge_lines(seed.select(cut.alias("line")), seed.schema, **judged.contract_rules("income"))
+
+
+@query
+def csv_rejects(spark, d):
+    """Lines that cannot be loaded, with every reason."""
+    return show(_spoilt_lines(spark, d).rejects, reasons=F.array_join("reasons", ","))
+
+
+@query
+def csv_accepted(spark, d):
+    return _spoilt_lines(spark, d).good
+
+
+@query
+def csv_reject_counts(spark, d):
+    return judged.reject_counts(_spoilt_lines(spark, d).rejects)
+
+
 def _index(spark, d):
     return star.table(spark, d, "customer").select((F.col("c_custkey") + 1).alias("i"))
 
