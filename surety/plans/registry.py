@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from surety.model import SCOPES, input_edges, seed_tags, seed_thresholds
 from surety.operators import audit as au
-from surety.operators import dashboard, decide, exposure, history, incremental, late, metrics, profile, signals, tags, trust
+from surety.operators import dashboard, decide, exposure, gaps, history, incremental, late, metrics, profile, signals, tags, trust
 from surety.plans.assess import Redecision, assess, redecide, redecide_affected
 from surety.plans.semantic import LENDING
 from surety.plans.sql_functions import register_functions
@@ -235,6 +235,13 @@ def lagging_by_feed(spark, d):
         metrics.lagging_by_feed(_src(spark, d).liabilities))
 
 
+@query
+def feed_gaps(spark, d):
+    """Spells of deliveries in the event log, and how long each feed was silent after them."""
+    out = gaps.feed_gaps(star.event_log(spark, d), AS_OF)
+    return show(out, first_load_at=ts("first_load_at"), last_load_at=ts("last_load_at"))
+
+
 @query
 def null_count(spark, d):
     return _src(spark, d).income.agg(
