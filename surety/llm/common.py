@@ -15,12 +15,14 @@ BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a folder of one's own only where the cluster names none."""
+    """The folder that driver and executors share. Where none is set, a local session takes a temporary one; on a cluster
+    each executor would write to its own disk there, and what is read back would be incomplete, so it is an error."""
     folder = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        folder = os.path.join(tempfile.gettempdir(), "surety-checkpoints")
-        spark.conf.set("spark.checkpoint.dir", folder)
-    return folder
+    if folder:
+        return folder
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+    return os.path.join(tempfile.gettempdir(), "surety-checkpoints")
 
 
 def importable(spark: SparkSession) -> None:

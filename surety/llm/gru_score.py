@@ -6,9 +6,8 @@ words are the network's vocabulary. For any other word the network predicts "ano
 smoothed counts among the words outside the vocabulary, so the probabilities of all words add up to one.
 
 The network: a GRU of `HIDDEN` units; the next word is predicted through its class, then within the class. It is trained by
-truncated back-propagation in numpy: first one trainer on the first `TRAINER` tokens of a hash-ordered sample, then from
-there one trainer for each `TRAINER` tokens of the sample, whose weights are averaged. The sample is `SHARE` of the training
-documents, or as much more as makes up `LEAST` tokens. Scoring runs many documents side by side, each with its own state,
+truncated back-propagation in numpy, on every training document: first one trainer on its share of about `TRAINER` tokens,
+then from there one trainer for each share, whose weights are averaged. Scoring runs many documents side by side, each with its own state,
 which is carried across windows of `STEPS` tokens through the whole document.
 """
 
@@ -32,8 +31,8 @@ from surety.llm.common import raw_texts, stored, words
 
 HOT = 1 << 19
 VOCAB, CLASS_SIZE = 4096, 64
-HIDDEN, STEPS, LANES, TRAIN_LANES = 32, 32, 768, 64
-SHARE, LEAST, TRAINER = 1 / 32, 1_500_000, 1_500_000
+HIDDEN, STEPS, LANES, TRAIN_LANES = 32, 32, 768, 256
+TRAINER = 3_000_000      # tokens of a share, in expectation
 SMOOTH = 0.1
 CHUNK = 1_200_000        # tokens that are scored together in a task
 TAILS = 256              # words outside the vocabulary are told apart on input by their last letters
@@ -302,11 +301,10 @@ def fit(docs: DataFrame, v: Vocabulary) -> Network:
     net = Network.fresh(v)
     if v.total == 0:
         return net
-    share = min(1.0, max(SHARE, LEAST / v.total))
-    pick = F.xxhash64("doc_id", "text")
-    sample = docs.select("text", pick.alias("pick")).filter(F.pmod(pick, F.lit(1 << 24)) < int(share * (1 << 24)))
-    trainers = max(1, round(share * v.total / TRAINER))
-    dealt = sample.withColumn("trainer", F.pmod(F.xxhash64("pick"), F.lit(trainers)))
+    # rows are dealt evenly whatever repeats: also copies under one id go to different trainers
+    pick = F.xxhash64("doc_id", F.monotonically_increasing_id())
+    trainers = max(1, round(v.total / TRAINER))
+    dealt = docs.select("text", pick.alias("pick")).withColumn("trainer", F.pmod("pick", F.lit(trainers)))
 
     def averaged(rows: DataFrame, start: Network, rate: float) -> Network:
         made = rows.groupBy("trainer").applyInPandas(_trainer(start, v, rate), "at int, part array<double>")

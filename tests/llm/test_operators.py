@@ -440,6 +440,53 @@ def test_stream_scores_do_not_depend_on_lanes(monkeypatch):
     assert np.allclose(many, gru_score.score_stream(net, x, y, lengths), atol=1e-3)
 
 
+def test_stream_scores_against_a_plain_loop():
+    """Token by token, in doubles: gates, class, word within its class, state from first token to last."""
+    counts = np.r_[9, np.arange(290, 140, -1)].astype(np.int64)
+    v = gru_score.Vocabulary(zlib.compress(b" ".join(b"w%d" % n for n in range(150))), counts, int(counts.sum()) + 60, 170)
+    net, rng, n = gru_score.Network.fresh(v), np.random.default_rng(6), gru_score.HIDDEN
+    w = {k: a.astype(float) for k, a in net.w.items()}
+    w["cb"], w["ob"] = (a + rng.normal(0, 0.2, a.shape) for a in (w["cb"], w["ob"]))
+    net.w = {k: a.astype(np.float32) for k, a in w.items()}
+    lengths = np.r_[1, 77, 40]
+    x, y = rng.integers(0, v.size, lengths.sum()), rng.integers(0, v.size + 1, lengths.sum())
+    sigmoid = lambda a: 1 / (1 + np.exp(-a))
+    want, at = [], 0
+    for size in lengths:
+        h, total = np.zeros(n), 0.0
+        for i, target in zip(x[at:at + size], y[at:at + size]):
+            a, g = w["x"][i], h @ w["u"]
+            z, r = sigmoid(a[:n] + g[:n]), sigmoid(a[n:2 * n] + g[n:2 * n])
+            new = np.tanh(a[2 * n:] + r * g[2 * n:])
+            h = (1 - z) * new + z * h
+            p = np.exp(h @ w["c"] + w["cb"])
+            p /= p.sum()
+            if target == v.size:
+                total += np.log10(p[-1])
+            else:
+                k, place = divmod(int(target), gru_score.CLASS_SIZE)
+                q = np.exp(h @ w["o"][k] + w["ob"][k])
+                total += np.log10(p[k] * q[place] / q.sum())
+        want.append(total)
+        at += size
+    assert np.allclose(gru_score.score_stream(net, x, y, lengths), want, rtol=1e-4)
+
+
+def test_every_training_document_teaches_the_network(spark, monkeypatch):
+    """Many small shares: leaving out any one document changes the weights."""
+    monkeypatch.setattr(gru_score, "TRAINER", 200)
+    importable(spark)
+    rows = [(n, prose(2000 + n, 50)) for n in range(24)]
+
+    def weights(skip=None):
+        docs = spark.createDataFrame([(n, " " if n == skip else t) for n, t in rows], "doc_id long, text string").coalesce(1)
+        _, v = gru_score.count(spark.createDataFrame(rows, "doc_id long, text string"))
+        return gru_score.fit(docs, v).w["u"]
+
+    whole = weights()
+    assert all((weights(n) != whole).any() for n in (0, 9, 23))
+
+
 def test_licences(spark, corpus):
     texts = [(1, "Code of a kind that one may look at.\n  Licensed under the APACHE License, version 2.0!\nmore of the text"), (2, "Released under the MIT License"), (3, None), (4, ""),
              (5, "\n\nThis work is licensed under\nthe GNU General Public License,\nversion 3.\n\nx"), (6, "Released"), (7, "of this and that, a text of the same length"), (2, "Released under the MIT License")]
