@@ -107,9 +107,12 @@ def register_functions(
 
     evidence = verdicts.columns
     shape = f"struct<{', '.join(f'{n}:{verdicts.schema[n].dataType.simpleString()}' for n in evidence)}>"
-    function(f"entity_trust(id {key})", shape, "coalesce("
+    # the verdict on nobody is one row that does not depend on the id: a subquery of its own, to which the id is added outside
+    function(f"_surety_told(id {key}, known {shape}, nobody {shape})", shape,
+             f"coalesce(known, {_struct(evidence, 'nobody', {'applicant_id': 'id'})})")
+    function(f"entity_trust(id {key})", shape, "_surety_told(id, "
              f"(SELECT any_value({_struct(evidence, 'v')}) FROM _surety_verdicts v WHERE v.applicant_id = id), "
-             f"(SELECT {_struct(evidence, 'w', {'applicant_id': 'id'})} FROM _surety_nobody w))")
+             f"(SELECT {_struct(evidence, 'w')} FROM _surety_nobody w))")
     function(f"entity_trust_of(id {key})", f"TABLE({_typed(verdicts)})",
              f"SELECT {', '.join(f'v.{n}' for n in evidence)} FROM _surety_verdicts v WHERE v.applicant_id = id")
 
