@@ -52,7 +52,7 @@ STAGES: list[tuple[str, Stage]] = [
     ("packing", pack_sequences),
 ]
 
-#: SQL expresses neither the centroids nor the search or the packing; tests/llm compares run() with brute force.
+#: SQL expresses neither the centroids nor the search or the packing; tests/llm checks the stages one by one, not run() as a whole.
 ORACLE_SQL = None
 
 
