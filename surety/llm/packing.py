@@ -14,20 +14,22 @@ of `CHUNK` tokens; all but the last sequences of a chunk are committed, the rest
 from __future__ import annotations
 
 import itertools
+import os
+import string
+import unicodedata
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from surety.llm.common import raw_texts
-
 CHUNK = 400_000
-_MEMORY = 400_000             # words whose ids a worker keeps
-_PUNCTUATION = b".,;:!?"
+_MEMORY = 150_000             # words whose ids a worker keeps
+_AT_ONCE = 1 << 20            # bytes of text encoded at a time
 
 
 @dataclass(frozen=True)
@@ -43,92 +45,141 @@ class Costs:
     @staticmethod
     def of(size: int) -> Costs:
         return Costs(max(1, size // 256), max(1, size // 32), max(1, size // 32), max(1, size // 8), size // 170, max(1, size // 8))
-_MARKS = "★♥→•…§"     # one that is a single id stands between words encoded together; words that hold it are encoded alone
 
 
-class _Known(dict):
-    """Ids by word; a word that is not there is noted and reads as None."""
+_MARKS = "★♥→•…§"     # one that is a single id stands between words encoded together; words that hold it are encoded alone
 
-    def __missing__(self, word: bytes) -> None:
-        self.missed.append(word)
+def _gathered(pool: np.ndarray, begin: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """The stretches of `pool` of such sizes from such places, one after the other."""
+    return pool[np.repeat(begin - np.cumsum(sizes) + sizes, sizes) + np.arange(sizes.sum())]
 
 
 class WordIds:
-    """Ids of texts, word by word: white space separates pre-tokens in this family, so the ids of a text are those of its words."""
+    """Ids of texts, word by word: white space separates pre-tokens in this family, so the ids of a text are those of its words.
+
+    Arrow lower-cases and splits the texts and numbers the distinct words; only those are looked up, and numpy gathers the ids.
+    """
 
     def __init__(self, path: str):
-        from tokenizers import Tokenizer
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"        # a task has one core; threads would each hold memory
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.known = _Known()
+        # Stems are normalised letters only: nothing is left to normalise, and blanks are all there is to split at.
+        self.stems = Tokenizer.from_file(path)
+        self.stems.normalizer = None
+        self.stems.pre_tokenizer = pre_tokenizers.Sequence([
+            pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
         self.mark, self.mark_id = next(((m, x[0]) for m in _MARKS if len(x := self._ids(m)) == 1), ("\0", -1))
         vocab = self.tokenizer.get_vocab(with_added_tokens=False)
-        self.ends = np.zeros(self.tokenizer.get_vocab_size() + 2, bool)
+        self.ends, self.word_ends = (np.zeros(self.tokenizer.get_vocab_size() + 2, bool) for _ in range(2))
         self.ends[[i for t, i in vocab.items() if t.removesuffix("</w>").endswith((".", "!", "?"))]] = True
+        self.word_ends[[i for t, i in vocab.items() if t.endswith("</w>")]] = True
+        self.known: dict[bytes, int] = {}                       # word -> its number
+        self.begin, self.pool = np.zeros(1, np.int64), np.zeros(0, np.uint32)      # ids of word k: pool[begin[k]:begin[k + 1]]
 
     def _ids(self, text: str) -> list[int]:
         return self.tokenizer.encode(text, add_special_tokens=False).ids
 
-    def _encoded(self, missing: list[bytes]) -> dict[bytes, bytes]:
+    def _encoded(self, missing: list[str]) -> list[np.ndarray]:
         """Ids of words, encoded many at a time with a mark between them."""
-        found = {}
+        found = []
         parts = [missing[i:i + 128] for i in range(0, len(missing), 128)]
-        texts = [f" {self.mark} ".join(w.decode("utf-8", "replace") for w in part) for part in parts]
+        texts = [f" {self.mark} ".join(part) for part in parts]
         joined = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
         for part, text, encoded in zip(parts, texts, joined):
-            ids = np.array(encoded.ids, "<u4")
+            ids = np.array(encoded.ids, np.uint32)
             at = np.flatnonzero(ids == self.mark_id)
             if len(at) == len(part) - 1 == text.count(self.mark) and "<|" not in text and text.isprintable():
-                raw, low = ids.tobytes(), 0
-                for w, high in zip(part, [*at.tolist(), len(ids)]):
-                    found[w] = raw[4 * low:4 * high]
-                    low = high + 1
+                found += [x[i > 0:] for i, x in enumerate(np.split(ids, at))]
             else:
-                for w in part:
-                    found[w] = np.array(self._ids(w.decode("utf-8", "replace")), "<u4").tobytes()
+                found += [np.array(self._ids(w), np.uint32) for w in part]
         return found
 
-    def _learned(self, missing: set[bytes]) -> dict[bytes, bytes]:
-        """Ids of lower-case words. Punctuation after ASCII letters is a pre-token of its own, so only new stems are encoded."""
-        known, ends, rest = self.known, [], []
-        for w in missing:
-            stem = w.rstrip(_PUNCTUATION)
-            if len(stem) < len(w) and stem.isalpha() and stem.isascii():
-                ends.append((w, stem, w[len(stem):]))
-            else:
-                rest.append(w)
-        stems = {x for _, stem, tail in ends for x in (stem, tail) if x not in known}
-        found = self._encoded([*stems.difference(rest), *rest])
-        for w, stem, tail in ends:
-            found[w] = (known[stem] if stem in known else found[stem]) + (known[tail] if tail in known else found[tail])
+    def _of_stems(self, stems: list[str]) -> list[np.ndarray]:
+        """Ids of words of normalised letters; every word ends with an id that says so, and only there does one stand."""
+        found = []
+        parts = [stems[i:i + 512] for i in range(0, len(stems), 512)]
+        for part, encoded in zip(parts, self.stems.encode_batch_fast(list(map(" ".join, parts)), add_special_tokens=False)):
+            ids = np.array(encoded.ids, np.uint32)
+            at = (np.flatnonzero(self.word_ends[ids]) + 1).tolist()
+            found += [ids[i:j] for i, j in zip([0, *at], at)] if len(at) == len(part) else self._encoded(part)
         return found
 
-    def encode(self, texts: list[bytes], last: bytes) -> list[bytes]:
-        """Little-endian 32-bit ids of each text, followed by `last`.
+    def _learn(self, missing: list[bytes]) -> None:
+        """Adds words. ASCII punctuation after letters is a pre-token of its own, so stems and tails are encoded apart."""
+        whole = [w.decode("utf-8", "replace") for w in missing]
+        cut: list[tuple[str, str]] = []
+        for w in whole:
+            stem = w.rstrip(string.punctuation)
+            plain = stem.isalpha() and (stem.isascii() or stem.lower() == stem and unicodedata.is_normalized("NFC", stem))
+            cut.append((stem, w[len(stem):]) if plain else ("", w))
+        stems = list(dict.fromkeys(s for s, _ in cut if s))
+        rest = list(dict.fromkeys(r for _, r in cut if r))
+        ids = [np.zeros(0, np.uint32), *self._of_stems(stems), *self._encoded(rest)]
+        sizes = np.fromiter(map(len, ids), np.int64, len(ids))
+        stem_no = {"": 0, **dict(zip(stems, itertools.count(1)))}
+        rest_no = {"": 0, **dict(zip(rest, itertools.count(1 + len(stems))))}
+        no = np.array([x for s, r in cut for x in (stem_no[s], rest_no[r])])
+        learned = _gathered(np.concatenate(ids), (np.cumsum(sizes) - sizes)[no], sizes[no])
+        sizes = sizes[no].reshape(-1, 2).sum(1)
+        self.known.update(zip(missing, range(len(self.begin) - 1, len(self.begin) - 1 + len(missing))))
+        self.begin = np.r_[self.begin, self.begin[-1] + np.cumsum(sizes)]
+        self.pool = np.r_[self.pool, learned]
+
+    def _forget(self, words: list[bytes]) -> None:
+        """Drops the words learned last; those known first are the frequent ones and stay."""
+        for w in words:
+            del self.known[w]
+        self.begin = self.begin[:len(self.begin) - len(words)].copy()
+        self.pool = self.pool[:self.begin[-1]].copy()
+
+    def encode(self, texts: pa.Array, last: int) -> list[bytes]:
+        """Little-endian 32-bit ids of each text, followed by `last`; a null text counts as empty.
 
         The tokenizer lower-cases, so ASCII letters may be lower-cased before. Texts that may hold special tokens are
         encoded whole.
         """
-        plain = [b"<|" not in t for t in texts]
-        split = [t.lower().split() if p else [] for t, p in zip(texts, plain)]
-        known = self.known
-        known.missed = missed = []
-        pieces = list(map(known.__getitem__, itertools.chain.from_iterable(split)))
-        if missed:
-            found = self._learned(set(missed))
-            at = [i for i, x in enumerate(pieces) if x is None]
-            for i, w in zip(at, missed):
-                pieces[i] = found[w]
-            if len(known) < _MEMORY:      # the words known first are the frequent ones; they stay
-                known.update(found)
-        out, low = [], 0
-        for t, p, ws in zip(texts, plain, split):
-            out.append(b"".join(pieces[low:low + len(ws)]) + last if p
-                       else np.array(self._ids(t.decode("utf-8", "replace")), "<u4").tobytes() + last)
-            low += len(ws)
+        texts = pc.fill_null(texts, "")
+        special = pc.match_substring(texts, "<|")
+        split = pc.ascii_split_whitespace(pc.ascii_lower(pc.if_else(special, "", texts)))
+        coded = split.flatten().dictionary_encode()
+        distinct = coded.dictionary.cast(pa.binary()).to_numpy(zero_copy_only=False)
+        number = np.fromiter(map(self.known.get, distinct, itertools.repeat(-1)), np.int64, len(distinct))
+        new = np.flatnonzero(number < 0)
+        missing = distinct[new].tolist()
+        if missing:
+            number[new] = np.arange(len(missing)) + len(self.begin) - 1
+            self._learn(missing)
+        begin, size = np.r_[self.begin[number], 0], np.r_[self.begin[number + 1] - self.begin[number], 1]
+        # The closing id of a text is one word more, read from in front of the pool.
+        begin[:-1] += 1
+        pool = np.r_[np.uint32(last), self.pool]
+        word_ends = np.r_[0, np.cumsum(pc.list_value_length(split).to_numpy(zero_copy_only=False))]
+        codes = np.insert(coded.indices.to_numpy(), word_ends[1:], len(distinct))
+        sizes = size[codes]
+        stops = np.cumsum(sizes)
+        ids = _gathered(pool, begin[codes], sizes)
+        at = stops[word_ends[1:] + np.arange(len(texts))]
+        out = [x.astype("<u4").tobytes() for x in np.split(ids, at[:-1])] if len(texts) else []
+        for i in np.flatnonzero(special.to_numpy(zero_copy_only=False)).tolist():
+            whole = texts[i].as_buffer().to_pybytes().decode("utf-8", "replace")
+            out[i] = np.array([*self._ids(whole), last], "<u4").tobytes()
+        if len(self.known) > _MEMORY:
+            self._forget(missing[-(len(self.known) - _MEMORY):])
         return out
 
 
+def by_bytes(texts: pa.Array, most: int) -> Iterator[tuple[int, int]]:
+    """Runs of neighbouring texts (first, number) of at most so many bytes in all; a longer text is alone."""
+    sizes = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False))
+    low = 0
+    while low < len(texts):
+        high = max(low + 1, int(np.searchsorted(sizes, (sizes[low - 1] if low else 0) + most, "right")))
+        yield low, high - low
+        low = high
+
+
 def plan(positions: list[int], penalties: list[int], size: int) -> list[int]:
     """Ends of the sequences of the cheapest cut of a stream: indices into `positions`, the last one included.
 
@@ -189,8 +240,6 @@ _SCHEMA = "doc_id long, start long, length long, doc_tokens long, sequence_id lo
 
 
 def _pack(path: str, size: int, end_id: int):
-    last = np.array([end_id], "<u4").tobytes()
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if path not in _encoders:
             _encoders[path] = WordIds(path)
@@ -237,9 +286,8 @@ def _pack(path: str, size: int, end_id: int):
 
         for batch in batches:
             docs = batch.column("doc_id").to_pylist()
-            for k in range(0, len(docs), 64):
-                texts = raw_texts(batch.column("text").slice(k, 64))
-                for doc, raw in zip(docs[k:k + 64], coder.encode(texts, last)):
+            for k, n in by_bytes(batch.column("text"), _AT_ONCE):
+                for doc, raw in zip(docs[k:k + n], coder.encode(batch.column("text").slice(k, n), end_id)):
                     held.append((doc, 0, len(raw) // 4, raw))
                     total += len(raw) // 4
                 if total >= CHUNK:

@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 import hashlib
+import random
 import re
 import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -76,6 +78,27 @@ def test_components(spark):
     assert components(spark.createDataFrame([], "u long, v long")).count() == 0
 
 
+def test_word_ids_equal_the_tokenizer_on_odd_texts(monkeypatch):
+    from tokenizers import Tokenizer
+
+    rng = random.Random(5)
+    odd = ["dog's", "dogs'", "it'll.", "don't!", "***", "a***", "x-y", "3.14", "İ", "ß.", "e\u0301te\u0301,", "été;", "ÉTÉ", "Σας", "ΣΑΣ", "ﬁn", "日本語。",
+           "日本語.", "\u00a0", "a\u00a0b", "\u200b", "★", "★x", "•", "👍🏽", "ǅ", "x\u0307.", "K", "Å", "²", "١٢", "<|", "<|endoftext|>", "<|startoftext|>a",
+           "\x00", "\x1c", "\x85", "tail\u2028", "q" * 300, "ab.,;:!?", "....", "'s", "'S", "A's.", "_x_", "`", "İstanbul,", "가각", "\u1100\u1161."]
+    texts = ["", " ", None, *odd, *(rng.choice([" ", "\n", "\t ", "  "]).join(rng.choices(odd, k=rng.randint(1, 12))) for _ in range(400))]
+    whole = Tokenizer.from_file(tokenizer_path())
+    monkeypatch.setattr(packing, "_MEMORY", 20)            # words are forgotten and learned again
+    coder = packing.WordIds(tokenizer_path())
+    for _ in range(2):
+        for low, n in packing.by_bytes(pa.array(texts), 500):
+            part = texts[low:low + n]
+            got = [np.frombuffer(x, "<u4").tolist() for x in coder.encode(pa.array(texts).slice(low, n), 1)]
+            assert got == [whole.encode(t or "", add_special_tokens=False).ids + [1] for t in part]
+    assert len(coder.known) <= 20
+    runs = list(packing.by_bytes(pa.array(texts), 500))
+    assert [low for low, _ in runs] == np.cumsum([0, *(n for _, n in runs)])[:-1].tolist() and sum(n for _, n in runs) == len(texts)
+
+
 def test_packing_is_an_exact_round_trip(corpus, plain):
     from tokenizers import Tokenizer
 
