@@ -1,15 +1,18 @@
 """License scans: units of text against licence templates by the Dice coefficient of their word bigrams.
 
 Columns only: no join, no shuffle, no Python. The templates are a small fixed table; it is turned into a literal map from a
-unit's number of bigrams to the templates that can reach the threshold at that size, so a unit outside every size bound is
-dropped by its word count before its bigrams are built, and the rest meet only templates of fitting size.
+unit's number of bigrams to the templates that can reach the threshold at that size, so a unit meets only templates of fitting
+size. Before that, texts and units that hold none of a few words are dropped: `probes` chooses the words so that without them
+too few bigrams of any template are left to share, so nothing that can match is lost.
 """
 
 from __future__ import annotations
 
+import functools
 import math
+import operator
 import re
-from collections import defaultdict
+from collections import Counter, defaultdict
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -56,6 +59,36 @@ def size_bounds(n: int, dice: float) -> range:
     return range(math.ceil(n * dice / (2 - dice) - 1e-9), math.floor(n * (2 - dice) / dice + 1e-9) + 1)
 
 
+def probes(templates: list[tuple[str, str]], dice: float) -> list[tuple[str, ...]]:
+    """Groups of strings: every text that reaches the coefficient with a template holds all strings of a group at least.
+
+    A set that reaches it with a template of n bigrams shares at least `least` of them with it, so groups suffice for that
+    template if fewer than `least` of its bigrams hold none. Long words that serve many bigrams are chosen first; where a
+    template has only short ones left, a pair of words. Groups that turn out not to be needed are dropped.
+    """
+    needs = []
+    for _, text in templates:
+        if grams := [tuple(g.split()) for g in bigrams(text)]:
+            needs.append((grams, math.ceil(dice * (size_bounds(len(grams), dice)[0] + len(grams)) / 2 - 1e-9)))
+
+    def held(group: tuple[str, ...], gram: tuple[str, ...]) -> bool:
+        return group == gram if len(group) > 1 else any(group[0] in w for w in gram)
+
+    def unmet(chosen: list[tuple[str, ...]]) -> list[list[tuple[str, ...]]]:
+        free = [([g for g in grams if not any(held(c, g) for c in chosen)], least) for grams, least in needs]
+        return [grams for grams, least in free if len(grams) >= least]
+
+    chosen: list[tuple[str, ...]] = []
+    while left := unmet(chosen):
+        uses = Counter((w,) for grams in left for g in grams for w in set(g) if len(w) > 4)
+        uses = uses or Counter(g for grams in left for g in grams)
+        chosen.append(max(uses, key=lambda c: (uses[c] * sum(map(len, c)) ** 2, c)))
+    for c in list(chosen):
+        if not unmet(others := [x for x in chosen if x != c]):
+            chosen = others
+    return chosen
+
+
 def _candidates(templates: list[tuple[str, str]], dice: float) -> tuple[Column, int]:
     """Literal map: number of bigrams -> (license, bigrams) of the templates whose size fits; largest number in it."""
     fitting = defaultdict(list)
@@ -76,12 +109,20 @@ def scan(docs: DataFrame, templates: list[tuple[str, str]] | None = None, dice:
     rows; repeated rows are scanned each.
     """
     fitting, most = _candidates(TEMPLATES if templates is None else templates, dice)
+    sought = probes(TEMPLATES if templates is None else templates, dice)
+
+    def may_match(body: Column) -> Column:
+        groups = (functools.reduce(operator.and_, (F.contains(body, F.lit(w)) for w in group)) for group in sought)
+        return functools.reduce(operator.or_, groups, F.lit(False))
+
+    # The array of one makes each text be lower-cased once and not once a word.
+    docs = docs.filter(F.exists(F.array(F.lower("text")), may_match))
     text = F.regexp_replace(F.lower("text"), r"[^a-z0-9\n]+", " ")
     lines = F.transform(F.split(text, "\n", -1), lambda x, i: F.struct(F.lit("line").alias("unit"), i.alias("unit_no"), x.alias("body")))
     whole = F.transform(F.split(text, r"\n(?: *\n)+", -1),
                         lambda x, i: F.struct(F.lit("block").alias("unit"), i.alias("unit_no"), F.replace(x, F.lit("\n"), F.lit(" ")).alias("body"), F.contains(x, F.lit("\n")).alias("many")))
     multi = F.transform(F.filter(whole, lambda b: b["many"]), lambda b: F.struct(b["unit"].alias("unit"), b["unit_no"].alias("unit_no"), b["body"].alias("body")))
-    units = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.explode(F.concat(lines, multi)).alias("u"))
+    units = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.explode(F.filter(F.concat(lines, multi), lambda u: may_match(u["body"]))).alias("u"))
     # A unit of n words has n - 1 bigrams, some of them perhaps alike. Too many words are too many bigrams only where they
     # differ, so the bound on words drops nothing but units with too few.
     words = units.select("doc_id", "u.unit", "u.unit_no", F.split(F.trim("u.body"), " +").alias("w")).filter(F.size("w") >= 2)

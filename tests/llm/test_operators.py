@@ -510,6 +510,27 @@ def test_every_training_document_teaches_the_network(spark, monkeypatch):
     assert all((weights(n) != whole).any() for n in (0, 9, 23))
 
 
+def test_licence_probes_lose_nothing():
+    """Sets of bigrams with Dice 0.8 or more, made of a template's own with others added, hold a probe."""
+    rng = random.Random(8)
+    tables = [licenses.TEMPLATES, [("A", "a b c d"), ("B", "a b"), ("C", "one"), ("D", "")],
+              *[[(str(k), " ".join(rng.choices(["the", "licence", "of", "x", "granted", "software", "by"], k=rng.randint(2, 14)))) for k in range(4)]
+                for _ in range(30)]]
+    met = 0
+    for table in tables:
+        groups = licenses.probes(table, 0.8)
+        for _, text in table:
+            grams = licenses.bigrams(text)
+            for _ in range(40):
+                kept = rng.sample(grams, rng.randint(0, len(grams)))
+                total = len(kept) + rng.randint(0, 2)
+                if kept and 2 * len(kept) / (total + len(grams)) >= 0.8:
+                    met += 1
+                    body = " / ".join(kept)
+                    assert any(all(w in body for w in group) for group in groups), (kept, groups)
+    assert met > 300 and licenses.probes([("D", "")], 0.8) == []
+
+
 def test_licences(spark, corpus):
     texts = [(1, "Code of a kind that one may look at.\n  Licensed under the APACHE License, version 2.0!\nmore of the text"), (2, "Released under the MIT License"), (3, None), (4, ""),
              (5, "\n\nThis work is licensed under\nthe GNU General Public License,\nversion 3.\n\nx"), (6, "Released"), (7, "of this and that, a text of the same length"), (2, "Released under the MIT License")]
