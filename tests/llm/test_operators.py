@@ -586,3 +586,42 @@ def test_compact_windows_are_those_of_the_cartesian_tree():
         mine = (value.view(np.uint64) & np.uint64(7)) == k
         assert set(zip(l[mine].tolist(), c[mine].tolist(), r[mine].tolist())) == want
     assert (own == 0).all()
+
+
+@pytest.mark.parametrize("common", [20, 30, 40, 45])
+def test_passages_around_a_stretch_that_many_share(spark, common):
+    """Pairs share 60 words, of which `common` stand in 300 texts: every equal passage is found, nobody else is, and of passages
+    with one word exchanged nearly every one."""
+    rng = np.random.default_rng(common)
+    fresh_words = iter(rng.permutation(10**6))
+
+    def some(n: int) -> list[str]:
+        return [f"v{next(fresh_words)}" for _ in range(n)]
+
+    boiler = some(common)
+    rows, equal, near = [], set(), set()
+    for k in range(300):
+        rows.append((k, some(40) + boiler + some(40)))
+    for k in range(60):
+        head = int(rng.integers(0, 61 - common))
+        passage = some(head) + boiler + some(60 - common - head)
+        other = list(passage)
+        if k >= 40:
+            other[int(rng.choice([i for i in range(60) if not head <= i < head + common]))] = some(1)[0]
+        for doc_id, part in ((1000 + 2 * k, passage), (1001 + 2 * k, other)):
+            rows.append((doc_id, some(30) + part + some(30)))
+            (near if k >= 40 else equal).add(doc_id)
+    docs = spark.createDataFrame([(k, " ".join(w)) for k, w in rows], "doc_id long, text string").repartition(4)
+    got = {r.doc_id: r for r in passages.repeated_passages(docs, 50).collect()}
+    assert equal <= got.keys() <= equal | near
+    assert all(got[k].linked_doc_id == k ^ 1 and got[k].first_word <= 30 and got[k].end_word >= 90 for k in equal)
+    assert len(near & got.keys()) >= 0.9 * len(near)
+
+
+def test_run_hashes_do_not_depend_on_the_place():
+    h = np.random.default_rng(3).integers(0, 1 << 63, 500, dtype=np.uint64)
+    h[300:350] = h[100:150]
+    for size in (1, 20, 46):
+        made = passages._run_hashes(h, size)
+        assert len(made) == 501 - size and len(set(made.tolist())) == 501 - size - (51 - size)
+        assert (made[300:351 - size] == made[100:151 - size]).all()
