@@ -52,7 +52,10 @@ def assess(
     sources = replace(sources, applicants=late.one_row_per_key(sources.applicants, "applicant_id", "applicants table"))
     rejects, scope = None, sources
     if population is not None:
-        scope = sources.restrict(population)
+        # Only the applicants are restricted by a join with the list. The other tables are reduced to one row per applicant
+        # and joined to them anyway; restricting each of their raw tables would sort the whole list again for every one.
+        scope = replace(sources, applicants=sources.applicants.join(
+            population.select("applicant_id"), "applicant_id", "left_semi"))
         rejects = (
             population.select("applicant_id").distinct()
             .join(sources.applicants.select("applicant_id"), "applicant_id", "left_anti")

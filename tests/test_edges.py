@@ -73,6 +73,19 @@ def test_unknown_applicants_are_rejected(spark, make, thresholds):
     assert made.snapshot().select("applicant_id").distinct().count() == 1
 
 
+def test_a_population_meets_the_applicants_only(spark, make, thresholds):
+    """The list of a population may be longer than every table; it is joined, and so sorted, once."""
+    src = make([debt("d", 1), debt("e", 1, applicant="B"), debt("f", 1, applicant="C")], applicants="ABC",
+               incomes=[("A", "60000"), ("B", "60000"), ("C", "60000")])
+    asked = spark.createDataFrame([("A",), ("C",), ("C",), (None,), ("nobody",)], "applicant_id string")
+    made = assess(src, "X", AS_OF, thresholds, population=asked)
+    whole = assess(src, "X", AS_OF, thresholds)
+    assert made.audit._jdf.queryExecution().optimizedPlan().toString().count("Join LeftSemi") == 1
+    own = F.col("applicant_id").isin("A", "C")
+    for got, want in ((made.audit, whole.audit), (made.sources, whole.sources)):
+        assert sorted(map(str, got.collect())) == sorted(map(str, want.filter(own).collect()))
+
+
 def _partner(spark, rows):
     return literal_rows(spark, [
         (f"S{n}", scope, "F", record, name, "ACCURACY", 1, index, status, blocking, None, "d")
