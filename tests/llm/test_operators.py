@@ -618,6 +618,54 @@ def test_passages_around_a_stretch_that_many_share(spark, common):
     assert len(near & got.keys()) >= 0.9 * len(near)
 
 
+@pytest.mark.parametrize("common", [24, 40])
+def test_unequal_passages_around_a_stretch_that_many_share(spark, common):
+    """80 pairs share 60 words but one, of which `common` stand in 300 texts: both texts of every pair are found."""
+    rng = np.random.default_rng(common)
+    fresh_words = iter(rng.permutation(10**6))
+
+    def some(n: int) -> list[str]:
+        return [f"v{next(fresh_words)}" for _ in range(n)]
+
+    boiler = some(common)
+    rows = [(k, some(40) + boiler + some(40)) for k in range(300)]
+    for k in range(80):
+        head = int(rng.integers(0, 61 - common))
+        passage = some(head) + boiler + some(60 - common - head)
+        other = list(passage)
+        other[int(rng.choice([i for i in range(60) if not head <= i < head + common]))] = some(1)[0]
+        rows += [(1000 + 2 * k, some(30) + passage + some(30)), (1001 + 2 * k, some(30) + other + some(30))]
+    docs = spark.createDataFrame([(k, " ".join(w)) for k, w in rows], "doc_id long, text string").repartition(4)
+    got = {r.doc_id: r.linked_doc_id for r in passages.repeated_passages(docs, 50).collect()}
+    assert got == {k: k ^ 1 for k in range(1000, 1160)}
+
+
+def test_a_passage_that_stands_twice_in_the_first_text_is_found_twice(spark):
+    rng = np.random.default_rng(8)
+    words = [f"v{k}" for k in rng.permutation(10**5)]
+    passage = words[:60]
+    texts = [words[100:140] + passage + words[140:180] + passage + words[180:220]] + [words[k:k + 40] + passage for k in range(300, 500, 50)]
+    docs = spark.createDataFrame([(k, " ".join(w)) for k, w in enumerate(texts)], "doc_id long, text string")
+    for size in (2, 5):
+        got = {(r.doc_id, r.first_word, r.end_word) for r in passages.repeated_passages(docs.filter(F.col("doc_id") < size), 50).collect()}
+        assert got == {(0, 40, 100), (0, 140, 200)} | {(k, 40, 100) for k in range(1, size)}
+
+
+def test_rarest_tokens_hold_the_rarest_shared_one():
+    """Two sets of t tokens at Jaccard 0.8 or more always share one of the tokens chosen."""
+    rng = np.random.default_rng(5)
+    t = 46
+    for _ in range(200):
+        a = rng.integers(0, 1 << 62, t)
+        b = a.copy()
+        b[rng.choice(t, 5, replace=False)] = rng.integers(0, 1 << 62, 5)
+        known = np.r_[np.intersect1d(a, b), np.setdiff1d(a, b)[:2], np.setdiff1d(b, a)[:3]]
+        texts = rng.integers(2, 50, len(known))
+        chosen = [set(x[passages.rarest(x, known, texts, t, 80)].tolist()) for x in (a, b)]
+        assert chosen[0] & chosen[1] and max(map(len, chosen)) <= 10
+    assert not len(passages.rarest(a, known[:30], texts[:30], t, 80))
+
+
 def test_run_hashes_do_not_depend_on_the_place():
     h = np.random.default_rng(3).integers(0, 1 << 63, 500, dtype=np.uint64)
     h[300:350] = h[100:150]
