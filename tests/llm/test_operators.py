@@ -651,6 +651,20 @@ def test_a_passage_that_stands_twice_in_the_first_text_is_found_twice(spark):
         assert got == {(0, 40, 100), (0, 140, 200)} | {(k, 40, 100) for k in range(1, size)}
 
 
+def test_stretches_may_overlap():
+    """Every second run of 25 tokens stands in both texts; two neighbours are similar enough together, three are not."""
+    rng = np.random.default_rng(4)
+    a = rng.integers(0, 1 << 62, 85).astype(np.uint64)
+    b = a.copy()
+    b[25:30] = rng.integers(0, 1 << 62, 5)
+    b[55:60] = rng.integers(0, 1 << 62, 5)
+    covered = set()
+    for _, _, low, high, share in passages.shared_stretches(a, b, 46, 80):
+        assert share >= 0.8
+        covered.update(range(low, high))
+    assert set(range(25)) | set(range(30, 55)) | set(range(60, 85)) <= covered
+
+
 def test_rarest_tokens_hold_the_rarest_shared_one():
     """Two sets of t tokens at Jaccard 0.8 or more always share one of the tokens chosen."""
     rng = np.random.default_rng(5)
