@@ -510,6 +510,41 @@ def test_every_training_document_teaches_the_network(spark, monkeypatch):
     assert all((weights(n) != whole).any() for n in (0, 9, 23))
 
 
+def test_words_and_hashes_of_whole_columns(spark):
+    """Columns are split as single texts are, and words are hashed as the counts' join key is."""
+    odd = ["", None, " ", "a", "\tA  b\x0b\x0cc\r\n", "\u00a0x\u2003y \x1f z\x85", "\u00c4B \u0130I", "a " * 5000]
+    flat, sizes = gru_score._split(pa.array(odd, pa.string()))
+    want = [words((t or "").encode()) for t in odd]
+    assert flat.to_pylist() == [w.decode() for t in want for w in t] and sizes.tolist() == [len(w) for w in want]
+    column = pa.array(odd * 300)
+    edges = list(gru_score._pieces(column))
+    assert [a for a, _ in edges] == [0, *(b for _, b in edges[:-1])] and edges[-1][1] == len(column) and len(edges) > 1
+    assert not list(gru_score._pieces(column.slice(0, 0)))
+    hashed = spark.createDataFrame([(b"",), (b"word",), (b"x" * 77,)], "w binary")
+    assert all(r.h == gru_score._hash(bytes(r.w)) for r in hashed.select("w", F.xxhash64("w").alias("h")).collect())
+
+
+def test_sums_of_groups_of_rows():
+    """One, few and many rows a group, against a plain sum."""
+    rng = np.random.default_rng(9)
+    word = np.r_[np.arange(50), rng.integers(0, 60, 300), np.full(900, 70), np.full(24, 71), np.full(25, 72)]
+    rng.shuffle(word)
+    x, order = rng.normal(size=(len(word), 6)), np.argsort(word, kind="stable")
+    edges = np.flatnonzero(np.diff(word[order], prepend=-1))
+    want = np.zeros((73, 6))
+    np.add.at(want, word, x)
+    assert np.allclose(gru_score._row_sums(x, order, edges), want[word[order[edges]]])
+
+
+def test_weights_are_averaged_as_whole_parts(spark):
+    """No weight becomes a row of its own: parts of many trainers are summed as they stream by."""
+    rows = [(k, [float(t + k), float(t * k)]) for t in range(7) for k in range(5)]
+    got = spark.createDataFrame(rows, "at int, part array<double>").repartition("at").sortWithinPartitions("at").mapInArrow(
+        gru_score._mean, "at int, part array<double>").collect()
+    assert {r["at"]: r["part"] for r in got} == {k: [3.0 + k, 3.0 * k] for k in range(5)}
+    assert not list(gru_score._mean(iter([])))
+
+
 def test_licence_probes_lose_nothing():
     """Sets of bigrams with Dice 0.8 or more, made of a template's own with others added, hold a probe."""
     rng = random.Random(8)
