@@ -700,6 +700,28 @@ def test_stretches_may_overlap():
     assert set(range(25)) | set(range(30, 55)) | set(range(60, 85)) <= covered
 
 
+def test_windows_are_made_and_dealt_out_once(spark):
+    """Values that texts share are found in the exchange that brings their rows together: against a plain loop, and by the plan."""
+    value, rng = passages.Window.partitionBy("value"), np.random.default_rng(2)
+    rows = [tuple(map(int, r)) for r in np.c_[rng.integers(0, 40, 160), rng.integers(0, 9, 160), rng.integers(0, 50, 160), rng.integers(50, 99, 160), rng.integers(1, 4, 160)]]
+    made = passages._shared(spark.createDataFrame(rows, "value long, node long, l int, r int, copies int"), F.sum("copies").over(value))
+    by = defaultdict(list)
+    for r in rows:
+        by[r[0]].append(r)
+    want = []
+    for own in by.values():
+        ends = [min(r[1] for r in own), max(r[1] for r in own)]
+        bounds = [f(r[i] for r in own if r[1] == end) for end in ends for f, i in ((min, 2), (max, 3))]
+        want += [(*r, *ends, sum(r[4] for r in own), *bounds) for r in own if ends[0] < ends[1]]
+    assert Counter(map(tuple, made.collect())) == Counter(want) and len(want) < len(rows)
+    texts = spark.createDataFrame([(k, prose(k, 80)) for k in range(4)], "node long, text string")
+    plan = passages._shared(texts.mapInArrow(passages._emit(46), passages._WINDOWS), F.sum("copies").over(value))._jdf.queryExecution().sparkPlan().toString()
+    assert plan.count("MapInArrow") == 1 and "Join" not in plan
+    batch = pa.RecordBatch.from_pydict({"node": pa.array([5, 6, 5]), "text": [prose(1, 80), prose(2, 80), prose(1, 80)]})
+    (made,) = passages._emit(46)(iter([batch]))
+    assert set(zip(made.column("node").to_pylist(), made.column("copies").to_pylist())) == {(5, 2), (6, 1)}
+
+
 def test_rarest_tokens_hold_the_rarest_shared_one():
     """Two sets of t tokens at Jaccard 0.8 or more always share one of the tokens chosen."""
     rng = np.random.default_rng(5)
