@@ -16,7 +16,7 @@ from pyspark.sql import types as T
 
 from surety.llm import (decontaminate, gru_score, html_text, language_id, licenses, line_dedup, near_dedup, packing, passages,
                         vp_search)
-from surety.llm.common import fold, importable, word_hashes, words
+from surety.llm.common import fold, importable, word_hashes, word_hashes_of, words
 from surety.llm.graph import components
 from surety.llm.queries import tokenizer_path
 
@@ -744,3 +744,94 @@ def test_run_hashes_do_not_depend_on_the_place():
         made = passages._run_hashes(h, size)
         assert len(made) == 501 - size and len(set(made.tolist())) == 501 - size - (51 - size)
         assert (made[300:351 - size] == made[100:151 - size]).all()
+
+
+def test_a_common_line_beside_runs_of_words_pairs_few(spark, monkeypatch):
+    """60 texts hold one line between runs of words of their own: few are compared for it alone, and the one repeated passage is found."""
+    line, passage = [f"line{k}" for k in range(13)], [f"p{k}" for k in range(60)]
+    texts = [[f"a{k}"] * 50 + line + [f"b{k}"] * 50 for k in range(60)]
+    for k in (20, 40):
+        texts[k] += passage
+    docs = spark.createDataFrame([(k, " ".join(w)) for k, w in enumerate(texts)], "doc_id long, text string")
+    pairs, confirmed = [], passages._confirmed
+
+    def counted(texts, spans, *rest):
+        pairs.append(spans.count())
+        return confirmed(texts, spans, *rest)
+
+    monkeypatch.setattr(passages, "_confirmed", counted)
+    got = {(r.doc_id, r.linked_doc_id, r.end_word - r.first_word) for r in passages.repeated_passages(docs, 50).collect()}
+    assert got == {(20, 40, 60), (40, 20, 60)}
+    assert len(pairs) == 3 and pairs[2] < 300, pairs        # of 1,770; bits of different words may agree
+
+
+def test_bounds_of_pairs_keep_all_that_share_a_passage():
+    """Two stretches of texts of runs, lines and other words: where a passage is found, the bounds let the pair through."""
+    rng, t, percent = np.random.default_rng(3), 46, 80
+
+    def text() -> bytes:
+        w: list[str] = []
+        while len(w) < 220:
+            kind = rng.random()
+            if kind < 0.5:
+                w += [f"r{rng.integers(0, 4)}"] * int(rng.integers(3, 60))
+            elif kind < 0.7:
+                w += [f"l{k}" for k in range(13)]
+            elif kind < 0.8:
+                w += [f"p{k}" for k in range(int(rng.integers(5, 70)))]
+            else:
+                w += [f"x{rng.integers(0, 10**6)}" for _ in range(int(rng.integers(1, 30)))]
+        return " ".join(w).encode()
+
+    found = apart = 0
+    for _ in range(1200):
+        sides = []
+        for _ in range(2):
+            x = text()
+            h, w = passages.tokens(x), word_hashes(x)
+            flat = np.array([len(set(w[i:i + passages.SHINGLE].tolist())) == 1 for i in range(len(h))])
+            low = int(rng.integers(0, len(h) - 60))
+            high = min(len(h) - 1, low + int(rng.integers(50, 160)))
+            signs = passages._signs(h, flat, np.array([low]), np.array([high]), t)
+            assert list(signs) == list(passages._SIGNS)
+            sides.append((h[low:high + 1], {k: int(v[0]) for k, v in signs.items()}))
+        (a, u), (b, v) = sides
+        most = sum(((u[f"b{k}"] & v[f"b{k}"]) & (2**64 - 1)).bit_count() for k in range(4)) + min(u["same"], v["same"])
+        assert most >= len(np.intersect1d(a, b))
+        kept = (not (u["few"] or v["few"]) or u["runs"] & v["runs"]) and 100 * most >= percent * max(u["least"], v["least"])
+        passage = bool(passages.shared_stretches(a, b, t, percent))
+        assert kept or not passage
+        found, apart = found + passage, apart + (not kept)
+    assert found > 20 and apart > 300
+
+
+def test_matched_windows_unite_as_by_a_plain_loop():
+    """Rows of a pair come in several batches; windows that meet on one side only do not unite."""
+    rng, n = np.random.default_rng(7), 4000
+    u, v, lu, value = (rng.integers(0, k, n) for k in (6, 9, 900, 64))
+    lv = lu + rng.choice([0, 0, 0, 3, 500], n)
+    ru, rv = lu + rng.integers(0, 60, n), lv + rng.integers(0, 60, n)
+    order = np.lexsort((value, lu, lv, v, u))
+    rows = pa.table({k: x[order] for k, x in zip(("u", "v", "lv", "rv", "lu", "ru", "value"), (u, v, lv, rv, lu, ru, value))})
+    want: list[list] = []
+    for r in rows.to_pylist():
+        now = want[-1] if want else None
+        if now and now[:2] == [r["u"], r["v"]] and r["lv"] <= now[5] and r["lu"] <= now[3] and r["ru"] >= now[2]:
+            now[2], now[3], now[5] = min(now[2], r["lu"]), max(now[3], r["ru"]), max(now[5], r["rv"])
+            now[6].add(r["value"] & 7)
+        else:
+            want.append([r["u"], r["v"], r["lu"], r["ru"], r["lv"], r["rv"], {r["value"] & 7}])
+    for agree in (1, 2):
+        made = [list(r.values()) for size in (7,) for b in passages._join_intervals(agree)(iter(rows.to_batches(size))) for r in b.to_pylist()]
+        assert made == [x[:6] for x in want if len(x[6]) >= agree] and made
+    assert not list(passages._join_intervals(1)(iter([])))
+
+
+def test_words_of_several_texts_at_once():
+    texts = [b"", b" \n", b"One two\tONE", b"x" * 3000 + b" " + bytes(range(256)), b"ab " * 1000, "\u00c4\u00df x".encode()]
+    h, sizes = word_hashes_of(texts)
+    assert sizes.tolist() == [len(words(x)) for x in texts] and (h == np.concatenate([word_hashes(x) for x in texts])).all()
+    seen: dict[bytes, int] = {}
+    assert all(seen.setdefault(w, x) == x for w, x in zip((w for x in texts for w in words(x)), h.tolist())) and len(set(seen.values())) == len(seen)
+    assert [len(x) for x in passages.tokens_of(texts)] == [max(0, len(words(x)) - passages.SHINGLE + 1) for x in texts]
+    assert all((x == passages.tokens(y)).all() for x, y in zip(passages.tokens_of(texts), texts))
